@@ -5,6 +5,7 @@ from __future__ import annotations
 from specloom.llm.chat import OP1_SQL, op1_chat_format
 from specloom.llm.html_text import op2_html_text
 from specloom.llm.language_id import op4_language_id
+from specloom.llm.near_dup import op9_near_dup
 from specloom.llm.piece_codec import op5_sentencepiece
 from specloom.llm.token_store import op6_token_store
 
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_store": op6_token_store,
+    "op9_near_dup": op9_near_dup,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL}
