@@ -7,14 +7,18 @@ from specloom.llm.html_text import op2_html_text
 from specloom.llm.language_id import op4_language_id
 from specloom.llm.near_dup import op9_near_dup
 from specloom.llm.piece_codec import op5_sentencepiece
+from specloom.llm.substring_dedup import op7_substring_dedup
+from specloom.llm.suffix_dedup import op3_suffix_dedup
 from specloom.llm.token_store import op6_token_store
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_html_text": op2_html_text,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_store": op6_token_store,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_near_dup": op9_near_dup,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL}
