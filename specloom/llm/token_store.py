@@ -32,8 +32,10 @@ END_ID = 2
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
-TABLE_WORDS = 400_000
+TABLE_WORDS = 1_000_000
 TABLE_CHARS = 100
+#: Stands between words that are encoded together; words that hold it are encoded alone.
+MARK = "|"
 # blanks to str.split() that the tokenizer's \s is not sure to share
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "᠎", "​", "﻿")
 
@@ -45,48 +47,72 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.table: dict[str, bytes] = {}
+        self.mark = np.frombuffer(self._ids([MARK])[0], self.dtype)[0]
+        self.tails = {"": b"", **{c: self._ids([c])[0] for c in ".,"}}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _segment(self, words: list[str]) -> list[bytes]:
-        """Words encoded as one text, cut by the offsets of their tokens."""
+        """Words encoded as one text with a mark between them, which none of them holds, and cut at its id."""
         out: list[bytes] = []
+        size = self.dtype.itemsize
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            e = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, self.dtype)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            at = np.array([a for a, _ in e.offsets], np.int64)
-            cut = np.searchsorted(at, starts, "left") if len(at) else np.zeros(len(starts), np.int64)
-            if len(at) > 1 and (np.diff(at) < 0).any():
+            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) != len(part) - 1:
                 out += self._ids(part)
                 continue
-            data, size = ids.tobytes(), self.dtype.itemsize
-            out += [data[size * i : size * j] for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+            data = ids.tobytes()
+            start, stop = [0, *(size * (cut + 1)).tolist()], [*(size * cut).tolist(), len(data)]
+            out += [data[i:j] for i, j in zip(start, stop, strict=True)]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of ``text`` as little-endian integers."""
-        if not text:
-            return b""
-        if not text.isascii() and any(c in text for c in _ODD) or any(c in text for c in _ODD[:4]):
-            return self._ids([text])[0]
-        words = text.split()
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words not in the table. A word of letters, lower-cased and without a point or comma after it, is
+        encoded once for all its forms: the tokenizer lower-cases and splits them so itself."""
+        table, own, form, stems = self.table, {}, {}, {}
+        for w in new:
+            tail = w[-1] if w[-1] in self.tails and len(w) > 1 else ""
+            stem = w[:-1] if tail else w
+            if stem.isalpha():
+                low = stem.lower()
+                if len(low) == len(stem) and (stem.isascii() or "\u03c3" not in low and "\u03c2" not in low):
+                    form[w] = low, tail
+                    if low not in table:
+                        stems[low] = None
+                    continue
+            if MARK in w or "<|" in w:
+                own[w] = self._ids([w])[0]
+            else:
+                stems[w] = None
+        learned = dict(zip(stems, self._segment(list(stems)), strict=True))
+        own.update(learned)
+        for w, (low, tail) in form.items():
+            own[w] = (learned.get(low) or table[low]) + self.tails[tail]
+        return own
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian integers; words new to the table are encoded together."""
         table = self.table
-        try:
-            return b"".join([table[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in table]
-            plain = [w for w in new if w.isascii() and "<|" not in w]
-            own = dict(zip(plain, self._segment(plain), strict=True))
-            rest = [w for w in new if w not in own]  # normalisation may move their offsets
-            own.update(zip(rest, self._ids(rest), strict=True))
-            data = b"".join([own.get(w) or table.get(w, b"") for w in words])
-            if len(table) + len(new) > TABLE_WORDS:
-                table.clear()
-            table.update((k, v) for k, v in own.items() if len(k) <= TABLE_CHARS)
-            return data
+        plain = [x.isascii() or not any(c in x for c in _ODD) for x in texts]
+        plain = [p and not any(c in x for c in _ODD[:4]) for p, x in zip(plain, texts, strict=True)]
+        split = [x.split() if p else [] for p, x in zip(plain, texts, strict=True)]
+        words = set().union(*split)
+        new = words.difference(table)
+        if len(table) + len(new) > TABLE_WORDS:
+            table.clear()
+            new = words
+        table.update(self._learn(list(new)))
+        out = [b"".join([table[w] for w in ws]) if p else self._ids([x])[0] for p, x, ws in zip(plain, texts, split, strict=True)]
+        for w in new:
+            if len(w) > TABLE_CHARS:
+                del table[w]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -98,6 +124,19 @@ def tokenizer(name: str) -> WordTokenizer:
     return _tokenizers[name]
 
 
+def portions(column: pa.Array, chars: int = 1_000_000):
+    """The texts of a column, nulls as empty, in lists of about so many characters."""
+    out, size = [], 0
+    for x in column:
+        out.append(x.as_py() or "")
+        size += len(out[-1])
+        if size >= chars:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def _store(uri: str):
     from pyarrow import fs
 
@@ -206,10 +245,10 @@ def write_store(spark: SparkSession, docs: DataFrame, name: str = TOKENIZER, end
             if writer is None:
                 writer, kind = ShardWriter(folder, shard, tok.dtype), b.column(0).type
             ids += b.column(0).to_pylist()
-            for x in b.column(1):
-                data = tok.encode(x.as_py() or "") + end
-                counts.append(len(data) // tok.dtype.itemsize)
-                writer.add(data)
+            for texts in portions(b.column(1)):
+                for data in tok.encode_many(texts):
+                    counts.append(len(data) // tok.dtype.itemsize + 1)
+                    writer.add(data + end)
         if writer is not None and ids:
             writer.close(ids, counts, kind)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "n_docs", "n_tokens"])
