@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from specloom.llm.chat import OP1_SQL, op1_chat_format
+from specloom.llm.decontaminate import op8_decontaminate
 from specloom.llm.html_text import op2_html_text
 from specloom.llm.language_id import op4_language_id
 from specloom.llm.near_dup import op9_near_dup
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_store": op6_token_store,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_near_dup": op9_near_dup,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL}
