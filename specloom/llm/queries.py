@@ -11,6 +11,7 @@ from specloom.llm.piece_codec import op5_sentencepiece
 from specloom.llm.substring_dedup import op7_substring_dedup
 from specloom.llm.suffix_dedup import op3_suffix_dedup
 from specloom.llm.token_store import op6_token_store
+from specloom.llm.vector_dup import op10_vector_dup
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dup": op9_near_dup,
+    "op10_vector_dup": op10_vector_dup,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL}
