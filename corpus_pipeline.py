@@ -1,11 +1,52 @@
-"""A corpus pipeline: each stage reads the documents its predecessor kept."""
+"""A corpus pipeline: each stage reads all that its predecessor kept, and all but the last return documents' columns.
 
-STAGES = []
+1. language: rows whose text has no language (null, or without a letter) go.
+2. near_duplicates: of each group of links on five-word shingles of similarity 0.8 or more, the document of smallest id
+   stays; rows without doc_id belong to no group and stay.
+3. repeats: byte strings of 200 or more that repeat are cut out of the texts; rows stay, even if nothing remains.
+4. benchmark: documents that overlap a benchmark item go.
+5. tokens: SentencePiece ids with an end id, and the text they decode to.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from specloom.llm import decontaminate, language_id, near_dup, piece_codec, suffix_dedup
+from specloom.llm.common import materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(spark, docs, language_id.fit(language_id.sample(docs.select("doc_id", "text", "lang"))))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dup.near_duplicates(spark, docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = piece_codec.encode_documents(docs)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("tokens", tokens)]
+
+#: SQL cannot express the classifier, the library's tokenizer or components; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

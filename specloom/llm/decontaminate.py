@@ -175,6 +175,21 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that overlap no item."""
+    at = docs.columns.index("text")
+    for block in item_blocks(benchmark):
+        frozen = spark.sparkContext.broadcast(block)
+
+        def run(batches, frozen=frozen):
+            index = Index(frozen.value)
+            for b in batches:
+                yield b.filter(pa.array([not index.overlaps(x.as_py()) for x in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents: one row per document and benchmark item that overlap."""
     return overlaps(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

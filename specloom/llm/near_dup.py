@@ -2,14 +2,14 @@
 
 A document is the set of its distinct word shingles, hashed to 64 bits; its signature has ``COORDINATES`` minima.
 Documents of equal sets form a class, which one node stands for. Two sets of the least similarity agree in at least
-``MATCHES`` coordinates but for about two pairs in a million, hence differ in at most COORDINATES - MATCHES of them:
-if the coordinates are dealt to one group more than that, such a pair agrees in all coordinates of some group. Only the
+``matches_for`` coordinates but for about two pairs in a million, hence differ in at most so many of them: if the
+coordinates are dealt to one group more than that, such a pair agrees in all coordinates of some group. Only the
 groups' values (the prefix that any qualifying pair must share) are posted. Collisions are merged in two passes:
 
-1. within each posting list every node is paired with the list's smallest node. Pairs that agree in MATCHES coordinates
+1. within each posting list every node is paired with the list's smallest node. Pairs that agree in enough coordinates
    are compared on their full sets, and confirmed links are joined to components.
 2. lists whose nodes are in one component by now are skipped. In the rest, all pairs across components that agree in
-   MATCHES coordinates are compared in the same way; long lists in tiles of ``TILE`` nodes.
+   enough coordinates are compared in the same way; long lists in tiles of ``TILE`` nodes.
 
 Only pairs inside one component are left out, so components are those of all links, while a large group of copies costs
 as many pairs as it has members.
@@ -20,6 +20,8 @@ are kept apart but share ids; a null doc_id is never kept and has the component
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +31,25 @@ from specloom.llm.common import LOWER, as_long, documents, materialize, mix, n_p
 from specloom.llm.components import connected_components
 
 COORDINATES = 128
-MATCHES = 90
-GROUPS = COORDINATES - MATCHES + 1
+#: Share of qualifying pairs that may agree in fewer coordinates than are asked for.
+MISSES = 2e-6
 TILE = 1024
 
+
+def matches_for(percent: int) -> int:
+    """Coordinates in which sets of this similarity agree but for MISSES of them: a tail of the binomial distribution."""
+    p, tail, k = min(percent, 99) / 100, 0.0, 0
+    while True:
+        tail += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if tail > MISSES:
+            return k
+        k += 1
+
+
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _STEP = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9E3779B185EBCA87)]
-_CUTS = np.linspace(0, COORDINATES, GROUPS + 1).astype(int)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -71,24 +83,26 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def posted(sig: np.ndarray) -> np.ndarray:
-    """The posted 64-bit key of each group of coordinates."""
-    out = np.empty((len(sig), GROUPS), np.uint64)
-    for g in range(GROUPS):
+def posted(sig: np.ndarray, matches: int) -> np.ndarray:
+    """The posted 64-bit key of each group of coordinates; there is one group more than coordinates may differ."""
+    groups = COORDINATES - matches + 1
+    cuts = np.linspace(0, COORDINATES, groups + 1).astype(int)
+    out = np.empty((len(sig), groups), np.uint64)
+    for g in range(groups):
         x = np.full(len(sig), g + 1, np.uint64)
-        for k in range(_CUTS[g], _CUTS[g + 1]):
+        for k in range(cuts[g], cuts[g + 1]):
             x = mix(x * _STEP[1] + sig[:, k].astype(np.uint64))
         out[:, g] = x
     return out
 
 
-def describe(docs: DataFrame, size: int) -> DataFrame:
+def describe(docs: DataFrame, size: int, matches: int) -> DataFrame:
     """doc_id, n, node (a hash of the set), keys, sig of every row; no node where the set is empty."""
 
     def some(ids, kind, sets):
         full = [x for x in sets if len(x)]
         sig = signatures(full)
-        keys = as_long(posted(sig))
+        keys = as_long(posted(sig, matches))
         nodes, key_rows, sig_rows, k = [], [], [], 0
         for x in sets:
             if len(x):
@@ -119,8 +133,8 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint, keys array<bigint>, sig binary")
 
 
-def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs a, b whose signatures agree in MATCHES coordinates."""
+def _agree(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
+    """Pairs a, b whose signatures agree in so many coordinates."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
 
     def run(batches):
@@ -128,7 +142,7 @@ def _agree(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if b.num_rows:
                 x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-                yield b.select([0, 1]).filter(pa.array((x == y).sum(1) >= MATCHES))
+                yield b.select([0, 1]).filter(pa.array((x == y).sum(1) >= matches))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -164,8 +178,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return source.select("node", "text").mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"])
 
 
-def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs across components, within a tile of a list, that agree in MATCHES coordinates."""
+def _cross_pairs(lists: DataFrame, matches: int) -> DataFrame:
+    """All pairs across components, within a tile of a list, that agree in so many coordinates."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -183,7 +197,7 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
                     rest = np.flatnonzero(label[x + 1 : j] != label[x]) if same else np.flatnonzero((label[x + 1 : j] != label[x]) & (side[x + 1 : j] != side[x]))
                     if len(rest):
                         rest = rest + x + 1
-                        hit = rest[(sig[rest] == sig[x]).sum(1) >= MATCHES]
+                        hit = rest[(sig[rest] == sig[x]).sum(1) >= matches]
                         a += np.minimum(node[hit], node[x]).tolist()
                         b += np.maximum(node[hit], node[x]).tolist()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -206,14 +220,15 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of the links of ``percent`` similarity or more."""
-    rows = materialize(spark, describe(docs, size), "signatures")
+    matches = matches_for(percent)
+    rows = materialize(spark, describe(docs, size, matches), "signatures")
     nodes = materialize(spark, rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
     post = nodes.select("node", F.explode("keys").alias("key"))
     lists = post.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
     post = materialize(spark, post.join(lists, "key").select("key", "node", "a", "m"), "postings")
     release(spark)
 
-    first = materialize(spark, _agree(post.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes), "pairs")
+    first = materialize(spark, _agree(post.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes, matches), "pairs")
     ids = first.select("a").union(first.select("b")).distinct().select(F.col("a").alias("node"))
     sets = materialize(spark, _full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets")
     links = materialize(spark, _confirm(first, sets, percent), "links")
@@ -227,7 +242,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     dealt = labelled.join(open_lists, "key").withColumn("t", tiles).withColumn("side", part)
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "node", "label", "side")
     dealt = dealt.join(nodes.select("node", "sig"), "node").select("key", "i", "j", "node", "label", "side", "sig")
-    second = _cross_pairs(dealt.repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    second = _cross_pairs(dealt.repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j"), matches)
     second = materialize(spark, second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         ids = second.select("a").union(second.select("b")).distinct().select(F.col("a").alias("node"))

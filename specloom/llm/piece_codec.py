@@ -93,16 +93,18 @@ def model_path(name: str = MODEL) -> str:
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids (with the end id) of every row."""
+    """doc_id, n_tokens, ids (with the end id), decoded of every row."""
 
     def run(batches):
         c = codec(model_path(model))
-        for b in batches:
-            for i, x in zip(b.column(0), b.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], b.column(0).type), pa.array([c.encode(x.as_py() or "")], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for big in batches:
+            for at in range(0, big.num_rows, 500):
+                b = big.slice(at, 500)
+                ids = [c.encode(x.as_py() or "") for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     source = with_columns_of(docs, "doc_id", "text")
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.llm.common import as_long, documents, materialize, mix, release, span_hash, symbol_table
-from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, named, opened, repeated_windows, window_rows
+from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, merge, named, opened, repeated_windows, row_id, row_tag, window_rows
 from specloom.llm.windows import Anchors, blocks
 
 WINDOW = 200
@@ -148,6 +148,30 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]
     return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
 
+def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but for the text that remains and n_chars, its length.
+
+    Characters cut in two by a removal are dropped; null texts stay null."""
+    spans = repeated_bytes(spark, docs).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    d = docs.withColumn("__id", row_id()).withColumn("__tag", row_tag())
+    joined = d.join(spans, ["__id", "__tag"], "left").select(*[d[f"`{c}`"] for c in docs.columns], "__spans")
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for x, s in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
+                cut = s.as_py()
+                texts.append(x.as_py() if not cut else cut_bytes(x.as_py().encode("utf-8", "replace"), merge(cut)).decode("utf-8", "ignore"))
+            columns = b.columns[:-1]
+            columns[at] = pa.array(texts, columns[at].type)
+            if count is not None:
+                columns[count] = pa.array([None if x is None else len(x) for x in texts], columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return cut_texts(docs, repeated_bytes(spark, docs), _cut, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
