@@ -1,0 +1,190 @@
+"""Constituency trees: a reader, a small matcher of our own, and clause segmentation on them.
+
+Rules are Python predicates over nodes (see ``RULES``); each row's tree is independent, so rows are mapped in Arrow
+batches and all parallelism is that of the rows.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+_PART = re.compile(r"\(|\)|[^\s()]+")
+
+
+@dataclass(eq=False)
+class Node:
+    label: str
+    start: int = 0
+    end: int = 0  # word span, end exclusive
+    parent: Node | None = None
+    at: int = 0  # index among siblings
+    children: list[Node] = field(default_factory=list)
+    word: str | None = None
+
+    def walk(self):
+        yield self
+        for c in self.children:
+            yield from c.walk()
+
+    def ancestors(self):
+        n = self.parent
+        while n is not None:
+            yield n
+            n = n.parent
+
+    def after(self):
+        return self.parent.children[self.at + 1 :] if self.parent else []
+
+    def before(self):
+        return self.parent.children[: self.at] if self.parent else []
+
+    def is_(self, pattern: str) -> bool:
+        return re.fullmatch(pattern, self.label) is not None
+
+    def words(self) -> list[str]:
+        return [n.word for n in self.walk() if n.word is not None]
+
+    def has(self, pattern: str) -> bool:
+        return any(n.is_(pattern) for n in self.walk() if n is not self)
+
+    def under(self, pattern: str) -> bool:
+        return any(a.is_(pattern) for a in self.ancestors())
+
+
+def parse(text: str | None) -> Node | None:
+    """A bracketed tree; None where there is none or brackets do not match."""
+    stack: list[Node] = []
+    root, n, want = None, 0, False
+    for m in _PART.finditer(text or ""):
+        t = m[0]
+        if t == "(":
+            stack.append(Node("", start=n))
+            want = True
+        elif t == ")":
+            if not stack:
+                return None
+            node = stack.pop()
+            node.end = n
+            if stack:
+                node.parent, node.at = stack[-1], len(stack[-1].children)
+                stack[-1].children.append(node)
+            else:
+                root = root or node
+        elif want:
+            stack[-1].label, want = t, False
+        elif stack:
+            if stack[-1].word is None and not stack[-1].children:
+                stack[-1].word = t
+                n += 1
+        else:
+            return None
+    return root if not stack else None
+
+
+def tagged(node: Node) -> list[tuple[str, str]]:
+    return [(n.word, n.label) for n in node.walk() if n.word is not None]
+
+
+def _has_modal_clause(n: Node) -> bool:
+    """A verb phrase with a modal, and a subject before it."""
+    return n.is_("VP") and any(c.is_("MD") for c in n.children) and any(b.is_("NP|NN.*|PRP") for b in n.before())
+
+
+def response(n: Node) -> bool:
+    return _has_modal_clause(n) and not n.under("SBAR")
+
+
+def condition(n: Node) -> bool:
+    """A subordinate clause opened by a conjunction other than 'that', holding a subject and a verb."""
+    if not n.is_("SBAR") or n.under("SBAR") or not n.children:
+        return False
+    head = n.children[0]
+    return head.is_("IN|WHADVP|WRB") and "that" not in [w.lower() for w in head.words()] and any(c.is_("S|SINV|SQ") and c.has("VB.*") for c in n.children)
+
+
+def loose_condition(n: Node) -> bool:
+    """A conjunction that is not in a clause of its own, before a subject and a verb phrase."""
+    if not n.is_("WHADVP|WRB") or n.under("SBAR"):
+        return False
+    later = n.after()
+    return any(x.is_("NP|NN.*") for x in later) and any(x.is_("VP|VB.*") for x in later)
+
+
+def verbless_condition(n: Node) -> bool:
+    """'upon', 'on', 'after' or 'before' with a noun phrase and no verb."""
+    return n.is_("PP") and bool(n.children) and n.children[0].is_("IN") and n.words()[0].lower() in ("upon", "on", "after", "before") and not n.has("VB.*") and not n.under("VP|SBAR|PP")
+
+
+def scope(n: Node) -> bool:
+    """A phrase opened by 'for' beside a clause's subject or its modal verb phrase."""
+    return n.is_("PP") and bool(n.words()) and n.words()[0].lower() == "for" and n.has("N.*|DT") and (bool(n.after()) and any(x.is_("VP|S|NP|RB|ADVP|,") for x in n.after()) or n.under("VP")) and not n.under("PP")
+
+
+def passive(n: Node) -> bool:
+    """A form of 'be' directly before a participle, or 'has been' and the like."""
+    tags = tagged(n)
+    for (w, t), (_, u) in zip(tags, tags[1:], strict=False):
+        if t.startswith(("VB", "MD")) and w.lower() in ("is", "are", "was", "were", "be", "been") and u == "VBN":
+            return True
+    return False
+
+
+#: Label -> predicate, in the order in which they are tried.
+RULES = (("scope", scope), ("condition", condition), ("conditionLoose", loose_condition), ("conditionNoVerb", verbless_condition), ("sysresp", response))
+
+
+def clause_span(label: str, n: Node) -> tuple[int, int]:
+    """Words of a clause: a response begins with its subject, a loose condition ends before the next modal's subject."""
+    if label == "sysresp":
+        subject = [b for b in n.before() if b.is_("NP|NN.*|PRP")]
+        return subject[-1].start, n.end
+    if label == "conditionLoose":
+        stop = next((x.start for x in n.after() if x.is_(",|ADVP|CC") or x.is_("VP") and any(c.is_("MD") for c in x.children)), n.parent.end)
+        return n.start, stop
+    return n.start, n.end
+
+
+def segments(tree: str | None) -> list[dict]:
+    """Segments of a requirement in order: start, end (exclusive), label, passive, verb, text. Gaps are 'notMatch'."""
+    root = parse(tree)
+    if root is None:
+        return []
+    words, tags = [w for w, _ in tagged(root)], [t for _, t in tagged(root)]
+    found: list[tuple[int, int, str, bool]] = []
+    for label, rule in RULES:
+        for n in root.walk():
+            if rule(n):
+                s, e = clause_span(label, n)
+                # what an earlier rule took is cut off; a clause that keeps nothing is dropped
+                for a, b, _, _ in found:
+                    if a <= s < b:
+                        s = min(b, e)
+                    elif s < a < e:
+                        e = a
+                if s < e:
+                    found.append((s, e, label, passive(n)))
+    out, at = [], 0
+    for s, e, label, p in sorted(found):
+        if s > at:
+            out.append((at, s, "notMatch", False))
+        out.append((s, e, label, p))
+        at = max(at, e)
+    if at < len(words):
+        out.append((at, len(words), "notMatch", False))
+    verb = lambda s, e: next((words[i] for i in range(s, e) if tags[i].startswith("VB")), None)
+    return [{"start": s, "end": e, "label": x, "passive": p, "verb": verb(s, e), "text": " ".join(words[s:e])} for s, e, x, p in out]
+
+
+def segment_requirements(trees: DataFrame) -> DataFrame:
+    """req_id, k, start, end, label, passive, verb, text: the segments of every row (req_id, tree)."""
+
+    def run(frames):
+        for f in frames:
+            rows = [(i, k, *s.values()) for i, t in zip(f["req_id"], f["tree"], strict=True) for k, s in enumerate(segments(t), 1)]
+            yield pd.DataFrame(rows, columns=["req_id", "k", "start", "end", "label", "passive", "verb", "text"])
+
+    return trees.select("req_id", "tree").mapInPandas(run, "req_id string, k int, start int, end int, label string, passive boolean, verb string, text string")

@@ -1,4 +1,574 @@
-"""All registered queries and their oracle SQL."""
+"""Registered queries: each operator on the driver's tables, with the same question as SQL.
+
+Roles: labels and documents give slot judgements (slot = language, gold missing = low quality, flagged = toxic);
+conversations give human versions (conv_id = requirement, turn = annotator), their first turn being the machine's.
+Rules that the tables never fire run on short inline rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from specloom.functions import text as X
+from specloom.functions import verbs as V
+from specloom.operators import scoring, similarity, smells, spans, trees
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r10(c: str) -> Column:
+    return F.round(F.col(c), 10).alias(c)
+
+
+def evals(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    gold = F.when(F.col("quality") == 0, "missing").when(F.col("n_chars") % 3 == 0, "implied").otherwise("present")
+    return table(spark, d, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("req_id"), F.coalesce("lang", F.lit("none")).alias("slot"), gold.alias("gold"), F.when(F.col("toxic") == 1, "missing").otherwise("filled").alias("llm"))
+
+
+EV = """ev AS (SELECT l.doc_id AS req_id, coalesce(d.lang, 'none') AS slot,
+  CASE WHEN l.quality = 0 THEN 'missing' WHEN d.n_chars % 3 = 0 THEN 'implied' ELSE 'present' END AS gold,
+  CASE WHEN l.toxic = 1 THEN 'missing' ELSE 'filled' END AS llm FROM labels l JOIN documents d USING (doc_id)),
+sl AS (SELECT DISTINCT coalesce(lang, 'none') AS slot FROM documents)"""
+CELLS = """count(*) FILTER (gold = 'missing' AND llm = 'missing') AS tp, count(*) FILTER (gold <> 'missing' AND llm = 'missing') AS fp,
+  count(*) FILTER (gold = 'missing' AND llm <> 'missing') AS fn, count(*) FILTER (gold <> 'missing' AND llm <> 'missing') AS tn"""
+CONF = f"""{EV}, c0 AS (SELECT slot, {CELLS} FROM ev GROUP BY slot),
+c AS (SELECT sl.slot, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tn, 0) AS tn FROM sl LEFT JOIN c0 USING (slot))"""
+
+
+def _prf(src: str) -> str:
+    return f"""SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM
+ (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS recall FROM {src})"""
+
+
+def _slots(spark, d):
+    return table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("slot"))
+
+
+@query(f"WITH {CONF} SELECT slot, tp, fp, fn, tn FROM c")
+def slot_confusion(spark, d):
+    return scoring.slot_confusion(evals(spark, d), _slots(spark, d))
+
+
+@query(f"WITH {CONF} SELECT slot, tp, fp, fn, tn, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1, tp + fn AS support_gold_missing FROM ({_prf('c')})")
+def slot_prf(spark, d):
+    return scoring.slot_prf(evals(spark, d), _slots(spark, d)).select("slot", "tp", "fp", "fn", "tn", r10("precision"), r10("recall"), r10("f1"), "support_gold_missing")
+
+
+@query(f"WITH {CONF}, m AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM c) SELECT tp, fp, fn, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1 FROM ({_prf('m')})")
+def micro_average(spark, d):
+    return scoring.micro(evals(spark, d)).select("tp", "fp", "fn", r10("precision"), r10("recall"), r10("f1"))
+
+
+@query(f"WITH {CONF} SELECT round(avg(precision), 10) AS precision, round(avg(recall), 10) AS recall, round(avg(f1), 10) AS f1 FROM ({_prf('c')})")
+def macro_average(spark, d):
+    return scoring.macro(evals(spark, d), _slots(spark, d)).select(r10("precision"), r10("recall"), r10("f1"))
+
+
+def _lens_sql(kind: str) -> str:
+    return f"""WITH {EV} SELECT slot, count(*) AS n, count(*) FILTER (llm <> 'missing') AS filled, count(*) FILTER (llm = 'missing') AS flagged,
+ round(count(*) FILTER (llm <> 'missing') / count(*)::DOUBLE, 10) AS fill_rate, round(count(*) FILTER (llm = 'missing') / count(*)::DOUBLE, 10) AS flag_rate
+ FROM ev WHERE gold = '{kind}' GROUP BY ROLLUP (slot)"""
+
+
+def _lens(spark, d, kind):
+    return scoring.lens(evals(spark, d), kind).select("slot", "n", "filled", "flagged", r10("fill_rate"), r10("flag_rate"))
+
+
+@query(_lens_sql("implied"))
+def implied_lens_rollup(spark, d):
+    return _lens(spark, d, "implied")
+
+
+@query(_lens_sql("missing"))
+def missing_lens_rollup(spark, d):
+    return _lens(spark, d, "missing")
+
+
+VERDICT = f"""{EV}, v AS (SELECT gold, llm FROM ev), q AS (SELECT {CELLS}, count(*) AS n FROM v)"""
+
+
+def _verdict(spark, d):
+    e = evals(spark, d)
+    return scoring.verdict(e.select((F.col("gold") == "missing").alias("gold_incomplete"), (F.col("llm") == "missing").alias("llm_incomplete")))
+
+
+@query(f"WITH {VERDICT} SELECT tp, fp, fn, tn, n, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1, round((tp + tn) / n::DOUBLE, 10) AS agreement FROM ({_prf('q')})")
+def overall_verdict(spark, d):
+    return _verdict(spark, d).select("tp", "fp", "fn", "tn", "n", r10("precision"), r10("recall"), r10("f1"), r10("agreement"))
+
+
+@query(f"WITH {EV} SELECT gold = 'missing' AS gold_incomplete, llm = 'missing' AS llm_incomplete, count(*) AS n FROM ev GROUP BY 1, 2")
+def verdict_confusion_2x2(spark, d):
+    return evals(spark, d).groupBy((F.col("gold") == "missing").alias("gold_incomplete"), (F.col("llm") == "missing").alias("llm_incomplete")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EV} SELECT req_id, bool_or(slot IN ('en', 'de', 'fr') AND llm = 'missing') AS llm_incomplete FROM ev GROUP BY req_id")
+def mandatory_incomplete(spark, d):
+    return scoring.overall_incomplete(evals(spark, d), ("en", "de", "fr"))
+
+
+@query(f"WITH {EV} SELECT req_id, slot, gold = 'missing' AS gold_missing, llm = 'missing' AS llm_missing, (gold = 'missing') = (llm = 'missing') AS match FROM ev")
+def slot_match_rows(spark, d):
+    return scoring.slot_match(evals(spark, d))
+
+
+_LANGS = ("en", "de", "fr", "es")
+
+
+@query(f"WITH {EV} SELECT req_id, " + ", ".join(f"max(CASE WHEN slot = '{s}' THEN CAST(gold = 'missing' AS INT) END) AS gold_{s}, max(CASE WHEN slot = '{s}' THEN CAST(llm = 'missing' AS INT) END) AS llm_{s}, max(CASE WHEN slot = '{s}' THEN CAST((gold = 'missing') = (llm = 'missing') AS INT) END) AS match_{s}" for s in _LANGS) + " FROM ev GROUP BY req_id")
+def comparison_rows(spark, d):
+    return scoring.comparison(evals(spark, d), _LANGS)
+
+
+# ---- texts ---------------------------------------------------------------------------------------
+
+NORM = "trim(regexp_replace(lower(regexp_replace(coalesce({0}, ''), '<MISSING_[A-Z_]+>|<NON_ATOMIC>', ' ', 'g')), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+TOK = "list_distinct(regexp_extract_all(" + NORM + ", '[a-z0-9]+'))"
+
+
+@query(f"SELECT conv_id, turn, sha256({NORM.format('text')}) AS normalized_sha256 FROM conversations")
+def normalize_text(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(X.normalize(F.col("text")), 256).alias("normalized_sha256"))
+
+
+@query(f"SELECT doc_id, CAST(len({TOK.format('text')}) AS INT) AS n_tokens FROM documents")
+def token_set_size(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n_tokens"))
+
+
+def _humans(spark, d):
+    """Later turns of each conversation; its first is the machine's version."""
+    c = table(spark, d, "conversations")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("t0"))
+    return c.join(first, "conv_id").where("turn > t0").select(F.col("conv_id").alias("req_id"), F.col("turn").alias("annotator"), "text")
+
+
+def _machine(spark, d):
+    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("req_id")).agg(F.min_by("text", "turn").alias("text"))
+
+
+HUMANS = """mach AS (SELECT conv_id AS req_id, min(turn) AS t0, arg_min(text, turn) AS a FROM conversations GROUP BY conv_id),
+hum AS (SELECT c.conv_id AS req_id, c.turn AS annotator, c.text AS b FROM conversations c JOIN mach m ON c.conv_id = m.req_id AND c.turn > m.t0 WHERE trim(coalesce(c.text, '')) <> '')"""
+JAC = "CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / greatest(len(list_distinct(list_concat({0}, {1}))), 1) END"
+LH = f"{HUMANS}, lh AS (SELECT m.req_id, h.annotator, m.a, h.b, {TOK.format('m.a')} AS ta, {TOK.format('h.b')} AS tb FROM mach m JOIN hum h USING (req_id)), j AS (SELECT req_id, annotator, {JAC.format('ta', 'tb')} AS jaccard FROM lh)"
+HH = f"{HUMANS}, hh AS (SELECT x.req_id, x.annotator AS i, y.annotator AS j, {TOK.format('x.b')} AS ta, {TOK.format('y.b')} AS tb FROM hum x JOIN hum y ON x.req_id = y.req_id AND x.annotator < y.annotator), jj AS (SELECT req_id, i, j, {JAC.format('ta', 'tb')} AS jaccard FROM hh)"
+DIST = "count(*) AS n, round(avg(jaccard), 10) AS mean, round(median(jaccard), 10) AS median, round(min(jaccard), 10) AS min, round(max(jaccard), 10) AS max, round(stddev_pop(jaccard), 10) AS std"
+
+
+def _lh(spark, d):
+    return similarity.with_jaccard(similarity.llm_human_pairs(_machine(spark, d), _humans(spark, d)))
+
+
+def _dist(df):
+    return similarity.distribution(df, "jaccard").select("n", *[r10(c) for c in ("mean", "median", "min", "max", "std")])
+
+
+@query(f"WITH {LH} SELECT req_id, annotator, round(jaccard, 10) AS jaccard FROM j")
+def token_jaccard_pairs(spark, d):
+    return _lh(spark, d).select("req_id", "annotator", r10("jaccard"))
+
+
+@query(f"WITH {LH} SELECT {DIST} FROM j")
+def jaccard_distribution(spark, d):
+    return _dist(_lh(spark, d))
+
+
+@query(f"WITH {HH} SELECT {DIST} FROM jj")
+def human_human_distribution(spark, d):
+    return _dist(similarity.with_jaccard(similarity.human_pairs(_humans(spark, d))))
+
+
+@query(f"WITH {HH} SELECT req_id, i, j, round(jaccard, 10) AS jaccard FROM jj")
+def human_human_pairs(spark, d):
+    return similarity.with_jaccard(similarity.human_pairs(_humans(spark, d))).select("req_id", "i", "j", r10("jaccard"))
+
+
+@query(f"WITH {LH} SELECT m.req_id, count(j.annotator) AS n_humans, round(coalesce(avg(jaccard), 0), 10) AS jaccard_mean, round(coalesce(max(jaccard), 0), 10) AS jaccard_max FROM mach m LEFT JOIN j USING (req_id) GROUP BY m.req_id")
+def per_requirement_similarity(spark, d):
+    return similarity.per_requirement(_machine(spark, d), _lh(spark, d)).select("req_id", "n_humans", r10("jaccard_mean"), r10("jaccard_max"))
+
+
+@query(f"WITH {HUMANS} SELECT req_id FROM mach WHERE req_id NOT IN (SELECT req_id FROM hum)")
+def skipped_without_humans(spark, d):
+    h = _humans(spark, d).where(X.blank(F.col("text")) != "").select("req_id")
+    return _machine(spark, d).join(h, "req_id", "left_anti").select("req_id")
+
+
+@query()
+def seq_ratio_pairs(spark, d):
+    pairs = similarity.llm_human_pairs(_machine(spark, d), _humans(spark, d))
+    return similarity.with_seq_ratio(pairs).select("req_id", "annotator", r10("seq_ratio"))
+
+
+@query()
+def seq_ratio_distribution(spark, d):
+    pairs = similarity.with_seq_ratio(similarity.llm_human_pairs(_machine(spark, d), _humans(spark, d)))
+    return similarity.distribution(pairs, "seq_ratio").select("n", *[r10(c) for c in ("mean", "median", "min", "max", "std")])
+
+
+_CONVERSIONS = [
+    (1, "When <MISSING_ACTOR> fails, <MISSING_SCOPE>, the System must <MISSING_ACTION> ."),
+    (2, "For each item , the App must store data."),
+    (3, "<MISSING_CONDITION> , ,the User must log in <NON_ATOMIC>."),
+    (4, "  ; :The  server\tmust  run,  ."),
+    (5, ""),
+    (6, "The Actor <MISSING_MODAL_VERB> act; ;; and <MISSING_ACTION><MISSING_ACTION> stop <NON_ATOMIC> <NON_ATOMIC>"),
+    (7, "Reasoning\nFinal Rimay:\n**The System must act.**\nmore"),
+    (8, "a\nFINAL: one\n\nfinal answer: two \n* x *"),
+    (9, "line one\n**line two**\n\n"),
+    (10, "Final:   "),
+]
+
+
+def _values(rows) -> str:
+    q = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(q(v) for v in r) + ")" for r in rows) + ")"
+
+
+def _inline(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+CONV = f"v AS (SELECT * FROM {_values(_CONVERSIONS)} t(id, x))"
+STRIP_SQL = "coalesce(x, '')"
+for _p, _b in (("<MISSING_[A-Z_]+>", ""), ("<NON_ATOMIC>", ""), (r"[ \t\n\r]+([,.;:!?])", r"\1")):
+    STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{_p}', '{_b}', 'g')"
+# RE2 has no back-references: one replacement for each of the three points
+for _c in (",", ";", ":"):
+    STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{_c}[ \\t\\n\\r]*{_c}+', '{_c}', 'g')"
+for _p, _b in ((r",[ \t\n\r]*\.", "."), (r"[ \t]{2,}", " "), (r"^[ \t\n\r,;:.]+", ""), (r"^[ \t\n\r]+|[ \t\n\r]+$", "")):
+    STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{_p}', '{_b}', 'g')"
+
+
+def _conv(spark):
+    return _inline(spark, _CONVERSIONS, "id int, x string")
+
+
+@query(f"WITH {CONV} SELECT CAST(id AS INT) AS id, {STRIP_SQL} AS stripped FROM v")
+def strip_placeholders(spark, d):
+    return _conv(spark).select("id", X.strip_placeholders(F.col("x")).alias("stripped"))
+
+
+@query(f"WITH {CONV} SELECT CAST(id AS INT) AS id, " + ", ".join(f"CAST((length(x) - length(replace(x, '{p}', ''))) / {len(p)} AS INT) AS n_{s}" for s, p in X.PLACEHOLDERS.items()) + " FROM v")
+def placeholder_counts(spark, d):
+    return _conv(spark).select("id", *[X.occurrences(F.col("x"), p).alias(f"n_{s}") for s, p in X.PLACEHOLDERS.items()])
+
+
+@query(f"WITH {CONV} SELECT CAST(id AS INT) AS id, " + ", ".join(f"CASE WHEN contains(x, '{p}') THEN 'missing' ELSE 'filled' END AS {s}" for s, p in X.PLACEHOLDERS.items()) + ", contains(x, '<NON_ATOMIC>') AS non_atomic FROM v")
+def derive_slots(spark, d):
+    return _conv(spark).select("id", *[X.derive_slot(F.col("x"), s).alias(s) for s in X.SLOTS], X.is_non_atomic(F.col("x")).alias("non_atomic"))
+
+
+_LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda v: trim(trim(trim(v), '*'))), lambda v: v <> '')"
+_ENDS = "greatest(" + ", ".join(f"CASE WHEN contains(lower(s), '{m}') THEN length(s) - instr(reverse(lower(s)), '{m[::-1]}') + 1 ELSE -1 END" for m in X.FINAL_MARKERS) + ")"
+
+
+@query(f"""WITH {CONV}, s AS (SELECT id, regexp_replace(x, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS s FROM v), e AS (SELECT id, s, {_ENDS} AS e FROM s)
+SELECT CAST(id AS INT) AS id, coalesce(CASE WHEN e > 0 THEN ({_LINES.format('substr(s, e + 1)')})[1] END, ({_LINES.format('s')})[-1], s) AS line FROM e""")
+def final_line_extract(spark, d):
+    return _conv(spark).select("id", X.final_line(F.col("x")).alias("line"))
+
+
+_RAW = [
+    (1, "When the 'A-B' (x) fails: then, ,, stop;"),
+    (2, "Open “the main  panel” now , and lock it  in"),
+    (3, "Do x<lb><bullet>one,<lb><bullet>two;<lb>Note this is it."),
+    (4, "a  b<lb>To illustrate any thing."),
+    (5, "locked  in”x y“ , z"),
+    (6, ""),
+]
+
+
+@query()
+def preclean_chain(spark, d):
+    return _inline(spark, _RAW, "id int, x string").select("id", X.preclean(F.col("x")).alias("cleaned"))
+
+
+_PRE = "replace(coalesce(text, ''), ':', '')"
+for _p, _b in (("[()]", ""), ("''", ""), ("-", "_"), (",{2,4}", ","), (";", ""), (r"([\p{L}\p{N}_]+)( )(,)", r"\1\3"), (r", *,", ","), (r"[ \t\n\r\f\v]{2,}", " ")):
+    _PRE = f"regexp_replace({_PRE}, '{_p}', '{_b}', 'g')"
+
+
+@query(f"SELECT conv_id, turn, sha256({_PRE}) AS cleaned_sha256 FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[“”<]|lock')")
+def preclean_conversations(spark, d):
+    c = table(spark, d, "conversations").where(~F.coalesce("text", F.lit("")).rlike("[“”<]|lock"))
+    return c.select("conv_id", "turn", F.sha2(X.preclean(F.col("text")), 256).alias("cleaned_sha256"))
+
+
+@query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(text, '') || chr(30)) AS hash FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("hash"))
+
+
+@query("SELECT page_id, replace(replace(url, '/', '_'), ' ', '_') AS file_id FROM pages")
+def safe_file_id(spark, d):
+    return table(spark, d, "pages").select("page_id", X.safe_id(F.col("url")).alias("file_id"))
+
+
+_FLAGS = [(1, "TRUE", "3"), (2, " yes ", "2.7"), (3, "1", "-1.9"), (4, "no", "abc"), (5, None, None), (6, "Y", "  12 "), (7, "", ""), (8, "truee", "1e3")]
+FLAGS = f"v AS (SELECT * FROM {_values(_FLAGS)} t(id, b, n))"
+
+
+@query(f"WITH {FLAGS} SELECT CAST(id AS INT) AS id, lower(trim(coalesce(b, ''))) IN ('true', '1', 'yes', 'y') AS flag FROM v")
+def bool_parse(spark, d):
+    return _inline(spark, _FLAGS, "id int, b string, n string").select("id", X.truthy(F.col("b")).alias("flag"))
+
+
+@query(f"WITH {FLAGS} SELECT CAST(id AS INT) AS id, coalesce(CAST(trunc(TRY_CAST(trim(coalesce(n, '')) AS DOUBLE)) AS INT), 0) AS number FROM v")
+def safe_int(spark, d):
+    return _inline(spark, _FLAGS, "id int, b string, n string").select("id", X.safe_int(F.col("n")).alias("number"))
+
+
+@query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS text_sha256 FROM pages")
+def html_text_clean(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(X.html_to_text(F.col("html")), 256).alias("text_sha256"))
+
+
+# ---- sources: first and last rows, exclusions ----------------------------------------------------
+
+@query("SELECT conv_id, arg_min(role, turn) AS role, CAST(count(*) AS BIGINT) AS n_annotations FROM conversations GROUP BY conv_id")
+def first_row_authoritative(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"), F.count("*").alias("n_annotations"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def last_record_wins(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def exemplar_anti_join(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def exemplar_semi_join(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100) WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND trim(coalesce(text, '')) <> ''")
+def sample_limit_then_skip(spark, d):
+    """The sample is cut first, exclusions come after, so fewer rows than the limit remain."""
+    head = table(spark, d, "documents").select("doc_id", "text").orderBy("doc_id").limit(100)
+    return head.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").where(X.blank(F.col("text")) != "").select("doc_id")
+
+
+@query("""SELECT (SELECT count(*) FROM labels) AS gold, (SELECT count(*) FROM documents) AS converted,
+ (SELECT count(*) FROM labels l JOIN documents d USING (doc_id) WHERE doc_id NOT IN (SELECT item_id FROM benchmark)) AS evaluated,
+ (SELECT count(*) FROM labels l JOIN documents d USING (doc_id) WHERE doc_id IN (SELECT item_id FROM benchmark)) AS skipped""")
+def corpus_counts(spark, d):
+    gold, conv = table(spark, d, "labels").select("doc_id", F.lit(1).alias("g")), table(spark, d, "documents").select("doc_id", F.lit(1).alias("c"))
+    ex = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")).distinct().withColumn("e", F.lit(1))
+    j = gold.join(conv, "doc_id", "full").join(ex, "doc_id", "left")
+    both = F.col("g").isNotNull() & F.col("c").isNotNull()
+    return j.agg(F.count("g").alias("gold"), F.count("c").alias("converted"), F.count_if(both & F.col("e").isNull()).alias("evaluated"), F.count_if(both & F.col("e").isNotNull()).alias("skipped"))
+
+
+# ---- smells --------------------------------------------------------------------------------------
+
+@query("SELECT event_type AS smell, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY event_type ORDER BY n DESC, first_seen")
+def smell_frequency(spark, d):
+    return smells.frequency(table(spark, d, "events").select(F.col("event_type").alias("smell"), "event_id"), "event_id")
+
+
+_SEGMENTS = [(f"r{k // 3}", f"r{k // 3}_{k}", *[("m" if (k * 7 + j * 3) % 5 == 0 else " " if j % 2 else None) for j in range(len(smells.SMELLS))]) for k in range(12)]
+_SEG_SQL = f"v AS (SELECT * FROM {_values(_SEGMENTS)} t(req_id, segment_id, " + ", ".join(f'"{s}"' for s in smells.SMELLS) + "))"
+
+
+def _segments(spark):
+    return _inline(spark, _SEGMENTS, "req_id string, segment_id string, " + ", ".join(f"`{s}` string" for s in smells.SMELLS))
+
+
+@query(f"WITH {_SEG_SQL} " + " UNION ALL ".join(f"SELECT req_id, segment_id, '{s}' AS smell, trim(\"{s}\") AS value FROM v WHERE trim(coalesce(\"{s}\", '')) <> ''" for s in smells.SMELLS))
+def smell_explode(spark, d):
+    return smells.fired(_segments(spark))
+
+
+@query(f"WITH {_SEG_SQL} SELECT req_id, bool_or(" + " OR ".join(f"trim(coalesce(\"{s}\", '')) <> ''" for s in smells.SMELLS) + ") AS has_smell FROM v GROUP BY req_id")
+def requirements_with_smell(spark, d):
+    return smells.with_any(_segments(spark))
+
+
+@query("""WITH c AS (SELECT user_id, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE count(*) FILTER (event_type = 'error') = 0 END AS passed, count(*) FILTER (event_type = 'error') AS n_smells FROM events GROUP BY user_id)
+SELECT count(*) AS n, count(*) FILTER (passed) AS n_passed, count(*) FILTER (NOT passed) AS n_failed, count(*) FILTER (passed IS NULL) AS n_error, count(*) FILTER (n_smells > 0) AS n_with_smells, count(passed) AS n_scored,
+ round(CASE WHEN count(passed) > 0 THEN count(*) FILTER (passed) / count(passed)::DOUBLE ELSE 0.0 END, 10) AS pass_rate FROM c""")
+def pass_rate_excluding_errors(spark, d):
+    n = F.count_if(F.col("event_type") == "error")
+    checks = table(spark, d, "events").groupBy("user_id").agg(F.when(F.count("*") % 7 != 0, n == 0).alias("passed"), n.alias("n_smells"))
+    return smells.summary(checks).select("n", "n_passed", "n_failed", "n_error", "n_with_smells", "n_scored", r10("pass_rate"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS overall, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS in_req FROM conversations")
+def segment_counters(spark, d):
+    return spans.segment_counters(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", ["turn"]).select("conv_id", "turn", F.col("overall").cast("bigint").alias("overall"), F.col("in_req").cast("bigint").alias("in_req"))
+
+
+# ---- spans ---------------------------------------------------------------------------------------
+
+WORDS = "w AS (SELECT item_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark)"
+ISL = "SELECT item_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) AS INT) AS \"end\", count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY item_id ORDER BY pos) AS run FROM {0}) GROUP BY item_id, run"
+
+
+def _words(spark, d):
+    return spans.words_with_positions(table(spark, d, "benchmark"), "item_id", "text")
+
+
+@query(f"WITH {WORDS}, f AS (SELECT * FROM w WHERE length(word) > 4) {ISL.format('f')}")
+def uncovered_word_islands(spark, d):
+    return spans.islands(_words(spark, d).where(F.length("word") > 4), "item_id", "pos")
+
+
+
+
+@query("WITH f AS (SELECT conv_id AS item_id, turn AS pos FROM conversations WHERE length(text) > 300) " + ISL.format("f"))
+def consecutive_condition_runs(spark, d):
+    c = table(spark, d, "conversations").where(F.length("text") > 300).select(F.col("conv_id").alias("item_id"), F.col("turn").alias("pos"))
+    return spans.islands(c, "item_id", "pos").select("item_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "n")
+
+
+def _spans(spark, d):
+    w = _words(spark, d).where(F.length("word") >= 4)
+    return w.select("item_id", F.col("pos").alias("start"), (F.col("pos") + F.length("word") % 4).alias("end"), F.substring("word", 1, 2).alias("label"))
+
+
+SPANS = f"{WORDS}, s AS (SELECT item_id, CAST(pos AS INT) AS start, CAST(pos + length(word) % 4 AS INT) AS \"end\", substr(word, 1, 2) AS label FROM w WHERE length(word) >= 4)"
+
+
+@query(f"WITH {SPANS} SELECT a.item_id, a.start AS a_start, a.\"end\" AS a_end, b.start AS b_start, b.\"end\" AS b_end, b.start < a.start AND b.\"end\" >= a.start AND b.\"end\" <= a.\"end\" AS is_left FROM s a JOIN s b ON a.item_id = b.item_id WHERE (b.start < a.start AND b.\"end\" >= a.start AND b.\"end\" <= a.\"end\") OR (b.start >= a.start AND b.start <= a.\"end\" AND b.\"end\" > a.\"end\")")
+def span_overlap_join(spark, d):
+    s = _spans(spark, d)
+    a, b = s.select("item_id", F.col("start").alias("a_start"), F.col("end").alias("a_end")), s.select("item_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    cols = [F.col(c) for c in ("a_start", "a_end", "b_start", "b_end")]
+    left = spans.overlaps_left(*cols)
+    return a.join(b, "item_id").where(left | spans.overlaps_right(*cols)).select("item_id", "a_start", "a_end", "b_start", "b_end", left.alias("is_left"))
+
+
+@query(f"WITH {SPANS} SELECT item_id, start, \"end\", min(label) AS label FROM s GROUP BY item_id, start, \"end\"")
+def span_dedupe(spark, d):
+    return spans.dedupe_spans(_spans(spark, d), "item_id")
+
+
+@query(f"WITH {SPANS} SELECT item_id, start, \"end\", label, CAST(row_number() OVER (PARTITION BY item_id ORDER BY start, \"end\", label) AS INT) AS ordinal FROM s")
+def span_order(spark, d):
+    return spans.order_spans(_spans(spark, d), "item_id")
+
+
+@query(f"""WITH {SPANS}, m AS (SELECT *, max("end") OVER (PARTITION BY item_id ORDER BY start, "end", label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+g AS (SELECT *, sum(CASE WHEN start > before THEN 1 WHEN before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY start, "end", label) AS grp FROM m)
+SELECT item_id, min(start) AS start, max("end") AS "end", string_agg(label, ' ' ORDER BY start, "end", label) AS labels FROM g GROUP BY item_id, grp""")
+def span_merge(spark, d):
+    return spans.merge_spans(_spans(spark, d), "item_id")
+
+
+@query("""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN k BETWEEN 2 AND 50 THEN '2-50' WHEN k BETWEEN 51 AND 100 THEN '51-100' WHEN k BETWEEN 101 AND 150 THEN '101-150' WHEN k > 150 THEN '>150' END AS bucket
+ FROM (SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda v: v <> '')) AS k FROM documents)) WHERE bucket IS NOT NULL GROUP BY bucket""")
+def word_count_buckets(spark, d):
+    k = X.word_count(F.col("text"))
+    b = F.when(k.between(2, 50), "2-50").when(k.between(51, 100), "51-100").when(k.between(101, 150), "101-150").when(k > 150, ">150")
+    return table(spark, d, "documents").select(b.alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+# ---- rules on inline rows ------------------------------------------------------------------------
+
+_VERBS = [(i, v) for i, v in enumerate(["is", "Contains", "receives", "x", "", None, "supports", "processing", "making", "done", "considered", "defaults", "reads", "sends", "raised", "gotten", "accounts", "proposes", "equals", "performed"])]
+VERBS = f"v AS (SELECT * FROM {_values(_VERBS)} t(id, x))"
+
+
+@query(f"WITH {VERBS} SELECT CAST(id AS INT) AS id, CASE WHEN lower(trim(coalesce(x, ''))) IN ({', '.join(repr(s) for s in V.STATE_VERBS)}) THEN 'logicalExpression' WHEN length(trim(coalesce(x, ''))) > 1 THEN 'trigger' ELSE '' END AS kind FROM v")
+def condition_kind(spark, d):
+    return _inline(spark, _VERBS, "id int, x string").select("id", V.condition_kind(F.col("x")).alias("kind"))
+
+
+@query(f"WITH {VERBS} SELECT CAST(id AS INT) AS id, stem(lower(x), 'porter') IN ({', '.join(repr(s) for s in V.VAGUE_STEMS)}) AS vague FROM v WHERE x IS NOT NULL")
+def imprecise_verb(spark, d):
+    return _inline(spark, _VERBS, "id int, x string").where("x IS NOT NULL").select("id", V.is_vague(V.stem_udf("x")).alias("vague"))
+
+
+ORACLE_SQL.pop("imprecise_verb")  # DuckDB has the stemmer in an extension only
+
+_SHAPES = [(a, b, c) for a in range(3) for b in range(3) for c in range(3)]
+SHAPES = f"v AS (SELECT * FROM {_values(_SHAPES)} t(s, c, r))"
+TYPE_SQL = "CASE WHEN r < 1 THEN 'otherType' ELSE concat(CASE WHEN s >= 1 THEN 'scope' ELSE '' END, CASE WHEN c > 1 THEN CASE WHEN s >= 1 THEN 'Mult' ELSE 'mult' END || 'Cond' WHEN c = 1 THEN CASE WHEN s >= 1 THEN 'Cond' ELSE 'cond' END ELSE '' END, CASE WHEN r > 1 THEN CASE WHEN s >= 1 OR c >= 1 THEN 'MultSrs' ELSE 'multSrs' END ELSE CASE WHEN s >= 1 OR c >= 1 THEN 'SysResp' ELSE 'sysResp' END END) END"
+
+
+@query(f"WITH {SHAPES} SELECT CAST(s AS INT) AS s, CAST(c AS INT) AS c, CAST(r AS INT) AS r, {TYPE_SQL} AS kind FROM v")
+def structure_type(spark, d):
+    return _inline(spark, _SHAPES, "s int, c int, r int").select("s", "c", "r", V.structure_type(F.col("s"), F.col("c"), F.col("r")).alias("kind"))
+
+
+_RECS = [(i, k, c, s, t) for i, (k, c, s, t) in enumerate((k, c, s, t) for k in ("sysResp", "scopeMultSrs", "condSysResp", "scopeCondMultSrs", "scopeMultCondSysResp", "multCondMultSrs", "otherType") for c in ([], ["trigger"], ["logicalExpression"], ["trigger", "trigger"]) for s in (0, 1) for t in (0, 1))]
+
+
+@query()
+def pattern_recommendation(spark, d):
+    df = _inline(spark, _RECS, "id int, kind string, conditions array<string>, scopes int, times int")
+    n = V.pattern_number(F.col("kind"), F.col("conditions"), F.col("scopes"), F.col("times"))
+    return df.select("id", n.alias("number"), V.pattern_name(n).alias("pattern"), V.pattern_template(n).alias("template"))
+
+
+_LABELS = [
+    (1, ["scope", "condition", "sysresp"]),
+    (2, ["sysresp", "condition"]),
+    (3, ["condition", "or", "condition", "sysresp"]),
+    (4, ["condition"]),
+    (5, ["notMatch"]),
+    (6, ["multCondPos", "multSrsPos"]),
+    (7, ["sysresp", "and", "sysrespPos"]),
+    (8, []),
+    (9, ["scope"]),
+]
+
+
+@query()
+def requirement_smell_rules(spark, d):
+    return smells.requirement_rules(_inline(spark, _LABELS, "id int, labels array<string>"))
+
+
+_SEGLABELS = [(i, x) for i, x in enumerate(["sysrespIncomplNoModal", "sysrespIncomplNoModalNoVerb", "condPosIncomplNoNoun", "conditionWithSymbol", "conditionS9", "conditionPosS10", "sysrespPassiveSR", "multCondPosAmbVerb", "sysrespPosWithAmbVerb", "scope", None])]
+
+
+@query()
+def segment_smell_rules(spark, d):
+    return smells.segment_rules(_inline(spark, _SEGLABELS, "id int, label string"))
+
+
+_TREES = [
+    ("r1", "(S (SBAR (WHADVP (WRB When)) (S (NP (DT the) (NN user)) (VP (VBZ logs) (PRT (RP in))))) (, ,) (NP (DT the) (NN system)) (VP (MD must) (VP (VB send) (NP (DT a) (NN mail)))) (. .))"),
+    ("r2", "(S (PP (IN For) (NP (DT each) (NN order))) (, ,) (NP (NN System)) (VP (MD must) (VP (VB be) (VP (VBN updated) (PP (IN by) (NP (NN staff))))))) "),
+    ("r3", "(S (NP (NN Text)) (VP (VBZ is) (ADJP (JJ short))))"),
+    ("r4", "(S (broken"),
+]
+
+
+@query()
+def tree_segments(spark, d):
+    return trees.segment_requirements(_inline(spark, _TREES, "req_id string, tree string"))
+
+
+# ---- runs ----------------------------------------------------------------------------------------
+
+@query("""SELECT d.source AS run, coalesce(d.lang, 'none') AS strategy, count(*) AS n, count(l.doc_id) AS evaluated, round(coalesce(avg(l.quality), 0), 10) AS pass_rate, round(avg(d.n_chars), 6) AS mean_chars
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2""")
+def run_overview(spark, d):
+    lab = table(spark, d, "labels").select("doc_id", "quality")
+    j = table(spark, d, "documents").select("doc_id", "source", F.coalesce("lang", F.lit("none")).alias("strategy"), "n_chars").join(lab, "doc_id", "left")
+    return j.groupBy(F.col("source").alias("run"), "strategy").agg(F.count("*").alias("n"), F.count("quality").alias("evaluated"), F.round(F.coalesce(F.avg("quality"), F.lit(0.0)), 10).alias("pass_rate"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+
+
