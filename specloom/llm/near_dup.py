@@ -4,12 +4,13 @@ A document is the set of its distinct word shingles, hashed to 64 bits; its sign
 Documents of equal sets form a class, which one node stands for. Two sets of the least similarity agree in at least
 ``matches_for`` coordinates but for about two pairs in a million, hence differ in at most so many of them: if the
 coordinates are dealt to one group more than that, such a pair agrees in all coordinates of some group. Only the
-groups' values (the prefix that any qualifying pair must share) are posted. Collisions are merged in two passes:
+groups' values (the prefix that any qualifying pair must share) are posted. Collisions are merged in passes:
 
 1. within each posting list every node is paired with the list's smallest node. Pairs that agree in enough coordinates
    are compared on their full sets, and confirmed links are joined to components.
-2. lists whose nodes are in one component by now are skipped. In the rest, all pairs across components that agree in
-   enough coordinates are compared in the same way; long lists in tiles of ``TILE`` nodes.
+2. lists whose nodes are in one component by now are skipped. In the rest, long ones in tiles of ``TILE`` nodes, each
+   node is paired with its best partner of another component, ``ROUNDS`` times over with components joined in between.
+3. all pairs across components that are left and agree in enough coordinates of a wide signature are compared.
 
 Only pairs inside one component are left out, so components are those of all links, while a large group of copies costs
 as many pairs as it has members.
@@ -31,24 +32,28 @@ from specloom.llm.common import LOWER, as_long, documents, materialize, mix, n_p
 from specloom.llm.components import connected_components
 
 COORDINATES = 128
+#: Coordinates, of a byte each, of the wide signatures that the last pass compares.
+WIDE = 1024
 #: Share of qualifying pairs that may agree in fewer coordinates than are asked for.
 MISSES = 2e-6
 TILE = 1024
+#: Rounds of best partners before all remaining pairs are compared.
+ROUNDS = 3
 
 
-def matches_for(percent: int) -> int:
+def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
     """Coordinates in which sets of this similarity agree but for MISSES of them: a tail of the binomial distribution."""
     p, tail, k = min(percent, 99) / 100, 0.0, 0
     while True:
-        tail += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        tail += math.exp(math.lgamma(coordinates + 1) - math.lgamma(k + 1) - math.lgamma(coordinates - k + 1) + k * math.log(p) + (coordinates - k) * math.log1p(-p))
         if tail > MISSES:
             return k
         k += 1
 
 
 _RNG = np.random.default_rng(5)
-_A = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_A = _RNG.integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 _STEP = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9E3779B185EBCA87)]
 
 
@@ -69,14 +74,14 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(x)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of COORDINATES 16-bit minima for each set, none of which may be empty."""
-    out = np.empty((len(sets), COORDINATES), np.uint16)
+def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
+    """One row of 16-bit minima for each set, none of which may be empty."""
+    out = np.empty((len(sets), coordinates), np.uint16)
     if not sets:
         return out
     at = np.cumsum([0, *map(len, sets)])[:-1]
     values = np.concatenate(sets)
-    for k in range(COORDINATES):
+    for k in range(coordinates):
         # 16 middle bits of a 32-bit minimum: all agree where the minima do
         low = np.minimum.reduceat(((values * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), at)
         out[:, k] = (low * np.uint32(0x9E3779B1)) >> np.uint32(16)
@@ -178,28 +183,60 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return source.select("node", "text").mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"])
 
 
-def _cross_pairs(lists: DataFrame, matches: int) -> DataFrame:
-    """All pairs across components, within a tile of a list, that agree in so many coordinates."""
+def _wide(sets: DataFrame) -> DataFrame:
+    """node, sig: wide signatures of the given sets."""
+
+    def run(batches):
+        for big in batches:
+            for at in range(0, big.num_rows, 100):
+                b = big.slice(at, 100)
+                sig = signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)], WIDE).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "sig"])
+
+    return sets.select("node", "items").mapInArrow(run, "node bigint, sig binary")
+
+
+def _across(lists: DataFrame, matches: int, mode: str) -> DataFrame:
+    """Pairs a, b across components, within a tile of a list, that agree in so many coordinates.
+
+    mode best: one for each node outside the tile's largest component, with the partner that agrees most; nodes: each
+    node that has a partner, as a and b; all: all pairs, by wide signatures.
+    """
+    kind = np.uint8 if mode == "all" else np.uint16
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def work(t: pa.Table):
             key = np.stack([t.column(c).to_numpy() for c in range(3)])
-            node, label = t.column(3).to_numpy(), t.column(4).to_numpy()
-            side = t.column(5).to_numpy()
-            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+            node, label, side = (t.column(c).to_numpy() for c in (3, 4, 5))
+            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), kind).reshape(t.num_rows, -1)
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             a, b = [], []
-            for i, j in zip([0, *cut], [*cut, len(node)], strict=True):
-                same = key[1, i] == key[2, i]
-                for x in range(i, j - 1):
-                    rest = np.flatnonzero(label[x + 1 : j] != label[x]) if same else np.flatnonzero((label[x + 1 : j] != label[x]) & (side[x + 1 : j] != side[x]))
-                    if len(rest):
-                        rest = rest + x + 1
-                        hit = rest[(sig[rest] == sig[x]).sum(1) >= matches]
-                        a += np.minimum(node[hit], node[x]).tolist()
-                        b += np.maximum(node[hit], node[x]).tolist()
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(node)], strict=True):
+                minor = range(i, j)
+                if mode == "best":
+                    _, at, sizes = np.unique(label[i:j], return_inverse=True, return_counts=True)
+                    minor = (i + np.flatnonzero(at != int(np.argmax(sizes)))).tolist()
+                for x in minor:
+                    other = label[i:j] != label[x]
+                    if key[1, i] != key[2, i]:
+                        other = other & (side[i:j] != side[x])
+                    if mode == "all":
+                        other[: x - i + 1] = False
+                    rest = i + np.flatnonzero(other)
+                    if not len(rest):
+                        continue
+                    agree = (sig[rest] == sig[x]).sum(1)
+                    hit = rest[agree >= matches]
+                    if not len(hit):
+                        continue
+                    if mode == "nodes":
+                        hit = np.array([x])
+                    elif mode == "best":
+                        hit = rest[[int(np.argmax(agree))]]
+                    a += np.minimum(node[hit], node[x]).tolist()
+                    b += np.maximum(node[hit], node[x]).tolist()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -215,7 +252,7 @@ def _cross_pairs(lists: DataFrame, matches: int) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held))
 
-    return lists.mapInArrow(run, "a bigint, b bigint").distinct()
+    return lists.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -235,23 +272,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     labels = connected_components(spark, links)
     release(spark)
 
-    labelled = post.join(labels, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label"))
-    open_lists = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = labelled.join(open_lists, "key").withColumn("t", tiles).withColumn("side", part)
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "node", "label", "side")
-    dealt = dealt.join(nodes.select("node", "sig"), "node").select("key", "i", "j", "node", "label", "side", "sig")
-    second = _cross_pairs(dealt.repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j"), matches)
-    second = materialize(spark, second.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        ids = second.select("a").union(second.select("b")).distinct().select(F.col("a").alias("node"))
-        known = sets.select("node")
-        more = nodes.join(ids, "node", "left_semi").join(known, "node", "left_anti")
-        sets = sets.unionByName(materialize(spark, _full_sets(docs, more, size), "sets"))
-        extra = materialize(spark, _confirm(second, sets, percent), "links")
+    def open_tiles(labels: DataFrame, sigs: DataFrame) -> DataFrame:
+        """Members of lists that still hold several components, dealt in tiles."""
+        labelled = post.join(labels, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label"))
+        several = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+        dealt = labelled.join(several, "key").withColumn("t", F.ceil(F.col("m") / TILE).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), "t").cast("int"))
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "node", "label", "side")
+        dealt = dealt.join(sigs, "node").select("key", "i", "j", "node", "label", "side", "sig")
+        return dealt.repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def with_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+        more = materialize(spark, nodes.join(ids, "node", "left_semi").join(sets.select("node"), "node", "left_anti").select("node", "doc_id"), "nodes")
+        return sets if more.isEmpty() else sets.unionByName(materialize(spark, _full_sets(docs, more, size), "sets"))
+
+    # links across what were separate components: a few rounds that join most of a group by its nodes' best partners,
+    # then a last one with all pairs that are left
+    tested, narrow = first, nodes.select("node", "sig")
+    for last in (*[False] * ROUNDS, True):
+        if last:
+            ids = materialize(spark, _across(open_tiles(labels, narrow), matches, "nodes").select(F.col("a").alias("node")).distinct(), "nodes")
+            sets = with_sets(sets, ids)
+            wide = materialize(spark, _wide(sets.join(ids, "node", "left_semi")), "wide")
+            found = _across(open_tiles(labels, wide), matches_for(percent, WIDE), "all")
+        else:
+            found = _across(open_tiles(labels, narrow), matches, "best")
+        pairs = materialize(spark, found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        sets = with_sets(sets, pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")))
+        extra = materialize(spark, _confirm(pairs, sets, percent), "links")
+        tested = tested.union(pairs)
         if not extra.isEmpty():
-            labels = connected_components(spark, links.union(extra))
+            links = links.union(extra)
+            labels = connected_components(spark, links)
+        release(spark)
 
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
