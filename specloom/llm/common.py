@@ -39,7 +39,17 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts lineage and survives lost executors."""
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more, then what shuffles are done with."""
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._table_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
 
 
 def release(spark: SparkSession) -> None:

@@ -19,9 +19,9 @@ from specloom.llm.windows import Anchors, KeyFilter, blocks, filter_words
 #: Largest key filter: 2**28 bits, 32 MB. With more keys it lets more rows pass that later steps drop; nothing is lost.
 MAX_FILTER_BITS = 28
 #: Anchors that occur more often are told apart by whole windows, so no group grows with one passage.
-HOT = 256
+HOT = 4096
 #: Symbols of a task's documents handled together.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Windows held while equal ones are searched.
 HELD = 2_000_000
 

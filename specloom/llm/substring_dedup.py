@@ -18,7 +18,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm.common import documents, materialize, release, words_of
+from specloom.llm.common import discard, documents, materialize, release, words_of
 from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, named, opened, repeated_windows, window_rows
 from specloom.llm.windows import Anchors, blocks
 
@@ -47,7 +47,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
 
     spans = repeated_windows(spark, named(docs).mapInArrow(run, WINDOW_ROWS), window)
     spans = materialize(spark, spans, "runs")
-    release(spark)
+    discard(spark, counts)
     return gather_spans(spans)
 
 

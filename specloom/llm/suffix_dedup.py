@@ -24,18 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import as_long, documents, materialize, mix, release, span_hash, symbol_table
+from specloom.llm.common import as_long, discard, documents, materialize, mix, release, span_hash
 from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, merge, named, opened, repeated_windows, row_id, row_tag, window_rows
 from specloom.llm.windows import Anchors, blocks
 
 WINDOW = 200
 GRAM = 64
-_BYTES = symbol_table(3)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _symbols(data: bytes) -> np.ndarray:
-    return _BYTES[np.frombuffer(data, np.uint8)]
+    return np.frombuffer(data, np.uint8)
 
 
 def doubled(a: Anchors, pick: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
@@ -70,20 +69,21 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
                     own, off = a.seq[pick], a.base[pick]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(ids[own]), pa.array(tags[own]), pa.array((a.lo[pick] - off).astype(np.int64)), pa.array((a.hi[pick] - off + window).astype(np.int64)),
-                        pa.array(as_long(a.key[pick])), pa.array(as_long(a.extent(pick))), pa.array(as_long(np.stack(ranks, 1).ravel()).reshape(len(pick), -1).tolist(), pa.list_(pa.int64())),
+                        pa.array(as_long(a.key[pick])), pa.array(as_long(a.extent(pick))), pa.ListArray.from_arrays(np.arange(len(pick) + 1, dtype=np.int32) * len(ranks), as_long(np.stack(ranks, 1).ravel())),
                     ], names=["id", "tag", "s", "e", "key", "extent", "ranks"])
 
     found = materialize(spark, named(docs).mapInArrow(survivors, "id bigint, tag bigint, s bigint, e bigint, key bigint, extent bigint, ranks array<bigint>"), "positions")
 
     # prefix doubling: a rank is judged only where the shorter one was shared
     shared = None
-    levels, have = 0, gram
+    levels, have, tables = 0, gram, []
     while have < window:
         have, levels = min(2 * have, window), levels + 1
     current = found.select("ranks")
     for level in range(levels):
         rank = F.col("ranks")[level]
         again = materialize(spark, current.groupBy(rank.alias("rank")).agg(F.count("*").alias("n")).where("n > 1").select("rank"), "ranks")
+        tables.append(again)
         shared = again if shared is None else shared.union(again)
         if level + 1 < levels:
             current = current.withColumn("rank", rank).join(again, "rank", "left_semi").select("ranks")
@@ -96,12 +96,12 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     mixed = extents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     border = key_filter(spark, mixed)
     copied = key_filter(spark, extents.where("n > 1"), "extent")
-    release(spark)
+    discard(spark, counts, found, extents, *tables)
 
     def windows(batches):
         unsure, common, seen, known = opened(border), opened(hot), opened(copied), opened(common_ranks)
+        first: set[int] = set()
         for ids, tags, seqs in chunks(batches, _symbols):
-            first: set[int] = set()
             for b in blocks(seqs, window):
                 a = Anchors(seqs, b, window, gram)
                 pick = np.flatnonzero(unsure.holds(a.key))
@@ -131,7 +131,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
 
     rest = repeated_windows(spark, named(docs).mapInArrow(windows, WINDOW_ROWS), window)
     spans = materialize(spark, rest.union(whole), "runs")
-    release(spark)
+    discard(spark, whole)
     return gather_spans(spans)
 
 

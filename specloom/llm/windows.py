@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 
-from specloom.llm.common import Powers, mix, prefix_sums, span_hash
+from specloom.llm.common import Powers, mix, prefix_sums, span_hash, symbol_table
 
 #: Symbols handled at once; offsets within a block take 24 bits.
 BLOCK = 1 << 21
 _POWERS = Powers()
+_BYTES = symbol_table(3)
 _LOW = np.uint64((1 << 24) - 1)
 _HIGH = ~_LOW
 
@@ -58,6 +59,8 @@ class Anchors:
 
     def __init__(self, sequences: list[np.ndarray], block: list[tuple[int, int, int]], length: int, gram: int):
         values = np.concatenate([sequences[i][s:e] for i, s, e in block]) if len(block) > 1 else sequences[block[0][0]][block[0][1] : block[0][2]]
+        if values.dtype == np.uint8:
+            values = _BYTES[values]
         self.length, self.gram = length, gram
         self.sums, self.down = prefix_sums(values, _POWERS)
         n = len(values)
