@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are words (lower-cased A-Z, runs of letters and digits of any script). Each fixed mask spans some words and looks
+Texts are words (lower-cased runs of letters and digits of any script). Each fixed mask spans some words and looks
 at part of them, so a hash under it survives substitutions at the positions it ignores. Hashes of the benchmark items
 under all masks form the index, sorted and split in blocks of bounded size; every document's hashes under the same
 masks are looked up in each block. A hit fixes an alignment of document and item, along which the longest stretch is
@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm.common import LOWER, Powers, documents, mix, prefix_sums, span_hash, symbol_table, with_columns_of
+from specloom.llm.common import Powers, documents, mix, prefix_sums, span_hash, symbol_table, with_columns_of
 
 #: Spaced seeds: a 1 is a position that is compared. The last is for short items.
 MASKS = ("11101100101011", "11010011101101", "1111110111", "11111111")
@@ -37,12 +37,13 @@ def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words of a text."""
     if not text:
         return np.zeros(0, np.uint64)
-    data = text.encode("utf-8", "replace").translate(LOWER)
+    text = text.lower()
+    data = text.encode("utf-8", "replace")
     a = np.frombuffer(data, np.uint8)
     # ASCII is decided by table; other characters count as letters unless a rare check finds some that are not
     inside = _IN_WORD[a]
     if not text.isascii() and _ODD.search(text):
-        data = _LETTERS.sub(" ", text).encode("utf-8", "replace").translate(LOWER)
+        data = _LETTERS.sub(" ", text).encode("utf-8", "replace")
         a = np.frombuffer(data, np.uint8)
         inside = _IN_WORD[a]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
@@ -51,7 +52,7 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 _IN_WORD = np.zeros(256, bool)
-_IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _ODD = regex.compile(r"[^\p{L}\p{N}\x00-\x7F]")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import as_long, n_partitions, with_columns_of
+from specloom.llm.common import as_long, mix, n_partitions, with_columns_of
 from specloom.llm.windows import Anchors, KeyFilter, blocks, filter_words
 
 #: Largest key filter: 2**28 bits, 32 MB. With more keys it lets more rows pass that later steps drop; nothing is lost.
@@ -87,28 +87,50 @@ def opened(frozen) -> KeyFilter:
     return KeyFilter(*frozen.value)
 
 
-WINDOW_ROWS = "g bigint, id bigint, tag bigint, lo bigint, wins binary"
+#: wins: hashes of consecutive windows from lo on; or none, and e is the end of a run known to be repeated (else -1).
+WINDOW_ROWS = "g bigint, id bigint, tag bigint, lo bigint, e bigint, wins binary"
+
+
+def _runs(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of consecutive positions of one row."""
+    brk = np.flatnonzero((np.diff(at) != 1) | (np.diff(row) != 0)) + 1
+    return np.concatenate([[0], brk]).astype(np.int64), np.concatenate([brk - 1, [len(at) - 1]]).astype(np.int64)
 
 
 def window_rows(anchors: Anchors, pick: np.ndarray, ids: np.ndarray, tags: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-    """Rows of WINDOW_ROWS: one per picked anchor, grouped by its key, or for hot anchors one per window."""
+    """Rows of WINDOW_ROWS: one per picked anchor, grouped by its key; for hot anchors one per window.
+
+    Hot windows that are equal within this block are repeated for certain: their runs are sent as such and one of each
+    stands for all, so that a window that a third of all documents share is sent once a block.
+    """
     cold, warm = pick[~hot], pick[hot]
-    hashes, count = anchors.window_hashes(cold)
-    ends = np.cumsum(count) * 8
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
     lo = (anchors.lo - anchors.base).astype(np.int64)
-    g, owner, at = [anchors.key[cold]], [anchors.seq[cold]], [lo[cold]]
+    hashes, count = anchors.window_hashes(cold)
+    g, owner, at, end, sizes = [anchors.key[cold]], [anchors.seq[cold]], [lo[cold]], [np.full(len(cold), -1)], [count]
     each, n = anchors.window_hashes(warm)
     if len(each):
-        first = np.cumsum(n) - n
-        g.append(each)
-        owner.append(np.repeat(anchors.seq[warm], n))
-        at.append(np.arange(len(each)) - np.repeat(first - lo[warm], n))
-        offsets = np.concatenate([offsets, offsets[-1] + 8 * np.arange(1, len(each) + 1)]).astype(np.int32)
-        hashes = np.concatenate([hashes, each])
-    g, owner, at = np.concatenate(g), np.concatenate(owner), np.concatenate(at)
+        row = np.repeat(np.arange(len(warm)), n)
+        pos = np.arange(len(each)) - np.repeat(np.cumsum(n) - n - lo[warm], n)
+        _, lead, back, times = np.unique(each, return_index=True, return_inverse=True, return_counts=True)
+        g.append(each[lead])
+        owner.append(anchors.seq[warm][row[lead]])
+        at.append(pos[lead])
+        end.append(np.full(len(lead), -1))
+        sizes.append(np.ones(len(lead), np.int64))
+        hashes = np.concatenate([hashes, each[lead]])
+        again = np.flatnonzero(times[back] > 1)
+        if len(again):
+            b, e = _runs(row[again], pos[again])
+            first = again[b]
+            g.append(mix(pos[first].astype(np.uint64) + tags[anchors.seq[warm][row[first]]].view(np.uint64)))
+            owner.append(anchors.seq[warm][row[first]])
+            at.append(pos[first])
+            end.append(pos[again[e]] + anchors.length)
+            sizes.append(np.zeros(len(b), np.int64))
+    g, owner, at, end, sizes = (np.concatenate(x) for x in (g, owner, at, end, sizes))
+    offsets = np.concatenate([[0], 8 * np.cumsum(sizes)]).astype(np.int32)
     wins = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(hashes))])
-    return pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(ids[owner]), pa.array(tags[owner]), pa.array(at.astype(np.int64)), wins], names=["g", "id", "tag", "lo", "wins"])
+    return pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(ids[owner]), pa.array(tags[owner]), pa.array(at.astype(np.int64)), pa.array(end.astype(np.int64)), wins], names=["g", "id", "tag", "lo", "e", "wins"])
 
 
 def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataFrame:
@@ -120,28 +142,32 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataF
     def search(t: pa.Table):
         wins = t.column("wins").combine_chunks()
         wins = pa.concat_arrays(wins.chunks) if isinstance(wins, pa.ChunkedArray) else wins
-        sizes = np.diff(np.frombuffer(wins.buffers()[1], np.int32)[wins.offset : wins.offset + len(wins) + 1]) // 8
-        first = np.frombuffer(wins.buffers()[1], np.int32)[wins.offset]
-        h = np.frombuffer(wins.buffers()[2], np.uint64, int(sizes.sum()), int(first))
+        bounds = np.frombuffer(wins.buffers()[1], np.int32)[wins.offset : wins.offset + len(wins) + 1]
+        sizes = np.diff(bounds).astype(np.int64) // 8
+        total = int(sizes.sum())
+        h = np.frombuffer(wins.buffers()[2], np.uint64, total, int(bounds[0])) if total else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         eq = h[order][1:] == h[order][:-1]
         dup = np.zeros(len(h), bool)
         dup[order[1:][eq]] = True
         dup[order[:-1][eq]] = True
+        lo, known = t.column("lo").to_numpy(), t.column("e").to_numpy()
         row = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(t.column("lo").to_numpy(), sizes)
+        at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes - lo, sizes)
         k = np.flatnonzero(dup)
-        if not len(k):
+        owner, s, e = np.flatnonzero(known >= 0), lo[known >= 0], known[known >= 0]
+        if len(k):
+            first, last = _runs(row[k], at[k])
+            owner, s, e = np.concatenate([owner, row[k[first]]]), np.concatenate([s, at[k[first]]]), np.concatenate([e, at[k[last]] + length])
+        if not len(owner):
             return None
-        brk = np.flatnonzero((np.diff(k) > 1) | (np.diff(row[k]) > 0)) + 1
-        b, e = k[np.concatenate([[0], brk])], k[np.concatenate([brk - 1, [len(k) - 1]])]
-        return pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[row[b]]), pa.array(t.column("tag").to_numpy()[row[b]]), pa.array(at[b]), pa.array(at[e] + length)], names=["id", "tag", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[owner]), pa.array(t.column("tag").to_numpy()[owner]), pa.array(s), pa.array(e)], names=["id", "tag", "s", "e"])
 
     def run(batches):
         held, size = [], 0
         for b in batches:
             held.append(b)
-            size += b.column(4).nbytes // 8
+            size += b.num_rows + b.column(5).nbytes // 8
             if size < HELD:
                 continue
             t = pa.Table.from_batches(held)
@@ -153,7 +179,7 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataF
                     yield out
                 t = t.slice(cut)
             held = t.to_batches()
-            size = sum(x.column(4).nbytes for x in held) // 8
+            size = 0
         if held and (out := search(pa.Table.from_batches(held))) is not None:
             yield out
 
