@@ -15,17 +15,25 @@ from pyspark.sql.window import Window
 from specloom.functions.text import SLOTS, blank, is_non_atomic, preclean, safe_id, safe_int, slot_value, truthy
 from specloom.operators.smells import SMELLS
 
+# Column and field names of the stored files.
 GOLD_COLUMNS = (
     ["reqId", "phase", "order", "nlText", "nlDescription", *(f"gold_{s}" for s in SLOTS), "gold_conditionType", "gold_overallIncomplete", "gold_hadDisagreement", "annotatorUsername", "rimayText", *(f"slot_{s}" for s in SLOTS)]
     + ["conditionType", "nonAtomic", "overallIncomplete", "notes"]
 )
 SLOT_STRUCT = T.StructType([T.StructField(s, T.StringType()) for s in SLOTS])
 SMELL_STRUCT = T.StructType([T.StructField(c, T.StringType()) for c in ("segment_id", "smell", "value")])
-MANIFEST = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("reqId", "strategy", "rimay", "rimay_stripped")]
-    + [T.StructField("llm_slots", SLOT_STRUCT), T.StructField("is_non_atomic", T.BooleanType()), T.StructField("paska_passed", T.BooleanType()), T.StructField("paska_smells", T.ArrayType(SMELL_STRUCT)), T.StructField("paska_error", T.StringType()), T.StructField("model", T.StringType())]
-    + [T.StructField(c, T.LongType()) for c in ("latency_ms", "input_tokens", "output_tokens")]
-)
+
+
+def manifest_schema(checker: str = "tool") -> T.StructType:
+    """Fields of a conversion record as files hold them; those of the smell checker begin with its name there."""
+    return T.StructType(
+        [T.StructField(c, T.StringType()) for c in ("reqId", "strategy", "rimay", "rimay_stripped")]
+        + [T.StructField("llm_slots", SLOT_STRUCT), T.StructField("is_non_atomic", T.BooleanType()), T.StructField(f"{checker}_passed", T.BooleanType()), T.StructField(f"{checker}_smells", T.ArrayType(SMELL_STRUCT))]
+        + [T.StructField(c, T.StringType()) for c in (f"{checker}_error", "model")]
+        + [T.StructField(c, T.LongType()) for c in ("latency_ms", "input_tokens", "output_tokens")]
+    )
+
+
 SMELL_COLUMNS = ["req_id", "segment_id", "segment", *SMELLS, "pattern", "template"]
 
 
@@ -50,15 +58,18 @@ def gold_requirements(rows: DataFrame) -> DataFrame:
     return out.select("req_id", "ordinal", "f.phase", F.col("f.nlText").alias("nl_text"), F.col("f.nlDescription").alias("nl_description"), safe_int(F.col("f.order")).alias("order"), *slots, slot_value(F.col("f.gold_conditionType")).alias("gold_condition_type"), truthy(F.col("f.gold_overallIncomplete")).alias("gold_incomplete"), truthy(F.col("f.gold_hadDisagreement")).alias("had_disagreement"), "annotations")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Conversion records, one JSON object a line; blank lines are skipped and the last record of an id wins."""
+def read_manifest(spark: SparkSession, path: str, checker: str = "tool") -> DataFrame:
+    """Conversion records, one JSON object a line; blank lines are skipped and the last record of an id wins.
+
+    The checker's fields come out as check_passed, check_smells and check_error."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("line", F.monotonically_increasing_id())
-    rec = lines.select("line", F.from_json("value", MANIFEST).alias("r"))
-    return rec.groupBy(F.col("r.reqId").alias("id")).agg(F.max_by("r", "line").alias("r")).select("r.*")
+    rec = lines.select("line", F.from_json("value", manifest_schema(checker)).alias("r"))
+    last = rec.groupBy(F.col("r.reqId").alias("id")).agg(F.max_by("r", "line").alias("r")).select("r.*")
+    return last.withColumnsRenamed({f"{checker}_{c}": f"check_{c}" for c in ("passed", "smells", "error")})
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_manifest(df: DataFrame, path: str, checker: str = "tool") -> None:
+    df.withColumnsRenamed({f"check_{c}": f"{checker}_{c}" for c in ("passed", "smells", "error")}).write.mode("overwrite").json(path)
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:

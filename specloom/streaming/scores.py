@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.functions.text import SLOTS, is_missing
-from specloom.sources.records import MANIFEST
+from specloom.sources.records import manifest_schema
 
 
 def stream_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Records as their files arrive in a folder."""
-    return spark.readStream.schema(MANIFEST).json(folder)
+    return spark.readStream.schema(manifest_schema()).json(folder)
 
 
 def unpivot(records: DataFrame) -> DataFrame:

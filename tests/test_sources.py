@@ -20,10 +20,10 @@ def test_gold(spark, tmp_path):
 
 def test_manifest_last_record_wins(spark, tmp_path):
     p = tmp_path / "m.jsonl"
-    rec = {"reqId": "a", "rimay": "one", "llm_slots": {"actor": "missing"}, "paska_passed": None}
-    p.write_text(json.dumps(rec) + "\n\n" + json.dumps(rec | {"rimay": "two", "paska_smells": [{"segment_id": "1", "smell": "s", "value": "v"}]}) + "\n")
+    rec = {"reqId": "a", "rimay": "one", "llm_slots": {"actor": "missing"}, "tool_passed": None}
+    p.write_text(json.dumps(rec) + "\n\n" + json.dumps(rec | {"rimay": "two", "tool_smells": [{"segment_id": "1", "smell": "s", "value": "v"}]}) + "\n")
     (r,) = R.read_manifest(spark, str(p)).collect()
-    assert r.rimay == "two" and r.paska_passed is None and r.llm_slots.actor == "missing" and r.paska_smells[0].smell == "s"
+    assert r.rimay == "two" and r.check_passed is None and r.llm_slots.actor == "missing" and r.check_smells[0].smell == "s"
     R.write_manifest(R.read_manifest(spark, str(p)), str(tmp_path / "out"))
     assert R.read_manifest(spark, str(tmp_path / "out")).count() == 1
 
