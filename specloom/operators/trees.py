@@ -103,7 +103,7 @@ def condition(n: Node) -> bool:
     if not n.is_("SBAR") or n.under("SBAR") or not n.children:
         return False
     head = n.children[0]
-    return head.is_("IN|WHADVP|WRB") and "that" not in [w.lower() for w in head.words()] and any(c.is_("S|SINV|SQ") and c.has("VB.*") for c in n.children)
+    return head.is_("IN|WHADVP|WRB") and head.words()[:1] != [] and head.words()[0].lower() not in ("that", "as", "in", "so", "of", "to") and any(c.is_("S|SINV|SQ") and c.has("VB.*") for c in n.children)
 
 
 def loose_condition(n: Node) -> bool:
@@ -121,7 +121,27 @@ def verbless_condition(n: Node) -> bool:
 
 def scope(n: Node) -> bool:
     """A phrase opened by 'for' beside a clause's subject or its modal verb phrase."""
-    return n.is_("PP") and bool(n.words()) and n.words()[0].lower() == "for" and n.has("N.*|DT") and (bool(n.after()) and any(x.is_("VP|S|NP|RB|ADVP|,") for x in n.after()) or n.under("VP")) and not n.under("PP")
+    return n.is_("PP") and bool(n.words()) and n.words()[0].lower() == "for" and n.has("N.*|DT") and (bool(n.after()) and any(x.is_("VP|S|NP|RB|ADVP|,") for x in n.after()) or n.under("VP")) and not n.under("PP|SBAR")
+
+
+def joined_by_or(n: Node) -> bool:
+    """Clauses or verb phrases of a condition joined by 'or', which may bind in more than one way."""
+    for v in n.walk():
+        kids = v.children
+        if any(c.is_("CC") and c.words() == ["or"] for c in kids) and sum(c.is_("VP|S|SBAR") for c in kids) > 1:
+            return True
+    return False
+
+
+def main_verb(tags: list[tuple[str, str]]) -> str | None:
+    """The last of the first run of verbs, with adverbs between: the verb after its auxiliaries."""
+    verb = None
+    for word, tag in tags:
+        if tag.startswith("VB"):
+            verb = word
+        elif verb is not None and not tag.startswith("RB"):
+            break
+    return verb
 
 
 def passive(n: Node) -> bool:
@@ -133,6 +153,22 @@ def passive(n: Node) -> bool:
     return False
 
 
+def several_actions(n: Node) -> bool:
+    """A response whose verb phrase joins two or more actions, in itself or with what follows it."""
+    for v in n.walk():
+        if v.is_("VP") and not any(a.is_("SBAR") for a in _between(v, n)) and any(c.is_("CC|,") for c in v.children) and sum(c.is_("VP|VB.*") for c in v.children) > 1:
+            return True
+    later = n.after()
+    return any(a.is_("CC|,") and b.is_("VP") for a, b in zip(later, later[1:], strict=False))
+
+
+def _between(v: Node, top: Node):
+    for a in v.ancestors():
+        if a is top:
+            return
+        yield a
+
+
 #: Label -> predicate, in the order in which they are tried.
 RULES = (("scope", scope), ("condition", condition), ("conditionLoose", loose_condition), ("conditionNoVerb", verbless_condition), ("sysresp", response))
 
@@ -149,7 +185,7 @@ def clause_span(label: str, n: Node) -> tuple[int, int]:
 
 
 def segments(tree: str | None) -> list[dict]:
-    """Segments of a requirement in order: start, end (exclusive), label, passive, verb, text. Gaps are 'notMatch'."""
+    """Segments of a requirement in order: start, end (exclusive), label, passive, verbs, main, modal, text. Gaps are 'notMatch'."""
     root = parse(tree)
     if root is None:
         return []
@@ -166,7 +202,8 @@ def segments(tree: str | None) -> list[dict]:
                     elif s < a < e:
                         e = a
                 if s < e:
-                    found.append((s, e, label, passive(n)))
+                    name = "multSrs" if label == "sysresp" and several_actions(n) else "multCondCoordAmb" if label.startswith("condition") and joined_by_or(n) else label
+                    found.append((s, e, name, passive(n)))
     out, at = [], 0
     for s, e, label, p in sorted(found):
         if s > at:
@@ -175,16 +212,16 @@ def segments(tree: str | None) -> list[dict]:
         at = max(at, e)
     if at < len(words):
         out.append((at, len(words), "notMatch", False))
-    verb = lambda s, e: next((words[i] for i in range(s, e) if tags[i].startswith("VB")), None)
-    return [{"start": s, "end": e, "label": x, "passive": p, "verb": verb(s, e), "text": " ".join(words[s:e])} for s, e, x, p in out]
+    verbs = lambda s, e: [words[i] for i in range(s, e) if tags[i].startswith("VB")]
+    return [{"start": s, "end": e, "label": x, "passive": p, "verbs": verbs(s, e), "main": main_verb(list(zip(words[s:e], tags[s:e], strict=True))), "modal": "MD" in tags[s:e], "text": " ".join(words[s:e])} for s, e, x, p in out]
 
 
 def segment_requirements(trees: DataFrame) -> DataFrame:
-    """req_id, k, start, end, label, passive, verb, text: the segments of every row (req_id, tree)."""
+    """req_id, k, start, end, label, passive, verbs, main, modal, text: the segments of every row (req_id, tree)."""
 
     def run(frames):
         for f in frames:
             rows = [(i, k, *s.values()) for i, t in zip(f["req_id"], f["tree"], strict=True) for k, s in enumerate(segments(t), 1)]
-            yield pd.DataFrame(rows, columns=["req_id", "k", "start", "end", "label", "passive", "verb", "text"])
+            yield pd.DataFrame(rows, columns=["req_id", "k", "start", "end", "label", "passive", "verbs", "main", "modal", "text"])
 
-    return trees.select("req_id", "tree").mapInPandas(run, "req_id string, k int, start int, end int, label string, passive boolean, verb string, text string")
+    return trees.select("req_id", "tree").mapInPandas(run, "req_id string, k int, start int, end int, label string, passive boolean, verbs array<string>, main string, modal boolean, text string")

@@ -42,3 +42,20 @@ def test_segments():
     assert got[2]["text"] == "the system must send a mail"
     spans = [(s["start"], s["end"]) for s in got]
     assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_detector_on_trees(spark):
+    from specloom.plans import detector
+
+    rows = [
+        ("r1", "(S (SBAR (WHADVP (WRB When)) (S (NP (NN mail)) (VP (VBZ is) (VP (VBN received))))) (, ,) (NP (NN System)) (VP (MD must) (VP (VP (VB support) (NP (PRP it))) (CC and) (VP (VB stop)))) (. .))"),
+        ("r2", "(S (NP (NN Text)) (VP (VBZ is) (ADJP (JJ short))))"),
+        ("r3", "(S (NP (NN System)) (VP (MD must) (VP (VB act))) (SBAR (IN if) (S (NP (NN x)) (VP (VBZ is) (ADJP (JJ set))))))"),
+    ]
+    out = detector.report(spark.createDataFrame(rows, "req_id string, tree string")).collect()
+    first = {r.req_id: r for r in out if r.ordinal == 1}
+    assert first["r1"]["Non-atomic requirement"] and first["r1"].pattern.startswith("7.") and "condition" in first["r1"]["Passive voice"]
+    assert any(r["Not precise verb"] for r in out if r.req_id == "r1")
+    assert first["r2"]["Not requirement"] and not first["r3"]["Not requirement"] and first["r3"]["Incorrect order requirement"]
+    t = detector.totals(detector.report(spark.createDataFrame(rows, "req_id string, tree string"))).first()
+    assert t.requirements == 3 and t.with_smells == 3
