@@ -32,7 +32,7 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     q = __spark_entry__.queries()
-    assert q["pipeline"] is corpus_pipeline.run and sum(k.startswith("op") and k[2].isdigit() for k in q) == 10
+    assert q["pipeline"].__wrapped__ is corpus_pipeline.run and sum(k.startswith("op") and k[2].isdigit() for k in q) == 10
     assert len(corpus_pipeline.STAGES) == 5
 
 
