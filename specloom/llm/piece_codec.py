@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm.common import documents, with_columns_of
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 TABLE_CHARS = 100
 MODEL = "piece_bpe_32k.model"
 
@@ -98,8 +98,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         c = codec(model_path(model))
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for at in range(0, big.num_rows, 200):
+                b = big.slice(at, 200)
                 ids = [c.encode(x.as_py() or "") for x in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 

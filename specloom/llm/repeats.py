@@ -21,9 +21,9 @@ MAX_FILTER_BITS = 28
 #: Anchors that occur more often are told apart by whole windows, so no group grows with one passage.
 HOT = 4096
 #: Symbols of a task's documents handled together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Windows held while equal ones are searched.
-HELD = 2_000_000
+HELD = 500_000
 
 
 def named(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from specloom.llm.common import Powers, mix, prefix_sums, span_hash, symbol_table
 
 #: Symbols handled at once; offsets within a block take 24 bits.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _POWERS = Powers()
 _BYTES = symbol_table(3)
 _LOW = np.uint64((1 << 24) - 1)
