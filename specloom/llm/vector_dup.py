@@ -94,7 +94,7 @@ class Forest:
 
 def unit(values: pa.Array) -> np.ndarray:
     """Rows of a list column as double vectors of length one."""
-    x = np.array(values.to_pylist(), np.float64)
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -109,20 +109,29 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.select("vec_id", "embedding", F.coalesce("ok", F.lit(False)).alias("ok")), v.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "embedding")
 
 
-def _compare(codes: list, ids: np.ndarray, n: np.ndarray, x: np.ndarray, side: np.ndarray, tiles: tuple[int, int], tree: int, leaf: int, cosine: float):
+def _met_before(codes: pa.ListArray, rows: np.ndarray, leaf: int) -> np.ndarray:
+    """Which pairs of ``rows`` share a leaf before this one: a square matrix. Leaves are ordered by their codes."""
+    part = codes.take(pa.array(rows))
+    values, owner = part.flatten().to_numpy(), np.repeat(np.arange(len(rows)), np.diff(part.offsets.to_numpy()))
+    early = values < leaf
+    _, column = np.unique(values[early], return_inverse=True)
+    member = np.zeros((len(rows), int(column.max()) + 1 if len(column) else 1), np.float32)
+    member[owner[early], column] = 1
+    return member @ member.T > 0
+
+
+def _compare(codes: pa.ListArray, ids: np.ndarray, n: np.ndarray, x: np.ndarray, side: np.ndarray, tiles: tuple[int, int], leaf: int, cosine: float):
     """Links first found in this leaf: for each row their number, and its smallest neighbour in the local component."""
     hit = x @ x.T >= cosine
     np.fill_diagonal(hit, False)
     if tiles[0] != tiles[1]:
         hit &= side[:, None] != side[None, :]
-    i, j = np.nonzero(np.triu(hit))
-    if not len(i):
+    rows = np.flatnonzero(hit.any(1))
+    if not len(rows):
         return None
-    keep = np.ones(len(i), bool)
-    for k in range(len(i)):
-        a, b = codes[i[k]], codes[j[k]]
-        keep[k] = min(a.intersection(b)) == (tree, leaf)
-    i, j = i[keep], j[keep]
+    new = hit[np.ix_(rows, rows)] & ~_met_before(codes, rows, leaf)
+    i, j = np.nonzero(np.triu(new))
+    i, j = rows[i], rows[j]
     if not len(i):
         return None
     links = np.zeros(len(ids), np.int64)
@@ -174,12 +183,10 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
             key = np.stack([t.column(c).to_numpy() for c in range(3)])
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             ids, n, side = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy()
+            vectors, codes = (pa.concat_arrays(t.column(c).chunks) for c in (6, 7))
+            x = unit(vectors)
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), t.num_rows], strict=True):
-                code = int(key[0, s])
-                part = t.slice(s, e - s)
-                x = unit(part.column(6).combine_chunks())
-                codes = [{(c >> 40, c & (1 << 40) - 1) for c in row} for row in part.column(7).to_pylist()]
-                found = _compare(codes, ids[s:e], n[s:e], x, side[s:e], (int(key[1, s]), int(key[2, s])), code >> 40, code & (1 << 40) - 1, cosine)
+                found = _compare(codes.slice(s, e - s), ids[s:e], n[s:e], x[s:e], side[s:e], (int(key[1, s]), int(key[2, s])), int(key[0, s]), cosine)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "links", "b"])
 
