@@ -255,6 +255,17 @@ def _across(lists: DataFrame, matches: int, mode: str) -> DataFrame:
     return lists.mapInArrow(run, "a bigint, b bigint")
 
 
+def _merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after the components that ``links`` connect become one; only labels pass through the search."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+    named = materialize(spark, named, "named")
+    top = connected_components(spark, named.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    every = labels.select("node", "label").union(named.select("a", "la")).union(named.select("b", "lb")).distinct()
+    top = top.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return materialize(spark, every.join(top, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: components of the links of ``percent`` similarity or more."""
     matches = matches_for(percent)
@@ -287,8 +298,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
 
     # links across what were separate components: a few rounds that join most of a group by its nodes' best partners,
     # then a last one with all pairs that are left
-    tested, narrow = first, nodes.select("node", "sig")
+    tested, narrow, fruitful = first, nodes.select("node", "sig"), True
     for last in (*[False] * ROUNDS, True):
+        if not last and not fruitful:
+            continue
         if last:
             ids = materialize(spark, _across(open_tiles(labels, narrow), matches, "nodes").select(F.col("a").alias("node")).distinct(), "nodes")
             sets = with_sets(sets, ids)
@@ -298,13 +311,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
             found = _across(open_tiles(labels, narrow), matches, "best")
         pairs = materialize(spark, found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
+            fruitful = False
             continue
         sets = with_sets(sets, pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")))
         extra = materialize(spark, _confirm(pairs, sets, percent), "links")
         tested = tested.union(pairs)
-        if not extra.isEmpty():
-            links = links.union(extra)
-            labels = connected_components(spark, links)
+        fruitful = not extra.isEmpty()
+        if fruitful:
+            labels = _merged(spark, labels, extra)
         release(spark)
 
     own = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from specloom.llm.common import documents, fresh_path, materialize, n_partitions, with_columns_of
 from specloom.llm.piece_codec import model_path
@@ -233,7 +232,6 @@ def write_store(spark: SparkSession, docs: DataFrame, name: str = TOKENIZER, end
     """Write all documents; the folder and a table (shard, n_docs, n_tokens) with a row per shard."""
     folder = fresh_path(spark, "tokens")
     source = with_columns_of(docs, "doc_id", "text")
-    id_type = source.schema["doc_id"].dataType
     ordered = source.repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
@@ -253,7 +251,6 @@ def write_store(spark: SparkSession, docs: DataFrame, name: str = TOKENIZER, end
             writer.close(ids, counts, kind)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
-    del id_type
     return folder, materialize(spark, ordered.mapInArrow(run, "shard int, n_docs bigint, n_tokens bigint"), "shards")
 
 
