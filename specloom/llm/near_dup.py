@@ -6,8 +6,8 @@ Documents of equal sets form a class, which one node stands for. Two sets of the
 coordinates are dealt to one group more than that, such a pair agrees in all coordinates of some group. Only the
 groups' values (the prefix that any qualifying pair must share) are posted. Collisions are merged in passes:
 
-1. within each posting list every node is paired with the list's smallest node. Pairs that agree in enough coordinates
-   are compared on their full sets, and confirmed links are joined to components.
+1. every node is paired with one of the smallest nodes of its posting lists, the one it collides with in most of them.
+   Pairs that agree in enough coordinates are compared on their full sets, and confirmed links joined to components.
 2. lists whose nodes are in one component by now are skipped. In the rest, long ones in tiles of ``TILE`` nodes, each
    node is paired with its best partner of another component, ``ROUNDS`` times over with components joined in between.
 3. all pairs across components that are left and agree in enough coordinates of a wide signature are compared.
@@ -276,7 +276,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     post = materialize(spark, post.join(lists, "key").select("key", "node", "a", "m"), "postings")
     release(spark)
 
-    first = materialize(spark, _agree(post.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes, matches), "pairs")
+    # of the lists' smallest nodes, the one that a node meets in most lists
+    met = post.where("a <> node").groupBy("node", "a").agg(F.count("*").alias("c"))
+    stars = met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    first = materialize(spark, _agree(stars, nodes, matches), "pairs")
     ids = first.select("a").union(first.select("b")).distinct().select(F.col("a").alias("node"))
     sets = materialize(spark, _full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets")
     links = materialize(spark, _confirm(first, sets, percent), "links")
