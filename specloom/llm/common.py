@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -73,6 +74,26 @@ def to_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+def pieces(batches, rows: int = 1000):
+    """The batches in parts of at most so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def trim() -> None:
+    """Hand memory that this Python worker no longer uses back to the system, as workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---- vectorised polynomial hashes modulo 2**64 ----------------------------------------------
 
 def symbol_table(seed: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import LOWER, as_long, documents, materialize, mix, n_partitions, release, to_bytes, with_columns_of, words_of
+from specloom.llm.common import LOWER, as_long, documents, materialize, mix, n_partitions, release, to_bytes, trim, with_columns_of, words_of
 from specloom.llm.components import connected_components
 
 COORDINATES = 128
@@ -133,6 +133,7 @@ def describe(docs: DataFrame, size: int, matches: int) -> DataFrame:
                     ids, sets, total = [], [], 0
             if ids:
                 yield some(ids, b.column(0).type, sets)
+        trim()
 
     source = with_columns_of(docs, "doc_id", "text")
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint, keys array<bigint>, sig binary")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm.common import documents, with_columns_of
+from specloom.llm.common import documents, trim, with_columns_of
 
 TABLE_WORDS = 250_000
 TABLE_CHARS = 100
@@ -102,6 +102,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 b = big.slice(at, 200)
                 ids = [c.encode(x.as_py() or "") for x in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        c.table.clear()
+        trim()
 
     source = with_columns_of(docs, "doc_id", "text")
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, decoded string")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import as_long, mix, n_partitions, with_columns_of
+from specloom.llm.common import as_long, mix, n_partitions, trim, with_columns_of
 from specloom.llm.windows import Anchors, KeyFilter, blocks, filter_words
 
 #: Largest key filter: 2**28 bits, 32 MB. With more keys it lets more rows pass that later steps drop; nothing is lost.
@@ -55,6 +55,8 @@ def chunks(batches, symbols: Callable[[bytes], np.ndarray]):
                 ids, tags, seqs, size = [], [], [], 0
     if ids:
         yield np.array(ids, np.int64), np.array(tags, np.int64), seqs
+    del ids, tags, seqs
+    trim()
 
 
 def anchor_counts(docs: DataFrame, symbols, length: int, gram: int) -> DataFrame:
@@ -182,6 +184,7 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataF
             size = 0
         if held and (out := search(pa.Table.from_batches(held))) is not None:
             yield out
+        trim()
 
     dealt = rows.repartition(n_partitions(spark), "g").sortWithinPartitions("g")
     return dealt.mapInArrow(run, "id bigint, tag bigint, s bigint, e bigint")
