@@ -1,10 +1,13 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits the vectors by the sign of a random projection against a threshold, again and again; vectors within a
-margin of the threshold go to both sides (spill), so a close pair is seldom parted in a tree and almost never in all
-``TREES`` of them. Thresholds and margins are quantiles of a sample of at most ``SAMPLE`` vectors; every vector is
-routed by them. The depth follows from the number of vectors, as far as the sample supports it; leaves that are still
-large are compared in tiles of ``TILE`` vectors, all tile pairs, so their size is no limit.
+Each tree splits the vectors by a random projection against a threshold, again and again; vectors within a margin of
+the threshold go to both sides (spill), so a close pair is seldom parted in a tree and almost never in all ``TREES`` of
+them. The margin is as wide as the distance of a pair at the least cosine along the projection, whatever the node holds.
+Of some directions and thresholds the one with the fewest vectors in its margin is taken, so cuts pass beside groups;
+where every margin holds ``CROWD`` of the vectors or more, the node is a group and stays whole. Thresholds come from a
+sample of at most ``SAMPLE`` vectors; every vector is routed by them. Nodes are split down to about ``LEAF`` vectors, as
+far as the sample supports it; larger leaves are compared in tiles of ``TILE`` vectors, all tile pairs, so their size is
+no limit.
 
 Within a leaf all pairs are compared by cosine in double precision. A pair that shares several leaves counts in the
 first of them only, so links can be counted without listing pairs. From each leaf go, for every vector, the number of
@@ -30,63 +33,75 @@ from specloom.llm.components import connected_components
 COSINE = 0.9
 TREES = 12
 LEAF = 192
-SPILL = 0.06
 SAMPLE = 20_000
+#: Directions and quantiles that a node tries for its threshold, on at most TRIAL of its vectors.
+DIRECTIONS = 8
+TRIAL = 512
+CUTS = (0.25, 0.35, 0.45, 0.5, 0.55, 0.65, 0.75)
+#: A node is not split if the best margin holds this share of it or more: its vectors are close to one another.
+CROWD = 0.3
 #: Sample vectors that a node needs to be split.
 SUPPORT = 24
 TILE = 1024
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, count: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 7):
-        """``sample``: unit vectors; ``count``: vectors to be routed."""
+    """Trees of nodes (direction, low, high, left child, right child); a node that is not split is None, a leaf."""
+
+    def __init__(self, sample: np.ndarray, count: int, trees: int = TREES, leaf: int = LEAF, cosine: float = COSINE, seed: int = 7):
+        """``sample``: unit vectors; ``count``: vectors to be routed; ``cosine``: least cosine of pairs to be kept together."""
         rng = np.random.default_rng(seed)
+        # along a standard normal direction two unit vectors of this cosine differ by so much, in standard deviations
+        self.width = math.sqrt(max(0.0, 2 - 2 * cosine))
         self.trees = []
-        dim = sample.shape[1] if len(sample) else 0
-        depth = max(0, math.ceil(math.log2(max(1, count) / leaf)))
         for _ in range(trees):
-            nodes: list[tuple[np.ndarray, float, float] | None] = []
-            level = [np.arange(len(sample))]
-            for d in range(depth):
-                below = []
-                for rows in level:
-                    if rows is None or len(rows) < SUPPORT:
-                        nodes.append(None)
-                        below += [rows, None]  # not split: all go left
-                        continue
-                    direction = rng.standard_normal(dim)
-                    x = sample[rows] @ direction
-                    a, b = np.quantile(x, [0.5 - spill, 0.5 + spill])
-                    nodes.append((direction, float(a), float(b)))
-                    below += [rows[x <= b], rows[x >= a]]
-                level = below
-            self.trees.append((depth, nodes))
+            nodes: list[tuple[np.ndarray, float, float, int, int] | None] = [None]
+            todo = [(0, np.arange(len(sample)))]
+            while todo:
+                k, rows = todo.pop()
+                if len(rows) < SUPPORT or len(rows) * count <= leaf * len(sample):
+                    continue
+                cut = self._cut(sample[rows], rng)
+                if cut is None:
+                    continue
+                direction, low, high = cut
+                x = sample[rows] @ direction
+                nodes[k] = (direction, low, high, len(nodes), len(nodes) + 1)
+                todo += [(len(nodes), rows[x <= high]), (len(nodes) + 1, rows[x >= low])]
+                nodes += [None, None]
+            self.trees.append(nodes)
+
+    def _cut(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float, float] | None:
+        """The direction and margin that the fewest vectors fall in; none if every one lies in a crowd."""
+        x = x if len(x) <= TRIAL else x[rng.choice(len(x), TRIAL, replace=False)]
+        directions = rng.standard_normal((x.shape[1], DIRECTIONS))
+        y = np.sort(x @ directions, axis=0)
+        middle = y[[int(q * (len(x) - 1)) for q in CUTS]]
+        best, out = CROWD * len(x), None
+        for k in range(DIRECTIONS):
+            low, high = middle[:, k] - self.width / 2, middle[:, k] + self.width / 2
+            within = np.searchsorted(y[:, k], high, "right") - np.searchsorted(y[:, k], low, "left")
+            at = int(np.argmin(within))
+            if within[at] < best:
+                best, out = within[at], (directions[:, k].copy(), float(low[at]), float(high[at]))
+        return out
 
     def route(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each tree the (row, leaf) pairs of all rows of ``x``."""
         out = []
-        for depth, nodes in self.trees:
-            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            first = 0
-            for d in range(depth):
-                rows, leaves = [], []
-                order = np.argsort(node, kind="stable")
-                cuts = np.flatnonzero(np.diff(node[order])) + 1
-                for part in np.split(order, cuts) if len(order) else []:
-                    k = int(node[part[0]])
-                    r = row[part]
-                    split = nodes[first + k]
-                    if split is None:
-                        rows.append(r)
-                        leaves.append(np.full(len(r), 2 * k))
-                        continue
-                    y = x[r] @ split[0]
-                    for side, pick in ((0, y <= split[2]), (1, y >= split[1])):
-                        rows.append(r[pick])
-                        leaves.append(np.full(int(pick.sum()), 2 * k + side))
-                first += 1 << d
-                row = np.concatenate(rows) if rows else row[:0]
-                node = np.concatenate(leaves) if leaves else node[:0]
+        for nodes in self.trees:
+            rows, leaves = [], []
+            todo = [(0, np.arange(len(x)))]
+            while todo:
+                k, r = todo.pop()
+                split = nodes[k]
+                if split is None:
+                    rows.append(r)
+                    leaves.append(np.full(len(r), k))
+                    continue
+                y = x[r] @ split[0]
+                todo += [(child, r[pick]) for child, pick in ((split[3], y <= split[2]), (split[4], y >= split[1])) if pick.any()]
+            row, node = np.concatenate(rows), np.concatenate(leaves)
             o = np.lexsort((node, row))
             out.append((row[o], node[o]))
         return out
@@ -155,7 +170,7 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     groups = materialize(spark, groups, "vectors")
     count = groups.count()
     chosen = groups.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    forest = spark.sparkContext.broadcast(Forest(unit(chosen) if len(chosen) else np.zeros((0, 1)), count, trees))
+    forest = spark.sparkContext.broadcast(Forest(unit(chosen) if len(chosen) else np.zeros((0, 1)), count, trees, LEAF, cosine))
 
     def route(batches):
         for big in batches:

@@ -346,3 +346,18 @@ def test_vectors(spark):
     assert sum(got[i][0] for i in ids) >= 0.98 * sum(w for w, _ in want.values())
     assert sum(got[i][1] == want[i][1] for i in ids) >= 0.98 * len(ids)
     assert vector_dup.link_vectors(spark, d.where("false")).count() == 0
+
+
+def test_vectors_of_a_large_group(spark):
+    """A third of the vectors are distinct near copies of one: no tree may part them."""
+    r = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(r.standard_normal((6000, 64)))
+    x[:2000] = unit(x[0] + 0.28 * unit(r.standard_normal((2000, 64))))
+    x = x.astype(np.float32)
+    u = unit(x.astype(np.float64))
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dup.link_vectors(spark, d).collect()}
+    assert want[:2000].min() > 1900 and sum(got[i][0] for i in range(6000)) >= 0.999 * want.sum()
+    assert all(got[i][1] == 0 for i in range(2000))
