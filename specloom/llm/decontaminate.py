@@ -4,8 +4,12 @@ Texts are words (lower-cased runs of letters and digits of any script). Each fix
 at part of them, so a hash under it survives substitutions at the positions it ignores. Hashes of the benchmark items
 under all masks form the index, sorted and split in blocks of bounded size; every document's hashes under the same
 masks are looked up in each block. A hit fixes an alignment of document and item, along which the longest stretch is
-verified: it must hold at least ``MIN_WORDS`` words, or all of a shorter item, of which ``PERCENT`` in a hundred agree,
-beginning and ending with words that agree.
+verified: it must hold at least ``MIN_WORDS`` words, of which ``PERCENT`` in a hundred agree, beginning and ending with
+words that agree; or the whole item must agree by that share, wherever the differences stand.
+
+The masks miss no such stretch: m differences leave m + 1 runs of at least 4 m words together, so one run has four
+words, save for AAAxAAAxAAAxAAA, which has a mask of its own, and whole items of 10 or 11 words with two differences,
+for which runs of three are looked up.
 
 Items with fewer words than ``SHORTEST`` say nothing and are not searched for. Null and empty texts have no overlap.
 Only the benchmark is broadcast, in blocks of at most ``BLOCK_WORDS`` words; each block is one pass over the documents.
@@ -20,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm.common import Powers, documents, mix, prefix_sums, span_hash, symbol_table, with_columns_of
 
-#: Spaced seeds: a 1 is a position that is compared. The last is for short items.
-MASKS = ("11101100101011", "11010011101101", "1111110111", "11111111")
+#: Spaced seeds: a 1 is a position that is compared, and the most words of items that it is for.
+MASKS = (("1111", None), ("111011101110111", None), ("111", 11))
+#: Words that are compared along alignments at once.
+AT_ONCE = 1_000_000
 MIN_WORDS = 13
 SHORTEST = 8
 PERCENT = 80
@@ -73,33 +79,62 @@ class Index:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
+        self.sizes = np.array([len(h) for _, h in items], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in items)])
+        self.least = np.array([needed(n) for n in self.sizes.tolist()], np.int64)
         self.tables = []
-        for mask in MASKS:
+        for mask, longest in MASKS:
             hs, who, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k, (_, h) in enumerate(items):
+                if longest is not None and len(h) > longest:
+                    continue
                 s = seeds(h, mask)
                 hs.append(s)
                 who.append(np.full(len(s), k))
                 where.append(np.arange(len(s)))
             h, w, p = np.concatenate(hs), np.concatenate(who), np.concatenate(where)
+            if not len(h):
+                continue
             o = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 21, bool)
             bits[(h >> np.uint64(43)).astype(np.int64)] = True
             self.tables.append((mask, h[o], w[o], p[o], bits))
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document position minus item position) of all seeds in common."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(item, document position minus item position) of all seeds in common, if the words along them can suffice."""
+        found: set[tuple[int, int]] = set()
         for mask, hs, who, where, bits in self.tables:
             s = seeds(h, mask)
             at = np.flatnonzero(bits[(s >> np.uint64(43)).astype(np.int64)])
             if not len(at):
                 continue
             lo, hi = np.searchsorted(hs, s[at], "left"), np.searchsorted(hs, s[at], "right")
-            for d, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(i, j):
-                    out.add((int(who[k]), d - int(where[k])))
-        return out
+            some = hi > lo
+            at, lo, n = at[some], lo[some], (hi - lo)[some]
+            # in parts of bounded size, as a phrase may stand in many items and many times in a document
+            part = np.cumsum(n) // AT_ONCE
+            for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                i = np.repeat(lo[cut] - np.cumsum(n[cut]) + n[cut], n[cut]) + np.arange(int(n[cut].sum()))
+                pairs = np.unique(np.stack([who[i], np.repeat(at[cut], n[cut]) - where[i]]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+                found.update(self._enough(h, *pairs))
+        return sorted(found)
+
+    def _enough(self, h: np.ndarray, item: np.ndarray, shift: np.ndarray):
+        """The alignments on which as many words agree as any stretch needs."""
+        a = np.maximum(0, -shift)
+        n = np.minimum(self.sizes[item], len(h) - shift) - a
+        fits = n >= self.least[item]
+        item, shift, a, n = item[fits], shift[fits], a[fits], n[fits]
+        part = np.cumsum(n) // AT_ONCE
+        for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(cut):
+                continue
+            begin = np.cumsum(n[cut]) - n[cut]
+            at = np.arange(int(n[cut].sum())) + np.repeat(a[cut] - begin, n[cut])
+            same = self.words[at + np.repeat(self.starts[item[cut]], n[cut])] == h[at + np.repeat(shift[cut], n[cut])]
+            good = cut[np.add.reduceat(same, begin, dtype=np.int64) >= self.least[item[cut]]]
+            yield from zip(item[good].tolist(), shift[good].tolist(), strict=True)
 
     def overlaps(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, first word in the document, words, words that agree) of every item found, its best stretch."""
@@ -108,29 +143,40 @@ class Index:
         for k, shift in self.hits(h) if len(h) >= SHORTEST else ():
             item = self.items[k][1]
             a, b = max(0, -shift), min(len(item), len(h) - shift)
-            same = h[a + shift : b + shift] == item[a:b]
-            found = stretch(same)
+            found = stretch(h[a + shift : b + shift] == item[a:b], len(item))
             if found is None:
                 continue
             s, e, agree = found
-            if (e - s >= min(MIN_WORDS, len(item))) and 100 * agree >= PERCENT * (e - s):
-                new = (agree, -(a + s + shift), e - s)
-                if new > best.get(k, (0, 0, 0)):
-                    best[k] = new
+            new = (agree, -(a + s + shift), e - s)
+            if new > best.get(k, (0, -len(h) - 1, 0)):
+                best[k] = new
         return [(self.items[k][0], -at, n, agree) for k, (agree, at, n) in sorted(best.items())]
 
 
-def stretch(same: np.ndarray) -> tuple[int, int, int] | None:
-    """The part of an alignment with the largest score, agreements weighing as the share of differences
-    allowed and differences as the share of agreements asked for, so what scores above nothing is similar enough."""
-    if not same.any():
+def needed(size: int) -> int:
+    """The least number of words that agree in a stretch of an item of ``size`` words."""
+    return -(-PERCENT * min(MIN_WORDS, size) // 100)
+
+
+def stretch(same: np.ndarray, size: int) -> tuple[int, int, int] | None:
+    """The longest similar part of an alignment with an item of ``size`` words, the first of equals: the whole item,
+    or ``MIN_WORDS`` words or more that begin and end with words that agree."""
+    agree = int(same.sum())
+    if len(same) == size and 100 * agree >= PERCENT * size:
+        return 0, size, agree
+    at = np.flatnonzero(same)
+    if not len(at):
+        return None
+    # agreements weigh as the share of differences allowed and differences as the share of agreements asked for, so
+    # what does not score below nothing is similar enough; for each end the first start from which it does not
+    total = np.concatenate([[0], np.cumsum(np.where(same, 100 - PERCENT, -PERCENT))])
+    first = np.searchsorted(-np.minimum.accumulate(total[at]), -total[at + 1], "left")
+    length = at + 1 - at[first]
+    k = int(np.argmax(length))
+    if length[k] < MIN_WORDS:
         return None
-    score = np.where(same, 100 - PERCENT, -PERCENT)
-    total = np.concatenate([[0], np.cumsum(score)])
-    low = np.minimum.accumulate(total)
-    e = int(np.argmax(total - low))
-    s = int(np.argmin(total[: e + 1]))
-    return (s, e, int(same[s:e].sum())) if e > s else None
+    s, e = int(at[first[k]]), int(at[k]) + 1
+    return s, e, int(same[s:e].sum())
 
 
 def item_blocks(benchmark: DataFrame, words: int = BLOCK_WORDS):

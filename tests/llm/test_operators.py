@@ -361,3 +361,31 @@ def test_vectors_of_a_large_group(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dup.link_vectors(spark, d).collect()}
     assert want[:2000].min() > 1900 and sum(got[i][0] for i in range(6000)) >= 0.999 * want.sum()
     assert all(got[i][1] == 0 for i in range(2000))
+
+
+def test_decontaminate_finds_every_similar_stretch():
+    """Planted passages of 8 to 30 words with as many changed words as the rule allows, and clean ones, by brute force."""
+    r = random.Random(9)
+    v = vocabulary(4, 60)
+    words = lambda n: [r.choice(v) for _ in range(n)]
+    items = [(i, words(r.choice([8, 9, 10, 11, 12, 13, 20, 40]))) for i in range(60)]
+    index = decontaminate.Index([(i, decontaminate.word_hashes(" ".join(w))) for i, w in items])
+    planted = 0
+    for _ in range(300):
+        i, w = r.choice(items)
+        n = len(w) if len(w) <= 13 else r.randint(13, min(30, len(w)))
+        at = r.randint(0, len(w) - n)
+        passage = w[at : at + n]
+        for k in r.sample(range(1, n - 1), r.randint(0, n // 5)):
+            passage[k] = "zzz"
+        text = words(r.randint(0, 20)) + passage + words(r.randint(0, 20))
+        want = set()
+        for j, x in items:
+            for shift in range(-len(x) + 1, len(text)):
+                same = [text[p + shift] == x[p] for p in range(max(0, -shift), min(len(x), len(text) - shift))]
+                if len(same) == len(x) and 5 * sum(same) >= 4 * len(x) or any(same[s] and same[e - 1] and 5 * sum(same[s:e]) >= 4 * (e - s) for s in range(len(same)) for e in range(s + 13, len(same) + 1)):
+                    want.add(j)
+        planted += i in want
+        assert {x[0] for x in index.overlaps(" ".join(text))} == want
+    assert planted == 300
+    assert decontaminate.stretch(np.array([c == "1" for c in "111011101110111"]), 40) == (0, 15, 12)
