@@ -37,7 +37,7 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
     "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-# A landmark: what stands outside it on a page that has one is not its main text.
+# Elements around main text; their tags are weights like all others.
 LANDMARKS = ("article", "main")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -148,9 +148,8 @@ LABELLED = [
     ),
 ]
 WEIGHTS = fit_weights(LABELLED)
-#: Tags that no labelled page shows inside the text, and landmarks, which bound it.
+#: Tags that no labelled page shows.
 UNSEEN_TAG = -0.05
-LANDMARK_EDGE = -1e9
 
 
 def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
@@ -162,8 +161,7 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     total, start = 0.0, 0
     for i, (tag, chunk, bad) in enumerate(tokens):
         if tag:
-            bare = tag.lstrip("/")
-            total += LANDMARK_EDGE if bare in LANDMARKS else weights.get(tag, UNSEEN_TAG)
+            total += weights.get(tag, UNSEEN_TAG)
         elif bad:
             total += bad_word * len(chunk.split())
         else:
@@ -172,10 +170,8 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
             total, start = 0.0, i + 1
         elif total > best[0]:
             best = (total, start, i + 1)
-    # Of several landmarks the page's own article wins over loose text of more words.
-    region = _landmark_region(tokens, weights) or best[1:]
     parts: list[str] = []
-    for tag, chunk, bad in tokens[region[0] : region[1]]:
+    for tag, chunk, bad in tokens[best[1] : best[2]]:
         if tag:
             if tag.lstrip("/") not in INLINE:
                 parts.append(" ")
@@ -184,35 +180,6 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     return " ".join("".join(parts).split())
 
 
-def _landmark_region(tokens: list[tuple[str, str, bool]], weights: dict[str, float]) -> tuple[int, int] | None:
-    """The best region inside the article or main elements, if a page has one that holds words."""
-    for mark in LANDMARKS:
-        best, total, start, depth = (0.0, 0, 0), 0.0, 0, 0
-        for i, (tag, chunk, bad) in enumerate(tokens):
-            if tag == mark:
-                depth += 1
-                if depth == 1:
-                    total, start = 0.0, i + 1
-            elif tag == f"/{mark}":
-                depth = max(0, depth - 1)
-                if not depth:
-                    total, start = 0.0, i + 1
-            if not depth:
-                continue
-            if tag:
-                # Inside the landmark only words in boilerplate and real edges count against it.
-                total += max(weights.get(tag, UNSEEN_TAG), UNSEEN_TAG) if tag.lstrip("/") not in LANDMARKS else 0.0
-            elif not bad:
-                total += weights["#word"] * len(chunk.split())
-            if total > best[0]:
-                best = (total, start, i + 1)
-            elif total < 0 and not best[0]:
-                total, start = 0.0, i + 1
-        if best[0] > 0:
-            return best[1:]
-    return None
-
-
 def extract_pages(pages: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
 

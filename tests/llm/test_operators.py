@@ -389,3 +389,11 @@ def test_decontaminate_finds_every_similar_stretch():
         assert {x[0] for x in index.overlaps(" ".join(text))} == want
     assert planted == 300
     assert decontaminate.stretch(np.array([c == "1" for c in "111011101110111"]), 40) == (0, 15, 12)
+
+
+def test_html_landmarks_do_not_bypass_the_scan():
+    body = "body words of this page " * 10
+    two = f"<article><p>{body}</p></article>" * 2
+    assert html_text.extract(two) == " ".join((body * 2).split())
+    teaser = f"<main><p>{body}</p><article><p>a teaser</p></article></main>"
+    assert html_text.extract(teaser).startswith(" ".join(body.split()))
