@@ -18,7 +18,7 @@ from specloom.llm.common import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_identified(spark, docs, language_id.fit(language_id.sample(docs.select("doc_id", "text", "lang"))))
+    return language_id.keep_identified(spark, docs, language_id.learn(docs.select("doc_id", "text", "lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,20 +33,21 @@ ORDER = 3
 CLASSES = 48
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
-#: Languages beyond so many would not fit a worker's memory: the least frequent share no table.
-MAX_LANGUAGES = 16
+#: Languages whose tables a worker holds at once; more are taken in groups of so many, over texts of GROUP_BYTES together.
+AT_ONCE = 16
+GROUP_BYTES = 32_000_000
 SCAN = 1_000_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def classes_of(sample: bytes) -> np.ndarray:
-    """Byte -> class: 0 ASCII non-letters, 1-26 letters, then frequent other bytes, the last the rest."""
+def classes_of(sample: bytes | np.ndarray) -> np.ndarray:
+    """Byte -> class, from a sample or its counts of bytes: 0 ASCII non-letters, 1-26 letters, then frequent other bytes, the last the rest."""
     out = np.zeros(256, np.uint8)
     for c in range(26):
         out[65 + c] = out[97 + c] = 1 + c
     out[128:] = CLASSES - 1
-    counts = np.bincount(np.frombuffer(sample, np.uint8), minlength=256)[128:]
+    counts = (np.bincount(np.frombuffer(sample, np.uint8), minlength=256) if isinstance(sample, bytes) else sample)[128:]
     for k, b in enumerate([b for b in np.argsort(-counts, kind="stable") if counts[b]][: CLASSES - 28]):
         out[128 + b] = 27 + k
     return out
@@ -60,10 +61,11 @@ def codes_of(symbols: np.ndarray) -> np.ndarray:
     return code
 
 
-def fit(texts: dict[str, list[str]]) -> dict:
+def fit(texts: dict[str, list[str]], classes: np.ndarray | None = None) -> dict:
     """The frozen statistics: the byte classes and each language's (ORDER + 1)-gram counts."""
     blobs = {k: [to_bytes(x) for x in v] for k, v in sorted(texts.items())}
-    classes = classes_of(b"".join(x for v in blobs.values() for x in v))
+    if classes is None:
+        classes = classes_of(b"".join(x for v in blobs.values() for x in v))
     model = {"classes": classes, "langs": list(blobs), "grams": []}
     for v in blobs.values():
         symbols = np.concatenate([np.concatenate([np.zeros(ORDER, np.uint8), classes[np.frombuffer(x, np.uint8)]]) for x in v] or [np.zeros(0, np.uint8)])
@@ -99,20 +101,54 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 _tables: dict[int, list[np.ndarray]] = {}
 
 
-def tables(model: dict) -> list[np.ndarray]:
-    key = hash((tuple(model["langs"]), *(g.tobytes() for g, _ in model["grams"])))
+def tables(model: dict, first: int = 0) -> list[np.ndarray]:
+    """The tables of at most AT_ONCE languages from the one numbered ``first``; only these are held."""
+    grams = model["grams"][first : first + AT_ONCE]
+    key = hash((first, tuple(model["langs"]), *(g.tobytes() for g, _ in grams)))
     if key not in _tables:
         _tables.clear()
-        _tables[key] = [code_lengths(g, c) for g, c in model["grams"]]
+        _tables[key] = [code_lengths(g, c) for g, c in grams]
     return _tables[key]
 
 
+def buffered(batches, model: dict):
+    """Small parts of the batches; for more languages than AT_ONCE large ones, as each needs all groups of tables anew."""
+    if len(model["langs"]) <= AT_ONCE:
+        yield from pieces(batches)
+        return
+    held: list[pa.RecordBatch] = []
+    for b in pieces(batches):
+        held.append(b)
+        if sum(x.nbytes for x in held) >= GROUP_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and any(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
-    langs, classes = model["langs"], model["classes"]
-    tabs = tables(model)
-    bits = np.zeros((len(texts), len(langs)))
-    pad = bytes(ORDER)
+    langs = model["langs"]
     known = [x is not None and bool(_LETTER.search(x)) and bool(langs) for x in texts]
+    bits = np.concatenate([np.zeros((len(texts), 0)), *(_bits(texts, known, model, k) for k in range(0, len(langs), AT_ONCE))], axis=1)
+    pred, score = [], []
+    for i, ok in enumerate(known):
+        if not ok:
+            pred.append("und")
+            score.append(0.0)
+            continue
+        b = bits[i] - bits[i].min()
+        best = int(np.argmin(b))
+        pred.append(langs[best])
+        score.append(float(1 / np.exp2(-np.minimum(b, 1000)).sum()))
+    return pred, score
+
+
+def _bits(texts: list[str | None], known: list[bool], model: dict, first: int) -> np.ndarray:
+    """The code lengths of the known texts in at most AT_ONCE languages from the one numbered ``first``."""
+    classes = model["classes"]
+    tabs = tables(model, first)
+    bits = np.zeros((len(texts), len(tabs)))
+    pad = bytes(ORDER)
     group: list[tuple[int, bytes]] = []
     size = 0
 
@@ -145,27 +181,26 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
         if size > SCAN:
             flush()
     flush()
-    pred, score = [], []
-    for i, ok in enumerate(known):
-        if not ok:
-            pred.append("und")
-            score.append(0.0)
-            continue
-        b = bits[i] - bits[i].min()
-        best = int(np.argmin(b))
-        pred.append(langs[best])
-        score.append(float(1 / np.exp2(-np.minimum(b, 1000)).sum()))
-    return pred, score
+    return bits
 
 
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """A bounded number of labelled training texts of each language."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(held_out(), F.lit(False)) == F.lit(False)))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(held_out(), F.lit(False)) == F.lit(False)))
+
+
+def languages(docs: DataFrame) -> dict[str, int]:
+    """All languages of the labelled rows, with their numbers, the most frequent first."""
+    return {r["lang"]: r["count"] for r in labelled(docs).groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
+
+
+def sample(docs: DataFrame, counts: dict[str, int] | None = None) -> dict[str, list[str]]:
+    """A bounded number of labelled training texts of each language, or of those in ``counts``."""
+    rows = labelled(docs)
+    counts = languages(docs) if counts is None else counts
     langs = list(counts)
     # a hash bound that some 4 * SAMPLE_DOCS rows of each language keep, so that the ranking sees no more
     rank = F.xxhash64("doc_id")
@@ -173,9 +208,9 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     for lang, n in counts.items():
         bound = F.when(F.col("lang") == lang, int(-(1 << 63) + min(1.0, 4 * SAMPLE_DOCS / n) * ((1 << 64) - 2048))).otherwise(bound)
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
-    near = labelled.where(F.col("lang").isin(langs)).select("lang", "doc_id", rank.alias("rank")).where(F.col("rank") <= bound)
+    near = rows.where(F.col("lang").isin(langs)).select("lang", "doc_id", rank.alias("rank")).where(F.col("rank") <= bound)
     ids = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("lang").isin(langs)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = rows.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("lang").isin(langs)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     out: dict[str, list[str]] = {k: [] for k in langs}
     # the limit tells only where one id stands in countless rows
     for r in rows.limit(2 * SAMPLE_DOCS * max(1, len(langs))).collect():
@@ -183,12 +218,32 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
+def learn(docs: DataFrame) -> dict:
+    """The model of all languages of ``docs``; the driver holds the texts of AT_ONCE of them, so more are read twice."""
+    counts = list(languages(docs).items())
+    if len(counts) <= AT_ONCE:
+        return fit(sample(docs, dict(counts)))
+    groups = [dict(counts[k : k + AT_ONCE]) for k in range(0, len(counts), AT_ONCE)]
+    seen = np.zeros(256, np.int64)
+    for g in groups:
+        for v in sample(docs, g).values():
+            for x in v:
+                seen += np.bincount(np.frombuffer(to_bytes(x), np.uint8), minlength=256)
+    classes = classes_of(seen)
+    grams = {}
+    for g in groups:
+        part = fit(sample(docs, g), classes)
+        grams.update(zip(part["langs"], part["grams"], strict=True))
+    langs = sorted(grams)
+    return {"classes": classes, "langs": langs, "grams": [grams[k] for k in langs]}
+
+
 def identify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs``; ``model`` is bounded by MAX_LANGUAGES and the sample."""
+    """doc_id, lang_pred, score for every row of ``docs``; ``model`` is bounded by the sample of each language."""
     frozen = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in pieces(batches):
+        for b in buffered(batches, frozen.value):
             pred, score = predict(b.column(1).to_pylist(), frozen.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
         trim()
@@ -203,7 +258,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: dict) -> DataFr
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in pieces(batches):
+        for b in buffered(batches, frozen.value):
             pred, _ = predict(b.column(at).to_pylist(), frozen.value)
             yield b.filter(pa.array([x != "und" for x in pred], pa.bool_()))
         _tables.clear()
@@ -214,4 +269,4 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: dict) -> DataFr
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_columns_of(documents(spark, sf_dir), "doc_id", "text", "lang")
-    return identify(spark, docs, fit(sample(docs))).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(spark, docs, learn(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

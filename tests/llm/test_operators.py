@@ -397,3 +397,18 @@ def test_html_landmarks_do_not_bypass_the_scan():
     assert html_text.extract(two) == " ".join((body * 2).split())
     teaser = f"<main><p>{body}</p><article><p>a teaser</p></article></main>"
     assert html_text.extract(teaser).startswith(" ".join(body.split()))
+
+
+def test_language_id_learns_every_language(spark):
+    """Twenty languages: more than a worker holds tables of."""
+    r = random.Random(6)
+    v = {f"l{k:02}": vocabulary(50 + k, 40) for k in range(20)}
+    rows = [(100 * k + i, " ".join(r.choice(v[lang]) for _ in range(30)), lang) for k, lang in enumerate(v) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(d)
+    assert model["langs"] == sorted(v)
+    whole = language_id.fit(language_id.sample(d))
+    assert (whole["classes"] == model["classes"]).all() and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(whole["grams"], model["grams"], strict=True))
+    want = {i: lang for i, _, lang in rows}
+    got = {x.doc_id: x.lang_pred for x in language_id.identify(spark, d, model).collect()}
+    assert got.keys() == want.keys() and sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
