@@ -136,13 +136,11 @@ _CLEAN = (
 def preclean(x: Column) -> Column:
     """The requirement cleaner: quoted phrases become one word, notes go, line breaks become commas."""
     s = F.replace(F.coalesce(x, F.lit("")), F.lit(":"), F.lit(""))
-    # pieces between curly quotes alternate: outside, inside, outside ...; an open quote at the end stays
-    pieces = F.split(s, "[“”]", -1)
-    n = F.size(pieces)
-    joined = F.array_join(
-        F.transform(pieces, lambda v, i: F.when(i % 2 == 0, v).when(i == n - 1, F.concat(F.lit("“"), v)).otherwise(F.regexp_replace(blank(v), r"\s+", "_"))),
-        "",
-    )
+    # a phrase between two curly quotes of one line; an open quote stays
+    phrase = "[“”][^“”\n]*[“”]"
+    word = lambda q: F.regexp_replace(blank(F.regexp_replace(q, "[“”]", "")), r"\s+", "_")
+    around, phrases = F.split(s, phrase, -1), F.regexp_extract_all(s, F.lit(phrase), F.lit(0))
+    joined = F.array_join(F.zip_with(around, phrases, lambda a, q: F.concat(a, F.coalesce(word(q), F.lit("")))), "")
     s = F.when(s.rlike("[“”]"), joined).otherwise(s)
     for pattern, by in _CLEAN:
         s = F.regexp_replace(s, pattern, by)

@@ -1,8 +1,12 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from specloom.functions import text as X
 from specloom.operators import scoring, similarity, smells, spans
+from specloom.plans import registry
 
 
 def evals(spark, rows):
@@ -109,3 +113,22 @@ def test_spans(spark):
     s = spark.createDataFrame([("r", 0, 3, "a"), ("r", 2, 5, "b"), ("r", 7, 8, "c"), ("r", 7, 8, "d")], "id string, start int, end int, label string")
     assert sorted((r.start, r.end, r.labels) for r in spans.merge_spans(s, "id").collect()) == [(0, 5, "a b"), (7, 8, "c d")]
     assert spans.dedupe_spans(s, "id").count() == 3
+
+
+def _precleaned(s):
+    """The rules as plain substitutions."""
+    word = lambda m: re.sub(r"\s+", "_", re.sub("[“”]", "", m[0]).strip())
+    s = re.sub("(“|”).*?(”|“)", word, s.replace(":", ""))
+    for pattern, by in (
+        ("[()']", ""), ("-", "_"), (",{2,4}", ","), (";", ""), (r"<lb>(Note|Notes|NOTE).+([a-zA-Z]|[0-9]|\.)$", ""), (r"<lb>(To illustrate).+\.", ""), (r"(<lb><bullet>)(.*)(,|;)", r"\1\2"),
+        ("<lb><bullet>", r"\\*"), ("<lb>", ", "), (r"(\w+)( )(,)", r"\1\3"), (", *,", ","), (r"(lock\w+)\s{1,3}(in)", r"\1_\2"), (r"\s{2,}", " "),
+    ):
+        s = re.sub(pattern, by, s)
+    return s
+
+
+def test_preclean_runs_over_all_conversations(spark, tmp_path):
+    texts = ["plain: (a) b-c ,, d;", "open “the  main panel” now , “x”", "a “b c\nd” e “f g” h", "one ” two", "“ a b ”“c d”", "locked  in the block , clock in", "do<lb><bullet>one,<lb><bullet>two;<lb>Note this.", "x<lb>To illustrate it.", "if a < b , c", "", None]
+    spark.createDataFrame([(i, 0, "u", x) for i, x in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.cleaned_sha256 for r in registry.QUERIES["preclean_conversations"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(_precleaned(x or "").encode()).hexdigest() for i, x in enumerate(texts)}
