@@ -1,22 +1,23 @@
 """Near duplicates by an inverted join of MinHash signature coordinates.
 
 A document is the set of its distinct word shingles, hashed to 64 bits; its signature has ``COORDINATES`` minima.
-Documents of equal sets form a class, which one node stands for. Two sets of the least similarity agree in at least
-``matches_for`` coordinates but for about two pairs in a million, hence differ in at most so many of them: if the
-coordinates are dealt to one group more than that, such a pair agrees in all coordinates of some group. Only the
-groups' values (the prefix that any qualifying pair must share) are posted. Collisions are merged in passes:
-
-1. every node is paired with one of the smallest nodes of its posting lists, the one it collides with in most of them.
-   Pairs that agree in enough coordinates are compared on their full sets, and confirmed links joined to components.
-2. lists whose nodes are in one component by now are skipped. In the rest, long ones in tiles of ``TILE`` nodes, each
-   node is paired with its best partner of another component, ``ROUNDS`` times over with components joined in between.
-3. all pairs across components that are left and agree in enough coordinates of a wide signature are compared.
-
-Only pairs inside one component are left out, so components are those of all links, while a large group of copies costs
-as many pairs as it has members.
+Documents of equal sets form a class, which one node stands for: copies are membership, never pairs. Two sets of the
+least similarity agree in at least ``matches_for`` coordinates but for about two pairs in a million.
+
+1. Order. Each coordinate-value pair is a key. A table of ``BUCKETS`` counters, of one size whatever the input, tells
+   about how common the keys of a bucket are; by it, then by value, all keys have one order.
+2. Prefix merging. A node is posted under its rarest keys only, one more than coordinates may differ: two nodes that
+   agree in enough coordinates share one of them. The common keys are skipped: no list is made for them.
+3. Representatives. Every node is paired with one of the smallest nodes of its lists, the one it collides with in most
+   of them; confirmed links join nodes to components.
+4. Lists whose nodes are in one component are skipped. In the rest, cut in blocks of ``TILE`` nodes, the nodes outside
+   the list's largest component count their collisions with all others. One that reaches the match threshold with a
+   node of another component is sent, once, to the group of that node: its component, or that of its representative.
+5. There it is compared with the full sets of the group's members, block by block, and of the links found in a block
+   those go out that join components. So what is sent and returned grows with nodes and blocks, not with pairs.
 
 Defined results: texts without words and null texts have an empty set and are linked with nothing; rows of equal doc_id
-are kept apart but share ids; a null doc_id is never kept and has the component of the others of its class.
+are kept apart but share ids; a null doc_id is never kept and has the component of the others of its class, or null.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from specloom.llm.common import LOWER, as_long, documents, materialize, mix, n_p
 from specloom.llm.components import connected_components
 
 COORDINATES = 128
-#: Coordinates, of a byte each, of the wide signatures that the last pass compares.
-WIDE = 1024
 #: Share of qualifying pairs that may agree in fewer coordinates than are asked for.
 MISSES = 2e-6
+#: Counters of keys, a byte each where they are broadcast, and how many of them a row of their sums holds.
+BUCKET_BITS, BLOCK_BITS = 22, 14
 TILE = 1024
-#: Rounds of best partners before all remaining pairs are compared.
-ROUNDS = 3
+#: Members, and shingles of them, that a block of a group holds.
+MEMBERS, ITEMS = 512, 400_000
 
 
 def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
@@ -52,8 +53,8 @@ def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
 
 
 _RNG = np.random.default_rng(5)
-_A = _RNG.integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, WIDE, dtype=np.uint64)
+_A = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _STEP = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9E3779B185EBCA87)]
 
 
@@ -74,69 +75,114 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(x)
 
 
-def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
-    """One row of 16-bit minima for each set, none of which may be empty."""
-    out = np.empty((len(sets), coordinates), np.uint16)
+def keys_of(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of 64-bit coordinate-value keys for each set, none of which may be empty."""
+    out = np.empty((len(sets), COORDINATES), np.uint64)
     if not sets:
         return out
     at = np.cumsum([0, *map(len, sets)])[:-1]
     values = np.concatenate(sets)
-    for k in range(coordinates):
-        # 16 middle bits of a 32-bit minimum: all agree where the minima do
-        low = np.minimum.reduceat(((values * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), at)
-        out[:, k] = (low * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    for k in range(COORDINATES):
+        out[:, k] = mix(np.minimum.reduceat(values * _A[k] + _B[k], at) * _STEP[1] + np.uint64(k))
     return out
 
 
-def posted(sig: np.ndarray, matches: int) -> np.ndarray:
-    """The posted 64-bit key of each group of coordinates; there is one group more than coordinates may differ."""
-    groups = COORDINATES - matches + 1
-    cuts = np.linspace(0, COORDINATES, groups + 1).astype(int)
-    out = np.empty((len(sig), groups), np.uint64)
-    for g in range(groups):
-        x = np.full(len(sig), g + 1, np.uint64)
-        for k in range(cuts[g], cuts[g + 1]):
-            x = mix(x * _STEP[1] + sig[:, k].astype(np.uint64))
-        out[:, g] = x
-    return out
+def node_of(x: np.ndarray) -> int:
+    """The name of a set that is not empty: a hash of its contents."""
+    return int(np.bitwise_xor.reduce(mix(x + np.uint64(len(x)))).view(np.int64))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, text: rows are named by their id, null or not, and a hash of id and text."""
+    return with_columns_of(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("tag"), "text")
+
 
+def describe(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, tag, n, node (a hash of the set), keys of every row; no node where the set is empty."""
 
-def describe(docs: DataFrame, size: int, matches: int) -> DataFrame:
-    """doc_id, n, node (a hash of the set), keys, sig of every row; no node where the set is empty."""
-
-    def some(ids, kind, sets):
-        full = [x for x in sets if len(x)]
-        sig = signatures(full)
-        keys = as_long(posted(sig, matches))
-        nodes, key_rows, sig_rows, k = [], [], [], 0
-        for x in sets:
-            if len(x):
-                nodes.append(int(np.bitwise_xor.reduce(mix(x + np.uint64(len(x)))).view(np.int64)))
-                key_rows.append(keys[k])
-                sig_rows.append(sig[k].tobytes())
-                k += 1
-            else:
-                nodes.append(None)
-                key_rows.append(None)
-                sig_rows.append(None)
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(key_rows, pa.list_(pa.int64())), pa.array(sig_rows, pa.binary())], names=["doc_id", "n", "node", "keys", "sig"])
+    def some(b, sets):
+        full = [k for k, x in enumerate(sets) if len(x)]
+        keys = iter([x.tobytes() for x in keys_of([sets[k] for k in full])])
+        nodes = [node_of(x) if len(x) else None for x in sets]
+        n = pa.array([len(x) for x in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pa.array(nodes, pa.int64()), pa.array([next(keys) if len(x) else None for x in sets], pa.binary())], names=["doc_id", "tag", "n", "node", "keys"])
 
     def run(batches):
         for b in batches:
-            ids, sets, total = [], [], 0
-            for i, x in zip(b.column(0), b.column(1), strict=True):
-                ids.append(i.as_py())
+            sets, total, first = [], 0, 0
+            for k, x in enumerate(b.column(2)):
                 sets.append(shingles(x.as_py(), size))
                 total += len(sets[-1])
                 if total > 500_000:
-                    yield some(ids, b.column(0).type, sets)
-                    ids, sets, total = [], [], 0
-            if ids:
-                yield some(ids, b.column(0).type, sets)
+                    yield some(b.slice(first, len(sets)), sets)
+                    sets, total, first = [], 0, k + 1
+            if sets:
+                yield some(b.slice(first, len(sets)), sets)
         trim()
 
-    source = with_columns_of(docs, "doc_id", "text")
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n bigint, node bigint, keys array<bigint>, sig binary")
+    source = identified(docs)
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tag bigint, n bigint, node bigint, keys binary")
+
+
+def _key_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, COORDINATES)
+
+
+def commonness(spark: SparkSession, rows: DataFrame) -> np.ndarray:
+    """For each bucket of keys a byte that grows with the logarithm of its count: BUCKETS bytes, whatever the input."""
+    shift, low = np.uint64(64 - BUCKET_BITS), (1 << BLOCK_BITS) - 1
+
+    def count(batches):
+        seen = np.zeros(1 << BUCKET_BITS, np.uint32)
+        for b in batches:
+            for at in range(0, b.num_rows, 4000):
+                u, c = np.unique(_key_rows(b.column(0).slice(at, 4000)) >> shift, return_counts=True)
+                seen[u.astype(np.int64)] += c.astype(np.uint32)
+        at = np.flatnonzero(seen)
+        block = at >> BLOCK_BITS
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(block)) + 1):
+            if len(part):
+                data = np.stack([(at[part] & low).astype(np.uint32), seen[at[part]]]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]], pa.int64()), pa.array([data], pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at, c = np.frombuffer(data, np.uint32).reshape(2, -1)
+                total = sums.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint64))
+                total[at] += c
+        for block, total in sums.items():
+            code = np.minimum(255, np.log2(total + 1.0) * 6).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([code.tobytes()], pa.binary())], names=["block", "codes"])
+
+    schema = "block bigint, {} binary"
+    parts = rows.where("keys IS NOT NULL").select("keys").mapInArrow(count, schema.format("counts"))
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for r in parts.repartition(n_partitions(spark), "block").mapInArrow(add, schema.format("codes")).collect():
+        out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["codes"], np.uint8)
+    return out
+
+
+def ranked(spark: SparkSession, rows: DataFrame, matches: int) -> DataFrame:
+    """doc_id, tag, n, node, prefix (the rarest keys, as many as any qualifying pair must share one of), sig (16 bits of each key)."""
+    frozen, length = spark.sparkContext.broadcast(commonness(spark, rows)), COORDINATES - matches + 1
+
+    def run(batches):
+        common = frozen.value
+        for big in batches:
+            for at in range(0, big.num_rows, 4000):
+                b = big.slice(at, 4000)
+                keys = _key_rows(b.column(4))
+                order = (common[(keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
+                rare = np.take_along_axis(keys, np.argpartition(order, length - 1, axis=1)[:, :length], 1)
+                prefix = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * length, as_long(np.ascontiguousarray(rare).ravel()))
+                sig = pa.array([x.tobytes() for x in (keys >> np.uint64(48)).astype(np.uint16)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], prefix, sig], names=["doc_id", "tag", "n", "node", "prefix", "sig"])
+        trim()
+
+    full = rows.where("node IS NOT NULL")
+    return full.mapInArrow(run, f"doc_id {full.schema['doc_id'].dataType.simpleString()}, tag bigint, n bigint, node bigint, prefix array<bigint>, sig binary")
 
 
 def _agree(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
@@ -176,84 +222,112 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         for b in batches:
             for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = shingles(text.as_py(), size)
-                if len(x) and int(np.bitwise_xor.reduce(mix(x + np.uint64(len(x)))).view(np.int64)) == node:
+                if len(x) and node_of(x) == node:
                     yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["node", "items"])
 
-    source = with_columns_of(docs, "doc_id", "text").join(nodes.select("doc_id", "node"), "doc_id")
-    # rows of equal doc_id: those of another set are filtered by the hash, equal ones agree
+    source = identified(docs).join(nodes.select("tag", "node"), "tag")
+    # rows of equal tag hold equal texts; by the hash of the set, no other one passes
     return source.select("node", "text").mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"])
 
 
-def _wide(sets: DataFrame) -> DataFrame:
-    """node, sig: wide signatures of the given sets."""
-
-    def run(batches):
-        for big in batches:
-            for at in range(0, big.num_rows, 100):
-                b = big.slice(at, 100)
-                sig = signatures([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)], WIDE).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "sig"])
-
-    return sets.select("node", "items").mapInArrow(run, "node bigint, sig binary")
+def _segments(batches, width: int):
+    """(number, rows) of sorted batches, cut where the first ``width`` columns change; a number may come several times."""
+    number, last = -1, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy() for c in range(width)])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if last is None or (key[:, i] != last).any():
+                number, last = number + 1, key[:, i]
+            yield number, b.slice(i, j - i)
 
 
-def _across(lists: DataFrame, matches: int, mode: str) -> DataFrame:
-    """Pairs a, b across components, within a tile of a list, that agree in so many coordinates.
+def _routes(blocks: DataFrame, matches: int) -> DataFrame:
+    """node, home: of ``blocks`` (key, blk, q, node, label, home, major, sig), the queries that reach the match threshold
+    with a member of another component, and that member's home. Of two queries the smaller one is sent."""
 
-    mode best: one for each node outside the tile's largest component, with the partner that agrees most; nodes: each
-    node that has a partner, as a and b; all: all pairs, by wide signatures.
-    """
-    kind = np.uint8 if mode == "all" else np.uint16
+    def run(batches):
+        current, held, members = -1, [], None
+        for number, b in _segments(batches, 2):
+            if number != current:
+                current, held, members = number, [], None
+            q = b.column(2).to_numpy()
+            if (q == 0).any():
+                held.append(b.slice(0, int((q == 0).sum())))
+            if not (q == 1).any():
+                continue
+            if not held:  # no member fell into this block
+                continue
+            if members is None:
+                t = pa.Table.from_batches(held)
+                members = (*(t.column(c).to_numpy() for c in (3, 4, 5, 6)), np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(-1, COORDINATES))
+            node, label, home, major, sig = members
+            b = b.slice(int((q == 0).sum()))
+            xs, homes = [], []
+            for x, l, s in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(7).to_pylist(), strict=True):
+                at = np.flatnonzero((label != l) & ((label == major) | (node > x)))
+                if len(at):
+                    found = np.unique(home[at[(sig[at] == np.frombuffer(s, np.uint16)).sum(1) >= matches]])
+                    xs += [x] * len(found)
+                    homes += found.tolist()
+            if xs:
+                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(homes, pa.int64())], names=["node", "home"])
+
+    return blocks.mapInArrow(run, "node bigint, home bigint")
+
+
+def _linked(blocks: DataFrame, percent: int) -> DataFrame:
+    """a, b: of ``blocks`` (home, blk, q, node, label, items), links of queries with members that join components."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def work(t: pa.Table):
-            key = np.stack([t.column(c).to_numpy() for c in range(3)])
-            node, label, side = (t.column(c).to_numpy() for c in (3, 4, 5))
-            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), kind).reshape(t.num_rows, -1)
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            a, b = [], []
-            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(node)], strict=True):
-                minor = range(i, j)
-                if mode == "best":
-                    _, at, sizes = np.unique(label[i:j], return_inverse=True, return_counts=True)
-                    minor = (i + np.flatnonzero(at != int(np.argmax(sizes)))).tolist()
-                for x in minor:
-                    other = label[i:j] != label[x]
-                    if key[1, i] != key[2, i]:
-                        other = other & (side[i:j] != side[x])
-                    if mode == "all":
-                        other[: x - i + 1] = False
-                    rest = i + np.flatnonzero(other)
-                    if not len(rest):
-                        continue
-                    agree = (sig[rest] == sig[x]).sum(1)
-                    hit = rest[agree >= matches]
-                    if not len(hit):
-                        continue
-                    if mode == "nodes":
-                        hit = np.array([x])
-                    elif mode == "best":
-                        hit = rest[[int(np.argmax(agree))]]
-                    a += np.minimum(node[hit], node[x]).tolist()
-                    b += np.maximum(node[hit], node[x]).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        current, held, members, top = -1, [], None, {}
+
+        def find(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = top.get(up, up)
+                x = up
+            return x
+
+        for number, b in _segments(batches, 2):
+            if number != current:
+                current, held, members, top = number, [], None, {}
+            q = b.column(2).to_numpy()
+            k = int((q == 0).sum())
+            if k:
+                held.append(b.slice(0, k))
+            if k == b.num_rows:
                 continue
-            t = pa.Table.from_batches([*held, batch])
-            key = np.stack([t.column(c).to_numpy() for c in range(3)])
-            other = np.flatnonzero((key != key[:, -1:]).any(0))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield work(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-        if held:
-            yield work(pa.Table.from_batches(held))
+            if not held:
+                continue
+            if members is None:
+                t = pa.Table.from_batches(held)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(5)]
+                sizes = np.array([len(x) for x in sets])
+                values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(values, kind="stable")
+                members = t.column(3).to_pylist(), t.column(4).to_numpy(), sizes, values[order], owner[order]
+            node, label, sizes, values, owner = members
+            rows = b.slice(k)
+            a_, b_ = [], []
+            for x, l, data in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                n = hi - lo
+                at = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+                both = np.bincount(owner[at], minlength=len(sizes))
+                for y in np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (label != l)).tolist():
+                    r, s = find(l), find(int(label[y]))
+                    if r != s:
+                        top[max(r, s)] = min(r, s)
+                        a_.append(min(x, node[y]))
+                        b_.append(max(x, node[y]))
+            if a_:
+                yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+        trim()
 
-    return lists.mapInArrow(run, "a bigint, b bigint")
+    return blocks.mapInArrow(run, "a bigint, b bigint")
 
 
 def _merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -267,19 +341,24 @@ def _merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFra
     return materialize(spark, every.join(top, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row: components of the links of ``percent`` similarity or more."""
+def _sorted(spark: SparkSession, blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.repartition(n_partitions(spark), key, "blk").sortWithinPartitions(key, "blk", "q")
+
+
+def labelled_rows(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, tag, n, label of every row: rows of one label are connected by links; no label where the set is empty."""
     matches = matches_for(percent)
-    rows = materialize(spark, describe(docs, size, matches), "signatures")
-    nodes = materialize(spark, rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
-    post = nodes.select("node", F.explode("keys").alias("key"))
+    described = materialize(spark, describe(docs, size), "signatures")
+    rows = described.select("doc_id", "tag", "n", "node")
+    nodes = materialize(spark, ranked(spark, described, matches).groupBy("node").agg(F.first("tag").alias("tag"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")), "nodes")
+    post = nodes.select("node", F.explode("prefix").alias("key"))
     lists = post.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
-    post = materialize(spark, post.join(lists, "key").select("key", "node", "a", "m"), "postings")
+    post = materialize(spark, post.join(lists, "key").select("key", "node", "a"), "postings")
     release(spark)
 
     # of the lists' smallest nodes, the one that a node meets in most lists
     met = post.where("a <> node").groupBy("node", "a").agg(F.count("*").alias("c"))
-    stars = met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    stars = materialize(spark, met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "stars")
     first = materialize(spark, _agree(stars, nodes, matches), "pairs")
     ids = first.select("a").union(first.select("b")).distinct().select(F.col("a").alias("node"))
     sets = materialize(spark, _full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets")
@@ -287,50 +366,64 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     labels = connected_components(spark, links)
     release(spark)
 
-    def open_tiles(labels: DataFrame, sigs: DataFrame) -> DataFrame:
-        """Members of lists that still hold several components, dealt in tiles."""
-        labelled = post.join(labels, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label"))
-        several = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        dealt = labelled.join(several, "key").withColumn("t", F.ceil(F.col("m") / TILE).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), "t").cast("int"))
-        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "node", "label", "side")
-        dealt = dealt.join(sigs, "node").select("key", "i", "j", "node", "label", "side", "sig")
-        return dealt.repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def with_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
-        more = materialize(spark, nodes.join(ids, "node", "left_semi").join(sets.select("node"), "node", "left_anti").select("node", "doc_id"), "nodes")
-        return sets if more.isEmpty() else sets.unionByName(materialize(spark, _full_sets(docs, more, size), "sets"))
-
-    # links across what were separate components: a few rounds that join most of a group by its nodes' best partners,
-    # then a last one with all pairs that are left
-    tested, narrow, fruitful = first, nodes.select("node", "sig"), True
-    for last in (*[False] * ROUNDS, True):
-        if not last and not fruitful:
-            continue
-        if last:
-            ids = materialize(spark, _across(open_tiles(labels, narrow), matches, "nodes").select(F.col("a").alias("node")).distinct(), "nodes")
-            sets = with_sets(sets, ids)
-            wide = materialize(spark, _wide(sets.join(ids, "node", "left_semi")), "wide")
-            found = _across(open_tiles(labels, wide), matches_for(percent, WIDE), "all")
-        else:
-            found = _across(open_tiles(labels, narrow), matches, "best")
-        pairs = materialize(spark, found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            fruitful = False
-            continue
-        sets = with_sets(sets, pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")))
-        extra = materialize(spark, _confirm(pairs, sets, percent), "links")
-        tested = tested.union(pairs)
-        fruitful = not extra.isEmpty()
-        if fruitful:
+    # every posted node's label and home, its component or that of its representative
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    named = post.select("node").distinct().join(stars.select(F.col("b").alias("node"), "a"), "node", "left").join(of("node"), "node", "left").join(of("a"), "a", "left")
+    named = materialize(spark, named.select("node", F.coalesce("lnode", "node").alias("label"), F.coalesce("lnode", "la", "a", "node").alias("home")), "named")
+
+    # lists of several components: blocks of members, and their nodes outside the largest component as queries of each
+    labelled = post.select("key", "node").join(named, "node")
+    shares = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+    several = shares.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+    several = several.select("key", "major", F.ceil(F.col("m") / TILE).cast("int").alias("t"))
+    open_ = materialize(spark, labelled.join(several, "key"), "open")
+    own = F.pmod(F.xxhash64("node"), "t").cast("int")
+    cells = open_.select("key", own.alias("blk"), F.lit(0).alias("q"), "node", "label", "home", "major")
+    asked = open_.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("blk"), F.lit(1).alias("q"), "node", "label", "home", "major")
+    blocks = cells.union(asked).join(nodes.select("node", "sig"), "node").select("key", "blk", "q", "node", "label", "home", "major", "sig")
+    routes = materialize(spark, _routes(_sorted(spark, blocks, "key"), matches).distinct(), "routes")
+    release(spark)
+    if not routes.isEmpty():
+        called = routes.select("home").distinct()
+        members = materialize(spark, named.join(called, "home", "left_semi"), "members")
+        ids = members.select("node").union(routes.select("node")).distinct().join(sets.select("node"), "node", "left_anti")
+        sets = sets.union(materialize(spark, _full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets"))
+        counted = members.join(nodes.select("node", "n"), "node").groupBy("home").agg(F.count("*").alias("k"), F.sum("n").alias("items"))
+        counted = counted.select("home", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("items") / ITEMS)).cast("int").alias("t"))
+        cells = members.join(counted, "home").select("home", own.alias("blk"), F.lit(0).alias("q"), "node", "label")
+        asked = routes.join(counted, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("blk"), F.lit(1).alias("q"), "node")
+        asked = asked.join(named.select("node", "label"), "node").select("home", "blk", "q", "node", "label")
+        blocks = cells.union(asked).join(sets, "node").select("home", "blk", "q", "node", "label", "items")
+        extra = materialize(spark, _linked(_sorted(spark, blocks, "home"), percent), "links")
+        if not extra.isEmpty():
             labels = _merged(spark, labels, extra)
         release(spark)
+    return rows.join(labels, "node", "left").select("doc_id", "tag", "n", F.coalesce("label", "node").alias("label"))
+
 
-    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row: components of the links of ``percent`` similarity or more."""
+    own = labelled_rows(spark, docs, size, percent)
     least = own.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = own.join(least, "label", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, one of each group of linked rows: that of smallest id, null last.
+
+    Rows are told apart by id and text, so a row goes only for its own text's sake. Rows of one id and text are copies,
+    of which one stays. Rows without words belong to no group and stay."""
+    rows = materialize(spark, labelled_rows(spark, docs, size, percent).where("label IS NOT NULL").select("doc_id", "tag", "label"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    first = rows.groupBy("label").agg(F.min(order).alias("w")).select("label", F.col("w.tag").alias("first"))
+    by_tag = rows.groupBy("tag", "label").agg(F.count("*").alias("n")).join(first, "label")
+    by_tag = materialize(spark, by_tag.where("n > 1 OR tag <> first").select(F.col("tag").alias("__tag"), (F.col("tag") == F.col("first")).alias("one")), "tags")
+    d = docs.withColumn("__tag", F.xxhash64("doc_id", "text"))
+    whole = d.join(by_tag.select("__tag"), "__tag", "left_anti")
+    again = d.join(by_tag.where("one").select("__tag"), "__tag", "left_semi").dropDuplicates(["__tag"])
+    return whole.select(*docs.columns).union(again.select(*docs.columns))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, documents(spark, sf_dir), size=3, percent=85)
-
