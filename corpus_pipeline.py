@@ -2,7 +2,7 @@
 
 1. language: rows whose text has no language (null, or without a letter) go.
 2. near_duplicates: of each group of links on five-word shingles of similarity 0.8 or more, the document of smallest id
-   stays; rows without doc_id belong to no group and stay.
+   stays, null last; rows are told apart by id and text, and rows without words belong to no group and stay.
 3. repeats: byte strings of 200 or more that repeat are cut out of the texts; rows stay, even if nothing remains.
 4. benchmark: documents that overlap a benchmark item go.
 5. tokens: SentencePiece ids with an end id, and the text they decode to.
@@ -22,8 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dup.near_duplicates(spark, docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dup.keep_first(spark, docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
