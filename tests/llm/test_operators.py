@@ -1,6 +1,7 @@
 """Each operator against brute force or the library, on texts with every odd case; see ``odd_documents``."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -249,10 +250,64 @@ def test_language_id(spark, docs, empty):
     assert language_id.predict(["abc"], language_id.fit({})) == (["und"], [0.0])
 
 
-def test_code_lengths_are_those_of_a_distribution():
-    model = language_id.fit({"x": ["abracadabra abracadabra", "banana"]})
-    p = np.exp2(-language_id.tables(model)[0].astype(np.float64)).reshape(-1, language_id.CLASSES).sum(1)
-    assert (p < 1.01).all() and p.min() > 0.2
+def plain_ppm(training, order=3):
+    """Context dictionaries of all lengths, filled byte by byte; gives a function of a text's bits."""
+    counts = {}
+    for text in training:
+        data = bytes(order) + text.encode()
+        for i in range(order, len(data)):
+            for n in range(order + 1):
+                counts.setdefault(data[i - n : i], Counter())[data[i]] += 1
+
+    def bits(text):
+        data, total = bytes(order) + text.encode(), 0.0
+        for i in range(order, len(data)):
+            for n in range(order, -1, -1):
+                seen = counts.get(data[i - n : i])
+                if seen is None:
+                    continue
+                all_ = sum(seen.values()) + len(seen)
+                if data[i] in seen:
+                    total -= math.log2(seen[data[i]] / all_)
+                    break
+                total -= math.log2(len(seen) / all_)
+            else:
+                total += 8
+        return total
+
+    return bits
+
+
+def test_code_lengths_are_those_of_plain_ppm():
+    r = random.Random(4)
+    make = lambda v, n: " ".join(r.choice(v) for _ in range(n))
+    training = {k: [make(v, 30) for _ in range(12)] for k, v in (("aa", vocabulary(31, 60)), ("bb", ["данные", "язык", "слово", "и"]), ("cc", ["زبان", "کلمه", "و"]), ("ee", ["x"]))}
+    training["dd"] = []
+    model = language_id.fit(training)
+    want = {k: plain_ppm(v) for k, v in training.items()}
+    texts = [make(vocabulary(31, 60), 20), "язык и слово, данные?", "و زبان abc", "\0\0\0z", "日本語 xx", "e"]
+    got = language_id._bits(texts, [True] * len(texts), model, 0)
+    assert np.allclose(got, [[want[k](t) for k in model["langs"]] for t in texts], rtol=1e-12)
+    # of equal code lengths the language that sorts first
+    assert language_id.predict(["abc"], language_id.fit({"b": ["abcd"], "a": ["abcd"]})) == (["a"], [0.5])
+
+
+def test_languages_of_one_script_and_many_copies(spark):
+    """Three languages of Cyrillic letters; one has a single text many times over, one only rows without id."""
+    r = random.Random(8)
+    letters = "абвгдежзиклмнопрстуфхцчшя"
+    v = {k: ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(50)] for k in ("bg", "ru", "uk")}
+    make = lambda k, n: " ".join(r.choice(v[k]) for _ in range(n))
+    one = make("uk", 300)
+    rows = [(i, make("bg", 40), "bg") for i in range(300)] + [(7000, one, "uk")] * 5000 + [(None, make("ru", 40), "ru") for _ in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(d)
+    assert model["langs"] == ["bg", "ru", "uk"]
+    texts = [(k, make(k, 25)) for k in v for _ in range(40)]
+    pred, _ = language_id.predict([t for _, t in texts], model)
+    assert sum(a == k for a, (k, _) in zip(pred, texts)) >= 0.95 * len(texts)
+    nothing = language_id.learn(d.withColumn("lang", F.lit(None).cast("string")))
+    assert language_id.keep_identified(spark, d.limit(9).union(spark.createDataFrame([(1, "12", "xx")], d.schema)), nothing).count() == 9
 
 
 def test_language_held_out(spark):
@@ -408,7 +463,7 @@ def test_language_id_learns_every_language(spark):
     model = language_id.learn(d)
     assert model["langs"] == sorted(v)
     whole = language_id.fit(language_id.sample(d))
-    assert (whole["classes"] == model["classes"]).all() and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(whole["grams"], model["grams"], strict=True))
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(whole["grams"], model["grams"], strict=True))
     want = {i: lang for i, _, lang in rows}
     got = {x.doc_id: x.lang_pred for x in language_id.identify(spark, d, model).collect()}
     assert got.keys() == want.keys() and sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
