@@ -14,8 +14,11 @@ first of them only, so links can be counted without listing pairs. From each lea
 its links and one edge to the smallest vector of its leaf-local component; the union of all leaves' edges gives the
 components. Equal vectors are one, with their number, before anything is compared.
 
-Defined results: vectors that are null, empty, zero, of another length than the most frequent, or hold null or
-non-finite components link with nothing: no links, a component of their own. A null vec_id is kept as null.
+Vectors of each length have a forest of their own; those of different lengths have no cosine and no link.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing: no links,
+a component of their own. Rows of equal vec_id are kept apart but share the id; a row without vec_id counts among the
+links of others and has the component they have, but is never kept; a component of such rows alone has none.
 """
 
 from __future__ import annotations
@@ -114,14 +117,15 @@ def unit(values: pa.Array) -> np.ndarray:
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows (vec_id, embedding, ok) and the classes of equal usable vectors (rep, n, embedding)."""
-    v = with_columns_of(vectors, "vec_id", "embedding").withColumn("size", F.size("embedding"))
-    v = v.withColumn("norm", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    usual = v.where("size > 0").groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
+    """All rows (vec_id, embedding, ok) and the classes of equal usable vectors (least, n, size, embedding)."""
+    v = with_columns_of(vectors, "vec_id", "embedding")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    v = v.withColumn("norm", norm)
     # a null component makes the sum null, a non-finite one makes it non-finite
-    fine = F.col("norm").isNotNull() & ~F.isnan("norm") & (F.col("norm") > 0) & (F.col("norm") < float("inf")) & F.col("vec_id").isNotNull()
-    v = v.withColumn("ok", fine & (F.col("size") == (usual[0]["size"] if usual else -1)))
-    return v.select("vec_id", "embedding", F.coalesce("ok", F.lit(False)).alias("ok")), v.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "embedding")
+    fine = F.col("norm").isNotNull() & ~F.isnan("norm") & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
+    v = v.select("vec_id", "embedding", F.coalesce(fine, F.lit(False)).alias("ok"))
+    groups = v.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    return v, groups.select("least", "n", F.size("embedding").alias("size"), "embedding")
 
 
 def _met_before(codes: pa.ListArray, rows: np.ndarray, leaf: int) -> np.ndarray:
@@ -166,24 +170,32 @@ def _compare(codes: pa.ListArray, ids: np.ndarray, n: np.ndarray, x: np.ndarray,
 def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, trees: int = TREES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows, groups = classes(vectors)
-    kind = rows.schema["vec_id"].dataType.simpleString()
-    groups = materialize(spark, groups, "vectors")
-    count = groups.count()
-    chosen = groups.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    forest = spark.sparkContext.broadcast(Forest(unit(chosen) if len(chosen) else np.zeros((0, 1)), count, trees, LEAF, cosine))
+    # the number of a class is fixed once the table is written
+    groups = materialize(spark, groups.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    forests = {}
+    for k, r in enumerate(groups.groupBy("size").count().orderBy("size").collect()):
+        chosen = np.zeros((0, r["size"]))
+        if r["count"] > LEAF:
+            some = groups.where(F.col("size") == r["size"]).orderBy(F.xxhash64("least", "embedding")).limit(SAMPLE).select("embedding")
+            chosen = unit(some.toArrow().column(0).combine_chunks())
+        forests[r["size"]] = k, Forest(chosen, r["count"], trees, LEAF, cosine)
+    frozen = spark.sparkContext.broadcast(forests)
 
     def route(batches):
         for big in batches:
             for at in range(0, big.num_rows, 2000):
                 b = big.slice(at, 2000)
-                routed = forest.value.route(unit(b.column(2)))
+                sizes = np.diff(b.column(2).offsets.to_numpy())
                 codes: list[list[int]] = [[] for _ in range(b.num_rows)]
-                for t, (r, leaf) in enumerate(routed):
-                    for i, k in zip(r.tolist(), leaf.tolist(), strict=True):
-                        codes[i].append(t << 40 | k)
+                for size in np.unique(sizes).tolist():
+                    number, forest = frozen.value[size]
+                    own = np.flatnonzero(sizes == size)
+                    for t, (r, leaf) in enumerate(forest.route(unit(b.column(2).take(pa.array(own))))):
+                        for i, k in zip(own[r].tolist(), leaf.tolist(), strict=True):
+                            codes[i].append(number << 48 | t << 40 | k)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(codes, pa.list_(pa.int64()))], names=["rep", "n", "embedding", "codes"])
 
-    routed = groups.mapInArrow(route, f"rep {kind}, n bigint, embedding {groups.schema['embedding'].dataType.simpleString()}, codes array<bigint>")
+    routed = groups.select("rep", "n", "embedding").mapInArrow(route, f"rep bigint, n bigint, embedding {groups.schema['embedding'].dataType.simpleString()}, codes array<bigint>")
     routed = materialize(spark, routed, "routed")
     sizes = routed.select(F.explode("codes").alias("leaf")).groupBy("leaf").count().where("count > 1").select("leaf", F.ceil(F.col("count") / TILE).cast("int").alias("t"))
     placed = routed.select("rep", F.explode("codes").alias("leaf")).join(sizes, "leaf").withColumn("side", F.pmod(F.xxhash64("rep", "leaf"), "t").cast("int"))
@@ -199,9 +211,8 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             ids, n, side = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy()
             vectors, codes = (pa.concat_arrays(t.column(c).chunks) for c in (6, 7))
-            x = unit(vectors)
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), t.num_rows], strict=True):
-                found = _compare(codes.slice(s, e - s), ids[s:e], n[s:e], x[s:e], side[s:e], (int(key[1, s]), int(key[2, s])), int(key[0, s]), cosine)
+                found = _compare(codes.slice(s, e - s), ids[s:e], n[s:e], unit(vectors.slice(s, e - s)), side[s:e], (int(key[1, s]), int(key[2, s])), int(key[0, s]), cosine)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "links", "b"])
 
@@ -218,12 +229,15 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    found = materialize(spark, dealt.mapInArrow(compare, f"a {kind}, links bigint, b {kind}"), "links")
+    found = materialize(spark, dealt.mapInArrow(compare, "a bigint, links bigint, b bigint"), "links")
     labels = connected_components(spark, found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    per_class = groups.select("rep", "n", F.col("embedding").alias("v")).join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    per_class = groups.select("rep", "least", "n", F.col("embedding").alias("v")).join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    per_class = per_class.withColumn("label", F.coalesce("label", "rep"))
+    component = per_class.groupBy("label").agg(F.min("least").alias("component"))
+    per_class = per_class.join(component, "label")
     out = rows.join(per_class, rows["ok"] & (F.col("embedding") == F.col("v")), "left")
-    component = F.coalesce("label", "rep", "vec_id")
+    component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("bigint").alias("n_links"), component.cast("bigint").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -391,7 +391,7 @@ def test_vectors(spark):
         label = new
     want = {i: (int(link[k].sum()), ids[label[k]]) for k, i in enumerate(ids)}
     old = vector_dup.LEAF, vector_dup.TILE
-    vector_dup.TILE = 64
+    vector_dup.LEAF, vector_dup.TILE = 24, 16
     try:
         got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dup.link_vectors(spark, d).collect()}
     finally:
@@ -403,6 +403,15 @@ def test_vectors(spark):
     assert vector_dup.link_vectors(spark, d.where("false")).count() == 0
 
 
+def test_vectors_of_other_lengths_and_ids(spark):
+    a, b, c, d2 = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [-1.0, 0.5, 0.0], [1.0, 2.0]
+    rows = [(5, a), (5, c), (5, c), (7, b), (None, b), (9, d2), (4, [2.0, 4.0]), (3, [5.0]), (None, [0.0, 1.0, -3.0]), (2, [1.0, 2.0, 3.0, 0.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((x.vec_id or 0, x.n_links, x.component_id or 0, x.kept) for x in vector_dup.link_vectors(spark, t).collect())
+    # the rows of id 5: a is linked with both b, the two c with each other
+    assert got == sorted([(5, 2, 5, True), (5, 1, 5, True), (5, 1, 5, True), (7, 2, 5, False), (0, 2, 5, False), (9, 1, 4, False), (4, 1, 4, True), (3, 0, 3, True), (0, 0, 0, False), (2, 0, 2, True)])
+
+
 def test_vectors_of_a_large_group(spark):
     """A third of the vectors are distinct near copies of one: no tree may part them."""
     r = np.random.default_rng(2)
