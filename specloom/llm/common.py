@@ -19,10 +19,12 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share; a temporary one only where a session of one process names none (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         import atexit
@@ -45,11 +47,16 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing reads any more, then what shuffles are done with."""
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
     for t in tables:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._table_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete such tables, then what shuffles are done with."""
+    drop(spark, *tables)
     release(spark)
 
 

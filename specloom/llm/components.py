@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import materialize
+from specloom.llm.common import drop, materialize
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -16,12 +16,14 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = materialize(spark, both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    last = labels = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         spread = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("hop"))
         new = materialize(spark, spread.join(hop, "label", "left").select("node", "old", F.least("label", "hop").alias("label")), "labels")
-        labels = new.select("node", "label")
+        drop(spark, last)
+        last, labels = new, new.select("node", "label")
         if new.where("old <> label").isEmpty():
+            drop(spark, both)
             return labels

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import LOWER, as_long, documents, materialize, mix, n_partitions, release, to_bytes, trim, with_columns_of, words_of
+from specloom.llm.common import LOWER, as_long, documents, drop, materialize, mix, n_partitions, release, to_bytes, trim, with_columns_of, words_of
 from specloom.llm.components import connected_components
 
 COORDINATES = 128
@@ -347,57 +347,64 @@ def _sorted(spark: SparkSession, blocks: DataFrame, key: str) -> DataFrame:
 
 def labelled_rows(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, tag, n, label of every row: rows of one label are connected by links; no label where the set is empty."""
-    matches = matches_for(percent)
+    matches, spent = matches_for(percent), []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        spent.append(materialize(spark, df, name))
+        return spent[-1]
+
     described = materialize(spark, describe(docs, size), "signatures")
-    rows = described.select("doc_id", "tag", "n", "node")
-    nodes = materialize(spark, ranked(spark, described, matches).groupBy("node").agg(F.first("tag").alias("tag"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")), "nodes")
+    rows = materialize(spark, described.select("doc_id", "tag", "n", "node"), "rows")
+    nodes = table(ranked(spark, described, matches).groupBy("node").agg(F.first("tag").alias("tag"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")), "nodes")
+    drop(spark, described)
     post = nodes.select("node", F.explode("prefix").alias("key"))
     lists = post.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
-    post = materialize(spark, post.join(lists, "key").select("key", "node", "a"), "postings")
+    post = table(post.join(lists, "key").select("key", "node", "a"), "postings")
     release(spark)
 
     # of the lists' smallest nodes, the one that a node meets in most lists
     met = post.where("a <> node").groupBy("node", "a").agg(F.count("*").alias("c"))
-    stars = materialize(spark, met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "stars")
-    first = materialize(spark, _agree(stars, nodes, matches), "pairs")
+    stars = table(met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "stars")
+    first = table(_agree(stars, nodes, matches), "pairs")
     ids = first.select("a").union(first.select("b")).distinct().select(F.col("a").alias("node"))
-    sets = materialize(spark, _full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets")
-    links = materialize(spark, _confirm(first, sets, percent), "links")
+    sets = table(_full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets")
+    links = table(_confirm(first, sets, percent), "links")
     labels = connected_components(spark, links)
     release(spark)
 
     # every posted node's label and home, its component or that of its representative
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
     named = post.select("node").distinct().join(stars.select(F.col("b").alias("node"), "a"), "node", "left").join(of("node"), "node", "left").join(of("a"), "a", "left")
-    named = materialize(spark, named.select("node", F.coalesce("lnode", "node").alias("label"), F.coalesce("lnode", "la", "a", "node").alias("home")), "named")
+    named = table(named.select("node", F.coalesce("lnode", "node").alias("label"), F.coalesce("lnode", "la", "a", "node").alias("home")), "named")
 
     # lists of several components: blocks of members, and their nodes outside the largest component as queries of each
     labelled = post.select("key", "node").join(named, "node")
     shares = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
     several = shares.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
     several = several.select("key", "major", F.ceil(F.col("m") / TILE).cast("int").alias("t"))
-    open_ = materialize(spark, labelled.join(several, "key"), "open")
+    open_ = table(labelled.join(several, "key"), "open")
     own = F.pmod(F.xxhash64("node"), "t").cast("int")
     cells = open_.select("key", own.alias("blk"), F.lit(0).alias("q"), "node", "label", "home", "major")
     asked = open_.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("blk"), F.lit(1).alias("q"), "node", "label", "home", "major")
     blocks = cells.union(asked).join(nodes.select("node", "sig"), "node").select("key", "blk", "q", "node", "label", "home", "major", "sig")
-    routes = materialize(spark, _routes(_sorted(spark, blocks, "key"), matches).distinct(), "routes")
+    routes = table(_routes(_sorted(spark, blocks, "key"), matches).distinct(), "routes")
     release(spark)
     if not routes.isEmpty():
         called = routes.select("home").distinct()
-        members = materialize(spark, named.join(called, "home", "left_semi"), "members")
+        members = table(named.join(called, "home", "left_semi"), "members")
         ids = members.select("node").union(routes.select("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        sets = sets.union(materialize(spark, _full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets"))
+        sets = sets.union(table(_full_sets(docs, nodes.join(ids, "node", "left_semi"), size), "sets"))
         counted = members.join(nodes.select("node", "n"), "node").groupBy("home").agg(F.count("*").alias("k"), F.sum("n").alias("items"))
         counted = counted.select("home", F.greatest(F.ceil(F.col("k") / MEMBERS), F.ceil(F.col("items") / ITEMS)).cast("int").alias("t"))
         cells = members.join(counted, "home").select("home", own.alias("blk"), F.lit(0).alias("q"), "node", "label")
         asked = routes.join(counted, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("blk"), F.lit(1).alias("q"), "node")
         asked = asked.join(named.select("node", "label"), "node").select("home", "blk", "q", "node", "label")
         blocks = cells.union(asked).join(sets, "node").select("home", "blk", "q", "node", "label", "items")
-        extra = materialize(spark, _linked(_sorted(spark, blocks, "home"), percent), "links")
+        extra = table(_linked(_sorted(spark, blocks, "home"), percent), "links")
         if not extra.isEmpty():
             labels = _merged(spark, labels, extra)
         release(spark)
+    drop(spark, *spent)
     return rows.join(labels, "node", "left").select("doc_id", "tag", "n", F.coalesce("label", "node").alias("label"))
 
 
