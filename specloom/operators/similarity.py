@@ -21,18 +21,28 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def with_seq_ratio(pairs: DataFrame) -> DataFrame:
     """Adds seq_ratio to pairs (a, b), computed once for each distinct ordered pair of normalised texts."""
     p = pairs.withColumns({"na": normalize(F.col("a")), "nb": normalize(F.col("b"))})
-    scored = p.select("na", "nb").distinct().withColumn("seq_ratio", _sequence_ratio("na", "nb"))
-    return p.join(scored, ["na", "nb"]).drop("na", "nb")
+    # rows meet by a 256-bit hash of the two texts, so that texts themselves are not compared in the join
+    p = p.withColumn("pair", F.sha2(F.concat_ws("\x1f", "na", "nb"), 256))
+    scored = p.groupBy("pair").agg(F.first("na").alias("na"), F.first("nb").alias("nb")).select("pair", _sequence_ratio("na", "nb").alias("seq_ratio"))
+    return p.drop("na", "nb").join(scored, "pair").drop("pair")
 
 
 def with_jaccard(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("jaccard", jaccard_of(tokens(F.col("a")), tokens(F.col("b"))))
+    """Adds jaccard to pairs, from their token arrays ta and tb where they have them."""
+    ta, tb = (F.col(t) if t in pairs.columns else tokens(F.col(c)) for t, c in (("ta", "a"), ("tb", "b")))
+    return pairs.withColumn("jaccard", jaccard_of(ta, tb)).drop("ta", "tb")
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    """Adds the token array t of the column text, once for each text and not for each pair."""
+    return texts.withColumn("t", tokens(F.col("text")))
 
 
 def llm_human_pairs(conversions: DataFrame, humans: DataFrame) -> DataFrame:
-    """req_id, annotator, a = the machine's text, b = a human's; blank human texts give none."""
-    h = humans.where(blank(F.col("text")) != "").select("req_id", "annotator", F.col("text").alias("b"))
-    return conversions.select("req_id", F.col("text").alias("a")).join(h, "req_id")
+    """req_id, annotator, a = the machine's text, b = a human's; blank human texts give none. Token arrays t go along as ta, tb."""
+    has = "t" in conversions.columns
+    h = humans.where(blank(F.col("text")) != "").select("req_id", "annotator", F.col("text").alias("b"), *([F.col("t").alias("tb")] if has else []))
+    return conversions.select("req_id", F.col("text").alias("a"), *([F.col("t").alias("ta")] if has else [])).join(h, "req_id")
 
 
 def human_pairs(humans: DataFrame) -> DataFrame:
@@ -40,10 +50,12 @@ def human_pairs(humans: DataFrame) -> DataFrame:
 
     The texts of a requirement are few: they are gathered in one array and paired there, without a self-join.
     """
-    arr = humans.where(blank(F.col("text")) != "").groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "text"))).alias("t"))
-    left = arr.select("req_id", "t", F.posexplode("t").alias("i", "x"))
-    later = F.slice(F.col("t"), F.col("i") + 2, F.greatest(F.size("t") - F.col("i") - 1, F.lit(0)))
-    return left.select("req_id", "x", "i", F.posexplode(later).alias("k", "y")).select("req_id", F.col("x.annotator").alias("i"), F.col("y.annotator").alias("j"), F.col("x.text").alias("a"), F.col("y.text").alias("b"))
+    has = "t" in humans.columns
+    arr = humans.where(blank(F.col("text")) != "").groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "text", *(["t"] if has else [])))).alias("h"))
+    left = arr.select("req_id", "h", F.posexplode("h").alias("i", "x"))
+    later = F.slice(F.col("h"), F.col("i") + 2, F.greatest(F.size("h") - F.col("i") - 1, F.lit(0)))
+    arrays = [F.col("x.t").alias("ta"), F.col("y.t").alias("tb")] if has else []
+    return left.select("req_id", "x", "i", F.posexplode(later).alias("k", "y")).select("req_id", F.col("x.annotator").alias("i"), F.col("y.annotator").alias("j"), F.col("x.text").alias("a"), F.col("y.text").alias("b"), *arrays)
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:

@@ -46,6 +46,13 @@ def with_any(segments: DataFrame) -> DataFrame:
     return segments.groupBy("req_id").agg(F.bool_or(any_here).alias("has_smell"))
 
 
+def per_requirement(segments: DataFrame) -> DataFrame:
+    """req_id, n_smells, patterns: cells with a smell, and the patterns recommended, in order of segments."""
+    n = sum(((F.trim(F.coalesce(F.col(f"`{s}`"), F.lit(""))) != "").cast("int") for s in SMELLS[1:]), (F.trim(F.coalesce(F.col(f"`{SMELLS[0]}`"), F.lit(""))) != "").cast("int"))
+    patterns = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.trim(F.coalesce("pattern", F.lit(""))).alias("p")))), lambda x: x["p"]), lambda p: p != "")
+    return segments.withColumn("n", n).groupBy("req_id").agg(F.sum("n").alias("n_smells"), patterns.alias("patterns"))
+
+
 # ---- rules over the lower-cased labels of a requirement's segments, in order ----------------------
 
 def _count(labels: Column, test) -> Column:

@@ -49,12 +49,44 @@ def order_spans(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "label")))
 
 
+#: Ranges of keys that are numbered apart from each other; only as many rows as this meet in one task.
+RANGES = 256
+
+
 def segment_counters(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """A counter over all segments and one within each key.
+    """A counter over all segments, by key, and one within each key.
 
-    The first is the key's offset plus the counter within it, so only one row per key is ordered globally.
-    """
+    Keys fall into ranges between some of them that a hash picks; a range's offset and a key's within it make the first
+    counter, so no task orders all keys."""
     inner = df.withColumn("in_req", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     sizes = df.groupBy(key).agg(F.count("*").alias("n"))
-    offset = sizes.select(key, (F.sum("n").over(Window.orderBy(key)) - F.col("n")).alias("before"))
-    return inner.join(offset, key).withColumn("overall", F.col("before") + F.col("in_req")).drop("before")
+    kind = df.schema[key].dataType
+    cuts = sorted(r[0] for r in sizes.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(RANGES - 1).select(key).collect())
+    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+    ranged = sizes.withColumn("range", F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(key))), F.lit(-1)))
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("total"))
+    totals = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("start"))
+    within = ranged.withColumn("before", F.sum("n").over(Window.partitionBy("range").orderBy(key)) - F.col("n"))
+    offset = within.join(F.broadcast(totals), "range").select(F.col(key).alias("_key"), (F.col("start") + F.col("before")).alias("before"))
+    return inner.join(offset, F.col(key).eqNullSafe(F.col("_key"))).withColumn("overall", F.col("before") + F.col("in_req")).drop("before", "_key")
+
+
+def clause_span(words: Column, clause: Column) -> Column:
+    """The struct start, end (inclusive) of the last run of ``words`` that holds the words of ``clause`` one by one, in
+    any case and as parts of words; null where there is none or the clause is empty."""
+    low = lambda a: F.transform(a, F.lower)
+    w, c = low(words), F.filter(low(F.split(F.trim(clause), " +")), lambda x: x != "")
+    n = F.size(c)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.forall(F.transform(c, lambda x, k: F.coalesce(F.get(w, i + k).contains(x), F.lit(False))), lambda ok: ok))
+    last = F.array_max(starts)
+    return F.when((n > 0) & last.isNotNull(), F.struct(last.alias("start"), (last + n - 1).alias("end")))
+
+
+def previous(value: str, key: str, order: list[str]) -> Column:
+    """The value of the segment before, null for a key's first."""
+    return F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+
+
+def least_position(*positions: Column) -> Column:
+    """The smallest of positions that are not negative, -1 if there is none."""
+    return F.coalesce(F.array_min(F.filter(F.array(*positions), lambda p: p >= 0)), F.lit(-1))

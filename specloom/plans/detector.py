@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from specloom.functions import verbs as V
-from specloom.operators import smells, trees
+from specloom.operators import smells, spans, trees
 
 # The messages of the smells.
 MESSAGES = {
@@ -58,9 +57,11 @@ def report(tree_rows: DataFrame) -> DataFrame:
     part = F.when(F.col("label").contains("ond"), "condition").otherwise("system response")
     say = lambda on, name: F.when(on, F.replace(F.lit(MESSAGES[name]), F.lit("{}"), part)).otherwise("").alias(name)
     joined = seg.join(req.select("req_id", *flags.values(), "pattern", "template"), "req_id")
-    overall = F.row_number().over(Window.partitionBy("req_id").orderBy("k"))
     cells = [say(first & F.col(flags[s]), s) for s in smells.SMELLS[:5]] + [say(F.col(f"`{s}`"), s) for s in smells.SMELLS[5:]]
-    return joined.select("req_id", F.concat_ws("_", "req_id", overall).alias("segment_id"), F.col("text").alias("segment"), *cells, F.when(first, F.col("pattern")).otherwise("").alias("pattern"), F.when(first, F.col("template")).otherwise("").alias("template"), F.col("k").alias("ordinal"))
+    # segments are counted over the file: by the requirements' ordinal where rows have one, else by their ids
+    place = tree_rows.groupBy("req_id").agg(F.min("ordinal" if "ordinal" in tree_rows.columns else "req_id").alias("place"))
+    joined = spans.segment_counters(joined.join(place, "req_id"), "place", ["req_id", "k"])
+    return joined.select("req_id", F.concat_ws("_", "req_id", F.col("overall").cast("string")).alias("segment_id"), F.col("text").alias("segment"), *cells, F.when(first, F.col("pattern")).otherwise("").alias("pattern"), F.when(first, F.col("template")).otherwise("").alias("template"), F.col("k").alias("ordinal"))
 
 
 def totals(rows: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ DIST = "count(*) AS n, round(avg(jaccard), 10) AS mean, round(median(jaccard), 1
 
 
 def _lh(spark, d):
-    return similarity.with_jaccard(similarity.llm_human_pairs(_machine(spark, d), _humans(spark, d)))
+    return similarity.with_jaccard(similarity.llm_human_pairs(*(similarity.with_tokens(x(spark, d)) for x in (_machine, _humans))))
 
 
 def _dist(df):
@@ -193,12 +193,12 @@ def jaccard_distribution(spark, d):
 
 @query(f"WITH {HH} SELECT {DIST} FROM jj")
 def human_human_distribution(spark, d):
-    return _dist(similarity.with_jaccard(similarity.human_pairs(_humans(spark, d))))
+    return _dist(similarity.with_jaccard(similarity.human_pairs(similarity.with_tokens(_humans(spark, d)))))
 
 
 @query(f"WITH {HH} SELECT req_id, i, j, round(jaccard, 10) AS jaccard FROM jj")
 def human_human_pairs(spark, d):
-    return similarity.with_jaccard(similarity.human_pairs(_humans(spark, d))).select("req_id", "i", "j", r10("jaccard"))
+    return similarity.with_jaccard(similarity.human_pairs(similarity.with_tokens(_humans(spark, d)))).select("req_id", "i", "j", r10("jaccard"))
 
 
 @query(f"WITH {LH} SELECT m.req_id, count(j.annotator) AS n_humans, round(coalesce(avg(jaccard), 0), 10) AS jaccard_mean, round(coalesce(max(jaccard), 0), 10) AS jaccard_max FROM mach m LEFT JOIN j USING (req_id) GROUP BY m.req_id")

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PAGE = """<!doctype html><meta charset="utf-8"><title>Runs</title><table id="t"></table><script>
-const rows = %s;
-const cols = rows.length ? Object.keys(rows[0]) : [];
-document.getElementById("t").innerHTML = "<tr>" + cols.map(c => "<th>" + c + "</th>").join("") + "</tr>" +
-  rows.map(r => "<tr>" + cols.map(c => "<td>" + (r[c] ?? "") + "</td>").join("") + "</tr>").join("");
+from specloom.sources.records import write_text
+
+_PAGE = """<!doctype html><meta charset="utf-8"><title>Runs</title><h1>Runs</h1><table id="runs"></table><div id="each"></div><script>
+const data = %s;
+const cell = v => "<td>" + (v === null || v === undefined ? "" : String(v).replace(/&/g, "&amp;").replace(/</g, "&lt;")) + "</td>";
+const table = rows => { const cols = rows.length ? Object.keys(rows[0]) : [];
+  return "<tr>" + cols.map(c => "<th>" + c + "</th>").join("") + "</tr>" + rows.map(r => "<tr>" + cols.map(c => cell(r[c])).join("") + "</tr>").join(""); };
+document.getElementById("runs").innerHTML = table(data.runs);
+const runs = [...new Set(data.requirements.map(r => r.run))];
+document.getElementById("each").innerHTML = runs.map(n => "<h2>" + n + "</h2><table>" + table(data.requirements.filter(r => r.run === n)) + "</table>").join("");
 </script>"""
 
 
@@ -30,7 +35,16 @@ def requirements(results: DataFrame) -> DataFrame:
     return results.select("run", F.explode("requirements").alias("r")).select("run", "r.*")
 
 
-def page(rows: DataFrame, limit: int = 10_000) -> str:
-    """The page of a few rows: a run each, of which ``limit`` at most are shown."""
-    data = [json.loads(x) for x in rows.toJSON().take(limit)]
-    return _PAGE % json.dumps(data).replace("</", "<\\/")
+def batches(results: DataFrame) -> DataFrame:
+    """The distinct folders that runs stand in."""
+    return results.select(F.regexp_extract("run", "^([^/]+)", 1).alias("batch")).distinct()
+
+
+def page(runs: DataFrame, each: DataFrame | None = None) -> str:
+    """The page: a row for every run, and below it the runs' requirements if they are given. Rows come one by one."""
+    lines = lambda df: [] if df is None else [json.loads(x) for x in df.toJSON().toLocalIterator()]
+    return _PAGE % json.dumps({"runs": lines(runs), "requirements": lines(each)}, ensure_ascii=False).replace("</", "<\\/")
+
+
+def write_page(html: str, spark: SparkSession, path: str) -> None:
+    write_text(spark, path, html)

@@ -67,20 +67,20 @@ def test_runs_are_named_by_folder(spark, tmp_path):
         (d / "results.json").write_text(json.dumps({"run": "other", "counts": {"evaluated": 1}, "requirements": [{"reqId": "</script>"}]}))
     runs = R.discover_runs(spark, str(tmp_path))
     assert [r.run for r in runs.collect()] == ["run1/x", "run1/y"]
-    page = report.page(report.requirements(runs))
+    page = report.page(runs.select("run"), report.requirements(runs))
     assert "<\\/script>" in page and page.count("</script>") == 1
 
 
 def test_docx(spark, tmp_path):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     cell = lambda *t: "<w:tc>" + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in t) + "</w:tc>"
-    body = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Functional requirements</w:t></w:r></w:p><w:tbl><w:tr>{cell("ID")}{cell("Text")}</w:tr><w:tr>{cell("R1")}{cell("The app", "must act")}</w:tr></w:tbl>'
+    body = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Functional requirements</w:t></w:r></w:p><w:tbl><w:tr>{cell("Req. ID")}{cell("Description")}</w:tr><w:tr>{cell("R1")}{cell("The app", "must act")}</w:tr></w:tbl>'
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
     (tmp_path / "a.docx").write_bytes(buf.getvalue())
     (r,) = R.docx_requirements(R.read_docx(spark, str(tmp_path))).collect()
-    assert r.req_id == "R1" and r.after == "The app, must act" and r.header == "Functional requirements"
+    assert r.req_id == "R1" and r.after == r.before == "The app<lb>must act" and r.header == "Functional requirements" and (r.changed, r.list, r.n_words, r.rationale) == (False, "no", 3, None)
 
 
 def test_streamed_confusion(spark, tmp_path):
