@@ -89,18 +89,36 @@ def tagged(node: Node) -> list[tuple[str, str]]:
     return [(n.word, n.label) for n in node.walk() if n.word is not None]
 
 
+#: Words that open a condition, words that open a clause, verbs that make a passive, signs of comparison.
+OPENERS = ("when", "where", "while", "if", "until", "once")
+CUTS = (*OPENERS, "then", "for", "else", "otherwise")
+AUXILIARIES = ("is", "are", "was", "were", "be", "been", "has", "have")
+SYMBOLS = ("=", "<", ">", "≠", "<>")
+
+
 def _has_modal_clause(n: Node) -> bool:
-    """A verb phrase with a modal, and a subject before it."""
-    return n.is_("VP") and any(c.is_("MD") for c in n.children) and any(b.is_("NP|NN.*|PRP") for b in n.before())
+    """A verb phrase with a modal and a verb, and a subject phrase before it."""
+    subject = [b for b in n.before() if not b.is_("ADVP|RB|PP|,|CC")]
+    return n.is_("VP") and any(c.is_("MD") for c in n.children) and any(c.is_("VP|VB.*") for c in n.children) and bool(subject) and subject[-1].is_("NP|PRP")
 
 
 def response(n: Node) -> bool:
     return _has_modal_clause(n) and not n.under("SBAR")
 
 
+def _opens(n: Node, words: tuple[str, ...]) -> bool:
+    first = n.words()[:1]
+    return bool(first) and first[0].lower() in words
+
+
+def _inside(n: Node) -> bool:
+    """Below a subordinate clause that is more than a list of such clauses."""
+    return any(a.is_("SBAR") and not a.children[0].is_("SBAR") for a in n.ancestors())
+
+
 def condition(n: Node) -> bool:
     """A subordinate clause opened by a conjunction other than 'that', holding a subject and a verb."""
-    if not n.is_("SBAR") or n.under("SBAR") or not n.children:
+    if not n.is_("SBAR") or not n.children or _inside(n):
         return False
     head = n.children[0]
     return head.is_("IN|WHADVP|WRB") and head.words()[:1] != [] and head.words()[0].lower() not in ("that", "as", "in", "so", "of", "to") and any(c.is_("S|SINV|SQ") and c.has("VB.*") for c in n.children)
@@ -108,10 +126,10 @@ def condition(n: Node) -> bool:
 
 def loose_condition(n: Node) -> bool:
     """A conjunction that is not in a clause of its own, before a subject and a verb phrase."""
-    if not n.is_("WHADVP|WRB") or n.under("SBAR"):
+    if not n.is_("WHADVP|WRB") or _inside(n) or n.parent is not None and n.parent.is_("SBAR"):
         return False
     later = n.after()
-    return any(x.is_("NP|NN.*") for x in later) and any(x.is_("VP|VB.*") for x in later)
+    return any(x.is_("NP|NN.*") for x in later) and any(x.is_("VP|VB.*") for x in later) or bool(later) and later[0].is_("S") and later[0].has("VB.*")
 
 
 def verbless_condition(n: Node) -> bool:
@@ -130,9 +148,34 @@ def joined_by_or(n: Node) -> bool:
         kids = v.children
         if any(c.is_("CC") and c.words() == ["or"] for c in kids) and sum(c.is_("VP|S|SBAR") for c in kids) > 1:
             return True
+        if any(c.is_("CC") and c.words() == ["or"] and d.is_("SBAR") for c, d in zip(kids, kids[1:], strict=False)):
+            return True
     return False
 
 
+def nested(n: Node) -> list[Node]:
+    """Clauses below ``n`` that a word like 'when' or 'if' opens, the outer ones first."""
+    return [m for m in n.walk() if m is not n and m.is_("SBAR") and _opens(m, OPENERS)]
+
+
+def own_tags(n: Node) -> list[tuple[str, str]]:
+    """Tagged words of a clause without those of the clauses below it."""
+    out: list[tuple[str, str]] = []
+    for c in n.children or [n]:
+        if c.word is not None:
+            out.append((c.word, c.label))
+        elif not c.is_("SBAR"):
+            out += own_tags(c)
+    return out
+
+
+def lacks_verb(tags: list[tuple[str, str]]) -> bool:
+    """No verb, or a sign of comparison before the first one: what is compared has no verb."""
+    verb = next((i for i, (_, t) in enumerate(tags) if t.startswith("VB")), None)
+    sign = next((i for i, (w, t) in enumerate(tags) if w in SYMBOLS or t in ("SYM", "XX")), None)
+    return verb is None or sign is not None and sign < verb
+
+
 def main_verb(tags: list[tuple[str, str]]) -> str | None:
     """The last of the first run of verbs, with adverbs between: the verb after its auxiliaries."""
     verb = None
@@ -144,12 +187,13 @@ def main_verb(tags: list[tuple[str, str]]) -> str | None:
     return verb
 
 
-def passive(n: Node) -> bool:
-    """A form of 'be' directly before a participle, or 'has been' and the like."""
-    tags = tagged(n)
-    for (w, t), (_, u) in zip(tags, tags[1:], strict=False):
-        if t.startswith(("VB", "MD")) and w.lower() in ("is", "are", "was", "were", "be", "been") and u == "VBN":
-            return True
+def passive(tags: list[tuple[str, str]]) -> bool:
+    """A form of 'be' or 'have' before a participle, with adverbs between."""
+    for i, (w, t) in enumerate(tags):
+        if t.startswith("VB") and w.lower() in AUXILIARIES:
+            rest = [u for _, u in tags[i + 1 :] if not u.startswith("RB")]
+            if rest[:1] == ["VBN"]:
+                return True
     return False
 
 
@@ -169,14 +213,15 @@ def _between(v: Node, top: Node):
         yield a
 
 
-#: Label -> predicate, in the order in which they are tried.
+#: Label -> predicate, in the order in which they are tried. The loose rules only help where a strict one fits as well.
 RULES = (("scope", scope), ("condition", condition), ("conditionLoose", loose_condition), ("conditionNoVerb", verbless_condition), ("sysresp", response))
+STRICT = (scope, condition, response)
 
 
 def clause_span(label: str, n: Node) -> tuple[int, int]:
     """Words of a clause: a response begins with its subject, a loose condition ends before the next modal's subject."""
     if label == "sysresp":
-        subject = [b for b in n.before() if b.is_("NP|NN.*|PRP")]
+        subject = [b for b in n.before() if b.is_("NP|PRP")]
         return subject[-1].start, n.end
     if label == "conditionLoose":
         stop = next((x.start for x in n.after() if x.is_(",|ADVP|CC") or x.is_("VP") and any(c.is_("MD") for c in x.children)), n.parent.end)
@@ -184,44 +229,146 @@ def clause_span(label: str, n: Node) -> tuple[int, int]:
     return n.start, n.end
 
 
+def cut(tags: list[tuple[str, str]], start: int = 0) -> list[tuple[int, int]]:
+    """Spans of a run of words, cut before words that open a clause, and before a comma if a modal follows it sooner
+    than the next such word. Parts of less than three words of two letters or more stay with the one before."""
+    at = [0]
+    for i, (w, _) in enumerate(tags):
+        opens = w.lower() in CUTS
+        if w in (",", ";"):
+            later = next(((x, t) for x, t in tags[i + 1 :] if t == "MD" or x.lower() in CUTS or x in (",", ";")), ("", ""))
+            opens = later[1] == "MD"
+        if opens and i > at[-1]:
+            at.append(i)
+    parts = list(zip(at, [*at[1:], len(tags)], strict=True))
+    out: list[tuple[int, int]] = []
+    for s, e in parts:
+        if out and sum(len(w) > 1 for w, _ in tags[s:e]) < 3:
+            out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+    return [(s + start, e + start) for s, e in out if e > s]
+
+
+def ladder(tags: list[tuple[str, str]]) -> str:
+    """The label of a span by its tagged words alone: the first rule that fits."""
+    first = lambda test, after=-1: next((i for i, (w, t) in enumerate(tags) if i > after and test(w.lower(), t)), None)
+    noun = first(lambda w, t: t.startswith("NN") or t == "PRP" and w == "it")
+    modal = first(lambda w, t: t == "MD" and w in ("must", "shall", "should", "will"))
+    verb = first(lambda w, t: t.startswith("VB"))
+    opener = first(lambda w, t: w in OPENERS)
+    scope_at = first(lambda w, t: w == "for" and t == "IN")
+    time = first(lambda w, t: w in ("upon", "on", "after", "before") and t == "IN")
+    if scope_at is not None and modal is None and opener is None and verb is None:
+        return "scope" if noun is not None and scope_at < noun else "scopeIncompl"
+    if modal is not None and opener is None:
+        after = first(lambda w, t: t.startswith("VB"), modal)
+        if noun is not None and noun < modal:
+            return "sysresp" if after is not None else "sysrespIncomplNoVerb"
+        return "sysrespIncorr" if after is not None else "notMatch"
+    if opener is not None and modal is None:
+        if noun is None:
+            return "condPosIncomplNoNounNoVerb" if verb is None else "condPosIncomplNoNoun"
+        if verb is None:
+            return "conditionWithSymbol" if any(w in SYMBOLS for w, _ in tags) else "condPosIncomplNoVerb"
+        return "condition" if opener < max(noun, verb) else "condPosIncorr"
+    words = [w.lower() for w, _ in tags]
+    if words[:3] in (["in", "case", "that"], ["as", "soon", "as"]) and noun is not None and verb is not None and modal is None:
+        return "condition"
+    if time is not None and time == 0 and noun is not None and verb is None and modal is None:
+        return "conditionNoVerb"
+    return "notMatch"
+
+
+def by_words(tags: list[tuple[str, str]], start: int = 0) -> list[tuple[int, int, str]]:
+    """Spans and labels of a run of words by their tags alone."""
+    return [(s, e, ladder(tags[s - start : e - start])) for s, e in cut(tags, start)]
+
+
+def _gaps(found: list[tuple], words: list[str], tags: list[str]) -> list[tuple]:
+    """Fills what no clause covers. After a clause with others below it a gap of marks and connectives belongs to it;
+    a gap with a modal is labelled by its words; what 'else' opens is one segment."""
+    out: list[tuple] = []
+    pairs = list(zip(words, tags, strict=True))
+
+    def gap(a: int, b: int) -> None:
+        if a >= b:
+            return
+        part = pairs[a:b]
+        if out and " " in out[-1][2] and out[-1][2].startswith(("cond", "multCond")) and not any(t.startswith("VB") or t == "MD" for _, t in part) and any(len(w) > 1 for w, _ in part):
+            s, _, *rest = out[-1]
+            out[-1] = (s, b, *rest)
+            return
+        label = ladder(part) if any(t == "MD" for _, t in part) else "notMatch"
+        out.append((a, b, label, passive(part), lacks_verb(part), main_verb(part)))
+
+    at = 0
+    for k, (s, e, label, *flags) in enumerate(found):
+        before = pairs[at:s]
+        if label.startswith(("sysresp", "multSrs")) and k == len(found) - 1 and any(w.lower() in ("else", "otherwise") for w, _ in before):
+            out.append((at, len(words), label, *flags))
+            return out
+        gap(at, s)
+        out.append((s, e, label, *flags))
+        at = max(at, e)
+    gap(at, len(words))
+    return out
+
+
 def segments(tree: str | None) -> list[dict]:
-    """Segments of a requirement in order: start, end (exclusive), label, passive, verbs, main, modal, text. Gaps are 'notMatch'."""
+    """Segments of a requirement in order: start, end (exclusive), label, passive, noverb, verbs, main, modal, text.
+
+    Clauses below a segment that are not segments themselves add their labels to its label, divided by blanks. Where no
+    strict rule fits, the sentence is cut and labelled by its words alone. Gaps are 'notMatch'."""
     root = parse(tree)
     if root is None:
         return []
     words, tags = [w for w, _ in tagged(root)], [t for _, t in tagged(root)]
-    found: list[tuple[int, int, str, bool]] = []
-    for label, rule in RULES:
-        for n in root.walk():
-            if rule(n):
-                s, e = clause_span(label, n)
-                # what an earlier rule took is cut off; a clause that keeps nothing is dropped
-                for a, b, _, _ in found:
-                    if a <= s < b:
-                        s = min(b, e)
-                    elif s < a < e:
-                        e = a
-                if s < e:
-                    name = "multSrs" if label == "sysresp" and several_actions(n) else "multCondCoordAmb" if label.startswith("condition") and joined_by_or(n) else label
-                    found.append((s, e, name, passive(n)))
-    out, at = [], 0
-    for s, e, label, p in sorted(found):
-        if s > at:
-            out.append((at, s, "notMatch", False))
-        out.append((s, e, label, p))
-        at = max(at, e)
-    if at < len(words):
-        out.append((at, len(words), "notMatch", False))
+    pairs = list(zip(words, tags, strict=True))
+    found: list[tuple] = []
+    taken: list[Node] = []
+    nodes = list(root.walk())
+    if any(rule(n) for n in nodes for rule in STRICT):
+        for label, rule in RULES:
+            for n in nodes:
+                if rule(n):
+                    s, e = clause_span(label, n)
+                    # what an earlier rule took is cut off; a clause that keeps nothing is dropped
+                    for a, b, *_ in found:
+                        if a <= s < b:
+                            s = min(b, e)
+                        elif s < a < e:
+                            e = a
+                    if s < e:
+                        name = "multSrs" if label == "sysresp" and several_actions(n) else "multCondCoordAmb" if label.startswith("condition") and joined_by_or(n) else label
+                        own = own_tags(n) if label != "conditionLoose" else pairs[s:e]
+                        found.append((s, e, name, passive(own), lacks_verb(pairs[s:e]), main_verb(own), n))
+                        taken.append(n)
+        deeper = lambda s, e, n: [m for m in nested(n) if m not in taken and s <= m.start and m.end <= e]
+        extra = lambda m: " condition" if m.has("VB.*") else " condContNoVerb"
+        found = [(s, e, x if x == "multCondCoordAmb" else x + "".join(map(extra, deeper(s, e, n))), *rest) for s, e, x, *rest, n in found]
+        # a clause with another one below it, of whatever kind, is told by the blank at the end of its label
+        found = [(s, e, x + " " if " " not in x and x.startswith(("cond", "multCond")) and any(m.is_("SBAR") and m is not n for m in n.walk()) else x, *rest) for (s, e, x, *rest), n in zip(found, taken, strict=True)]
+        out = _gaps(sorted(found, key=lambda x: x[:3]), words, tags)
+    else:
+        out = [(s, e, x, passive(pairs[s:e]), lacks_verb(pairs[s:e]), main_verb(pairs[s:e])) for s, e, x in by_words(pairs)]
+        if all(x == "notMatch" for _, _, x, *_ in out) and words:
+            out = [(0, len(words), "notMatch", False, True, main_verb(pairs))]
     verbs = lambda s, e: [words[i] for i in range(s, e) if tags[i].startswith("VB")]
-    return [{"start": s, "end": e, "label": x, "passive": p, "verbs": verbs(s, e), "main": main_verb(list(zip(words[s:e], tags[s:e], strict=True))), "modal": "MD" in tags[s:e], "text": " ".join(words[s:e])} for s, e, x, p in out]
+    subject = lambda s, e: next((i for i in range(s, e) if tags[i].startswith("NN")), None)
+    rows = []
+    for s, e, x, p, v, main in out:
+        acts = x == "notMatch" and "MD" not in tags[s:e] and subject(s, e) is not None and any(tags[i].startswith("VB") for i in range(subject(s, e), e))
+        rows.append({"start": s, "end": e, "label": x.strip(), "passive": p, "noverb": v, "acts": acts, "verbs": verbs(s, e), "main": main, "modal": "MD" in tags[s:e], "text": " ".join(words[s:e])})
+    return rows
 
 
 def segment_requirements(trees: DataFrame) -> DataFrame:
-    """req_id, k, start, end, label, passive, verbs, main, modal, text: the segments of every row (req_id, tree)."""
+    """req_id, k, start, end, label, passive, noverb, acts, verbs, main, modal, text: the segments of every row (req_id, tree)."""
 
     def run(frames):
         for f in frames:
             rows = [(i, k, *s.values()) for i, t in zip(f["req_id"], f["tree"], strict=True) for k, s in enumerate(segments(t), 1)]
-            yield pd.DataFrame(rows, columns=["req_id", "k", "start", "end", "label", "passive", "verbs", "main", "modal", "text"])
+            yield pd.DataFrame(rows, columns=["req_id", "k", "start", "end", "label", "passive", "noverb", "acts", "verbs", "main", "modal", "text"])
 
-    return trees.select("req_id", "tree").mapInPandas(run, "req_id string, k int, start int, end int, label string, passive boolean, verbs array<string>, main string, modal boolean, text string")
+    return trees.select("req_id", "tree").mapInPandas(run, "req_id string, k int, start int, end int, label string, passive boolean, noverb boolean, acts boolean, verbs array<string>, main string, modal boolean, text string")

@@ -25,13 +25,16 @@ MESSAGES = {
 def segment_table(tree_rows: DataFrame) -> DataFrame:
     """Segments with their kind of condition and the flags of segment-level smells."""
     s = trees.segment_requirements(tree_rows)
-    cond, resp = F.col("label").contains("ond"), F.col("label").isin("sysresp", "multSrs")
+    names = F.split("label", " ")
+    cond, resp = F.exists(names, lambda x: x.startswith("cond") | x.startswith("multCond")), F.exists(names, lambda x: x.startswith("sysresp") | x.startswith("multSrs"))
+    first_cond = names[0].startswith("cond") | names[0].startswith("multCond")
     kind = F.when(cond & F.col("main").isNotNull(), V.condition_kind(F.col("main")))
     time = (F.col("label") == "conditionNoVerb") & F.lower(F.split("text", " ")[0]).isin("after", "before")
-    s = s.withColumns({"kind": kind, "time": time})
+    s = s.withColumns({"kind": kind, "time": time, "cond": cond, "resp": resp})
+    bare = F.exists(names, lambda x: x.isin("condContNoVerb", "conditionWithSymbol") | x.contains("IncomplNo"))
     return s.withColumns({
-        "Incomplete condition": cond & (F.size("verbs") == 0) & ~time,
-        "Incomplete system response": resp & (~F.col("modal") | (F.size("verbs") == 0)),
+        "Incomplete condition": cond & ~time & (first_cond & F.col("noverb") | bare & ~names[0].startswith("sysresp") | F.array_contains(names, "condContNoVerb")),
+        "Incomplete system response": resp & (~F.col("modal") | (F.size("verbs") == 0)) | F.col("acts"),
         "Passive voice": (cond | resp) & F.col("passive"),
         "Not precise verb": F.coalesce((cond | resp) & V.is_vague(V.stem_udf(F.col("main"))), F.lit(False)),
     })
@@ -40,8 +43,9 @@ def segment_table(tree_rows: DataFrame) -> DataFrame:
 def requirement_table(segments: DataFrame) -> DataFrame:
     """One row per requirement: labels in order, structure, flags and pattern."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("v")))), lambda x: x["v"])
-    is_or = F.when((F.col("label") == "notMatch") & (F.lower(F.trim("text")) == "or"), "or").otherwise(F.col("label"))
-    g = segments.withColumn("shown", is_or).groupBy("req_id").agg(ordered("shown").alias("labels"), ordered("kind").alias("kinds"), F.count_if("time").alias("times"))
+    is_or = F.when((F.col("label") == "notMatch") & (F.lower(F.trim(F.translate("text", ",", ""))) == "or"), "or").otherwise(F.col("label"))
+    flat = F.flatten(F.transform(ordered("shown"), lambda x: F.split(x, " ")))
+    g = segments.withColumn("shown", is_or).groupBy("req_id").agg(flat.alias("labels"), ordered("kind").alias("kinds"), F.count_if("time").alias("times"))
     g = smells.requirement_rules(g.withColumn("kinds", F.filter("kinds", lambda x: x.isNotNull())))
     kind = V.structure_type(F.col("n_scope"), F.col("n_cond_before") + F.col("n_cond_after"), F.col("n_resp"))
     n = V.pattern_number(kind, F.col("kinds"), F.col("n_scope"), F.col("times"))
@@ -54,7 +58,7 @@ def report(tree_rows: DataFrame) -> DataFrame:
     req = requirement_table(seg)
     flags = dict(zip(smells.SMELLS[:5], ("non_atomic", "incomplete", "incorrect_order", "coordination", "not_requirement"), strict=True))
     first = F.col("k") == 1
-    part = F.when(F.col("label").contains("ond"), "condition").otherwise("system response")
+    part = F.when(F.col("label").startswith("cond") | F.col("label").startswith("multCond"), "condition").otherwise("system response")
     say = lambda on, name: F.when(on, F.replace(F.lit(MESSAGES[name]), F.lit("{}"), part)).otherwise("").alias(name)
     joined = seg.join(req.select("req_id", *flags.values(), "pattern", "template"), "req_id")
     cells = [say(first & F.col(flags[s]), s) for s in smells.SMELLS[:5]] + [say(F.col(f"`{s}`"), s) for s in smells.SMELLS[5:]]
