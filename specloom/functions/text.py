@@ -116,46 +116,69 @@ def _without_last(x: Column, mark: str) -> Column:
     return F.when(x.contains(mark), F.concat(F.substr(x, F.lit(1), F.length(x) - F.length(tail) - len(mark)), tail)).otherwise(x)
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _from(parts: Column, k: Column) -> Column:
+    return F.array_join(F.slice(parts, k, F.size(parts)), LINE)
+
+
+def _upto(parts: Column, k: Column) -> Column:
+    return F.array_join(F.slice(parts, F.lit(1), k - 1), LINE)
+
+
+def _at_part(x: Column, test, then) -> Column:
+    """``then`` of the parts that LINE divides and the number of the first one after a LINE that passes; else the text."""
+    number = lambda parts: F.array_position(F.transform(parts, lambda v, i: (i > 0) & test(v)), True).cast("int")
+    return _let(F.split(x, LINE), lambda parts: _let(number(parts), lambda k: F.when(k > 0, then(parts, k)).otherwise(F.array_join(parts, LINE))))
+
+
 def _parts(x: Column, last: Column) -> Column:
     """One line of text whose parts are divided by LINE: notes and illustrations go, bullets get a star, breaks a comma."""
-    at = lambda parts, test: F.array_position(F.transform(parts, lambda v, i: (i > 0) & test(v)), True).cast("int")
-    from_ = lambda parts, k: F.array_join(F.slice(parts, k, F.size(parts)), LINE)
-    upto = lambda parts, k: F.array_join(F.slice(parts, F.lit(1), k - 1), LINE)
-
     # a note runs to the end of the text, if that is a letter, a digit or a full stop
-    parts = F.split(x, LINE)
-    note = at(parts, lambda v: v.startswith(NOTES[0]) | v.startswith(NOTES[1]))
-    x = F.when(last & (note > 0) & (F.length(from_(parts, note)) > 5) & x.rlike(r"[a-zA-Z0-9.]$"), upto(parts, note)).otherwise(x)
+    def note(parts, k):
+        return F.when(last & (F.length(_from(parts, k)) > 5) & F.element_at(parts, -1).rlike(r"[a-zA-Z0-9.]$"), _upto(parts, k)).otherwise(F.array_join(parts, LINE))
 
     # an illustration runs to the last full stop
-    parts = F.split(x, LINE)
-    k = at(parts, lambda v: v.startswith(ILLUSTRATION))
-    rest = F.substr(from_(parts, k), F.lit(len(ILLUSTRATION) + 2))
-    x = F.when((k > 0) & rest.contains("."), F.concat(upto(parts, k), F.substring_index(rest, ".", -1))).otherwise(x)
+    def illustration(parts, k):
+        rest = F.substr(_from(parts, k), F.lit(len(ILLUSTRATION) + 2))
+        return F.when(rest.contains("."), F.concat(_upto(parts, k), F.substring_index(rest, ".", -1))).otherwise(F.array_join(parts, LINE))
 
     # from the first bullet on the last comma goes
-    parts = F.split(x, LINE)
-    k = at(parts, lambda v: v.startswith(BULLET))
-    x = F.when(k > 0, F.concat(upto(parts, k), F.lit(LINE), _without_last(from_(parts, k), ","))).otherwise(x)
+    def bullets(parts, k):
+        return F.concat(_upto(parts, k), F.lit(LINE), _let(_from(parts, k), lambda v: _without_last(v, ",")))
+
+    x = _at_part(x, lambda v: v.startswith(NOTES[0]) | v.startswith(NOTES[1]), note)
+    x = _at_part(x, lambda v: v.startswith(ILLUSTRATION), illustration)
+    x = _at_part(x, lambda v: v.startswith(BULLET), bullets)
     shown = F.transform(F.split(x, LINE), lambda v, i: F.when(i == 0, v).when(v.startswith(BULLET), F.concat(F.lit(STAR), F.substr(v, F.lit(len(BULLET) + 1)))).otherwise(F.concat(F.lit(", "), v)))
     return F.array_join(shown, "")
 
 
-def preclean(x: Column, blanks: str = r"\s") -> Column:
-    """The requirement cleaner: quoted phrases become one word, notes go, line breaks become commas.
-
-    ``blanks`` are the characters that runs are made of: all blanks, or " " as the older cleaner has it."""
-    s = F.replace(F.coalesce(x, F.lit("")), F.lit(":"), F.lit(""))
-    # a phrase between two curly quotes of one line; an open quote stays
+def _phrases(s: Column, blanks: str) -> Column:
+    """Each phrase between two curly quotes of one line as one word; an open quote stays."""
     phrase = "[“”][^“”\n]*[“”]"
     word = lambda q: F.regexp_replace(blank(F.regexp_replace(q, "[“”]", "")), f"{blanks}+", "_")
     around, phrases = F.split(s, phrase, -1), F.regexp_extract_all(s, F.lit(phrase), F.lit(0))
     joined = F.array_join(F.zip_with(around, phrases, lambda a, q: F.concat(a, F.coalesce(word(q), F.lit("")))), "")
-    s = F.when(s.rlike("[“”]"), joined).otherwise(s)
+    return F.when(s.rlike("[“”]"), joined).otherwise(s)
+
+
+def _all_lines(s: Column) -> Column:
+    lines = lambda v: _let(F.split(v, "\n"), lambda p: F.array_join(F.transform(p, lambda w, i: _parts(w, i >= F.size(p) - F.when(F.element_at(p, -1) == "", 2).otherwise(1))), "\n"))
+    return F.when(s.contains(LINE), lines(s)).otherwise(s)
+
+
+def preclean(x: Column, blanks: str = r"\s") -> Column:
+    """The requirement cleaner: quoted phrases become one word, notes go, line breaks become commas.
+
+    ``blanks`` are the characters that runs are made of: all blanks, or " " as the older cleaner has it."""
+    s = _let(F.replace(F.coalesce(x, F.lit("")), F.lit(":"), F.lit("")), lambda v: _phrases(v, blanks))
     # commas are joined before semicolons go, so that those between commas part them once more
     s = F.translate(F.regexp_replace(F.translate(s, "-()'", "_"), ",{2,4}", ","), ";", "")
-    lines = F.split(s, "\n")
-    s = F.when(s.contains(LINE), F.array_join(F.transform(lines, lambda v, i: _parts(v, i >= F.size(lines) - F.when(s.endswith("\n"), 2).otherwise(1))), "\n")).otherwise(s)
+    s = _let(s, _all_lines)
     s = F.regexp_replace(s, r"(?<=[\p{L}\p{N}_]) (?=,)", "")
     s = F.regexp_replace(s, r", *,", ",")
     s = F.regexp_replace(s, f"(lock[\\p{{L}}\\p{{N}}_]+){blanks}{{1,3}}(?=in)", "$1_")

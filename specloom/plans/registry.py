@@ -2,7 +2,7 @@
 
 Roles: labels and documents give slot judgements (slot = language, gold missing = low quality, flagged = toxic);
 conversations give human versions (conv_id = requirement, turn = annotator), their first turn being the machine's.
-Rules that the tables never fire run on short inline rows.
+Rules that the tables' texts never fire run on texts made from whole tables, by expressions that both engines read.
 """
 
 from __future__ import annotations
@@ -224,95 +224,75 @@ def seq_ratio_distribution(spark, d):
     return similarity.distribution(pairs, "seq_ratio").select("n", *[r10(c) for c in ("mean", "median", "min", "max", "std")])
 
 
-_CONVERSIONS = [
-    (1, "When <MISSING_ACTOR> fails, <MISSING_SCOPE>, the System must <MISSING_ACTION> ."),
-    (2, "For each item , the App must store data."),
-    (3, "<MISSING_CONDITION> , ,the User must log in <NON_ATOMIC>."),
-    (4, "  ; :The  server\tmust  run,  ."),
-    (5, ""),
-    (6, "The Actor <MISSING_MODAL_VERB> act; ;; and <MISSING_ACTION><MISSING_ACTION> stop <NON_ATOMIC> <NON_ATOMIC>"),
-    (7, "Reasoning\nFinal Rimay:\n**The System must act.**\nmore"),
-    (8, "a\nFINAL: one\n\nfinal answer: two \n* x *"),
-    (9, "line one\n**line two**\n\n"),
-    (10, "Final:   "),
-]
-
-
-def _values(rows) -> str:
-    q = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(q(v) for v in r) + ")" for r in rows) + ")"
-
-
-def _inline(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-CONV = f"v AS (SELECT * FROM {_values(_CONVERSIONS)} t(id, x))"
-STRIP_SQL = "coalesce(x, '')"
-for _p, _b in (("<MISSING_[A-Z_]+>", ""), ("<NON_ATOMIC>", ""), (r"[ \t\n\r]+([,.;:!?])", r"\1")):
-    STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{_p}', '{_b}', 'g')"
-# RE2 has no back-references: one replacement for each of the three points
-for _c in (",", ";", ":"):
-    STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{_c}[ \\t\\n\\r]*{_c}+', '{_c}', 'g')"
-for _p, _b in ((r",[ \t\n\r]*\.", "."), (r"[ \t]{2,}", " "), (r"^[ \t\n\r,;:.]+", ""), (r"^[ \t\n\r]+|[ \t\n\r]+$", "")):
+# Made conversions: turns with placeholders, marks and answer lines put in by number. One text serves both engines.
+MADE = """CASE turn % 5 WHEN 0 THEN '<MISSING_CONDITION> , ,' WHEN 1 THEN '  ; :' WHEN 2 THEN '<MISSING_SCOPE>, ' ELSE '' END
+ || CASE WHEN conv_id % 3 = 0 THEN replace(coalesce(text, ''), ' ', ' <MISSING_ACTOR> ') ELSE coalesce(text, '') END
+ || CASE (conv_id + turn) % 4 WHEN 0 THEN ' ,; ;<MISSING_ACTION><MISSING_ACTION> .' WHEN 1 THEN ' <NON_ATOMIC>' WHEN 2 THEN ' ,  .' ELSE '' END"""
+ANSWER = """coalesce(text, '') || CASE (conv_id + turn) % 5 WHEN 0 THEN chr(10) || 'Final Rimay:' || chr(10) || '**The ' || coalesce(role, '') || ' must act.**' || chr(10) || 'more'
+ WHEN 1 THEN chr(10) || 'FINAL: one' || chr(10) || chr(10) || 'final answer: two ' || chr(10) || '* x *' WHEN 2 THEN chr(10) || 'Final:   ' WHEN 3 THEN chr(10) || '**last**' || chr(10) || chr(10) ELSE '' END"""
+CONV = f"v AS (SELECT conv_id, turn, {MADE} AS x FROM conversations)"
+# the points in SQL without look-ahead: one replacement for each
+STRIP_SQL = "regexp_replace(x, '<MISSING_[A-Z_]+>|<NON_ATOMIC>', '', 'g')"
+for _p, _b in ((r"[ \t\n\r\f\v]+([,.;:!?])", r"\1"), (",+", ","), (";+", ";"), (":+", ":"), (r",\.", "."), (r"[ \t]{2,}", " "), (r"^[ \t\n\r\f\v,;:.]+", ""), (r"[ \t\n\r\f\v]+$", "")):
     STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{_p}', '{_b}', 'g')"
 
 
-def _conv(spark):
-    return _inline(spark, _CONVERSIONS, "id int, x string")
+def _conv(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(MADE).alias("x"))
 
 
-@query(f"WITH {CONV} SELECT CAST(id AS INT) AS id, {STRIP_SQL} AS stripped FROM v")
+@query(f"WITH {CONV} SELECT conv_id, turn, {STRIP_SQL} AS stripped FROM v")
 def strip_placeholders(spark, d):
-    return _conv(spark).select("id", X.strip_placeholders(F.col("x")).alias("stripped"))
+    return _conv(spark, d).select("conv_id", "turn", X.strip_placeholders(F.col("x")).alias("stripped"))
 
 
-@query(f"WITH {CONV} SELECT CAST(id AS INT) AS id, " + ", ".join(f"CAST((length(x) - length(replace(x, '{p}', ''))) / {len(p)} AS INT) AS n_{s}" for s, p in X.PLACEHOLDERS.items()) + " FROM v")
+@query(f"WITH {CONV} SELECT conv_id, turn, " + ", ".join(f"CAST((length(x) - length(replace(x, '{p}', ''))) / {len(p)} AS INT) AS n_{s}" for s, p in X.PLACEHOLDERS.items()) + " FROM v")
 def placeholder_counts(spark, d):
-    return _conv(spark).select("id", *[X.occurrences(F.col("x"), p).alias(f"n_{s}") for s, p in X.PLACEHOLDERS.items()])
+    return _conv(spark, d).select("conv_id", "turn", *[X.occurrences(F.col("x"), p).alias(f"n_{s}") for s, p in X.PLACEHOLDERS.items()])
 
 
-@query(f"WITH {CONV} SELECT CAST(id AS INT) AS id, " + ", ".join(f"CASE WHEN contains(x, '{p}') THEN 'missing' ELSE 'filled' END AS {s}" for s, p in X.PLACEHOLDERS.items()) + ", contains(x, '<NON_ATOMIC>') AS non_atomic FROM v")
+@query(f"WITH {CONV} SELECT conv_id, turn, " + ", ".join(f"CASE WHEN contains(x, '{p}') THEN 'missing' ELSE 'filled' END AS {s}" for s, p in X.PLACEHOLDERS.items()) + ", contains(x, '<NON_ATOMIC>') AS non_atomic FROM v")
 def derive_slots(spark, d):
-    return _conv(spark).select("id", *[X.derive_slot(F.col("x"), s).alias(s) for s in X.SLOTS], X.is_non_atomic(F.col("x")).alias("non_atomic"))
+    return _conv(spark, d).select("conv_id", "turn", *[X.derive_slot(F.col("x"), s).alias(s) for s in X.SLOTS], X.is_non_atomic(F.col("x")).alias("non_atomic"))
 
 
 _LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda v: trim(trim(trim(v), '*'))), lambda v: v <> '')"
 _ENDS = "greatest(" + ", ".join(f"CASE WHEN contains(lower(s), '{m}') THEN length(s) - instr(reverse(lower(s)), '{m[::-1]}') + 1 ELSE -1 END" for m in X.FINAL_MARKERS) + ")"
 
 
-@query(f"""WITH {CONV}, s AS (SELECT id, regexp_replace(x, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS s FROM v), e AS (SELECT id, s, {_ENDS} AS e FROM s)
-SELECT CAST(id AS INT) AS id, coalesce(CASE WHEN e > 0 THEN ({_LINES.format('substr(s, e + 1)')})[1] END, ({_LINES.format('s')})[-1], s) AS line FROM e""")
+@query(f"""WITH v AS (SELECT conv_id, turn, {ANSWER} AS x FROM conversations), s AS (SELECT conv_id, turn, regexp_replace(x, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS s FROM v), e AS (SELECT conv_id, turn, s, {_ENDS} AS e FROM s)
+SELECT conv_id, turn, coalesce(CASE WHEN e > 0 THEN ({_LINES.format('substr(s, e + 1)')})[1] END, ({_LINES.format('s')})[-1], s) AS line FROM e""")
 def final_line_extract(spark, d):
-    return _conv(spark).select("id", X.final_line(F.col("x")).alias("line"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.final_line(F.expr(ANSWER)).alias("line"))
 
 
-_RAW = [
-    (1, "When the 'A-B' (x) fails: then, ,, stop;"),
-    (2, "Open “the main  panel” now , and lock it  in"),
-    (3, "Do x<lb><bullet>one,<lb><bullet>two;<lb>Note this is it."),
-    (4, "a  b<lb>To illustrate any thing."),
-    (5, "locked  in”x y“ , z"),
-    (6, ""),
-]
+# Made extracts: quoted phrases, line breaks, bullets, notes and marks around turns.
+EXTRACT = """CASE turn % 4 WHEN 0 THEN '“the main  ' || coalesce(role, '') || '” now , ' WHEN 1 THEN 'Do “open (' ELSE '' END || coalesce(text, '')
+ || CASE (conv_id + turn) % 5 WHEN 0 THEN '<lb><bullet>one,<lb><bullet>two;<lb>Note this is it.' WHEN 1 THEN '<lb>To illustrate any thing. locked  in' WHEN 2 THEN ' ,, ,,; and it is locked in-place (''x'')' WHEN 3 THEN '<lb>Note that, it ends ,' ELSE '' END"""
+PHRASE = "'[“”][^“”\\n]*[“”]'"
+_PRE = "replace(coalesce({0}, ''), ':', '')"
+_PRE = f"""(SELECT array_to_string(list_transform(list_zip(regexp_split_to_array(s, {PHRASE}), regexp_extract_all(s, {PHRASE})),
+ lambda p: p[1] || coalesce(regexp_replace(trim(regexp_replace(p[2], '[“”]', '', 'g')), '[ \\t\\r\\f\\v]+', '_', 'g'), '')), '') FROM (SELECT {_PRE} AS s))"""
+for _p, _b in (("[()'']", ""), ("-", "_"), (",{{2,4}}", ","), (";", ""), (r"<lb>(Note|NOTE).+[a-zA-Z0-9.]$", ""), (r"<lb>To illustrate.+\.", ""), (r"(<lb><bullet>.*),", r"\1"), ("<lb><bullet>", r"\\*"), ("<lb>", ", "), (r"([\p{{L}}\p{{N}}_]) ,", r"\1,"), (", *,", ","), (r"(lock[\p{{L}}\p{{N}}_]+)[ \t\n\r\f\v]{{1,3}}(in)", r"\1_\2"), (r"[ \t\n\r\f\v]{{2,}}", " ")):
+    _PRE = f"regexp_replace({_PRE}, '{_p}', '{_b}', 'g')"
 
 
-@query()
+@query(f"SELECT conv_id, turn, {_PRE.format('x')} AS cleaned FROM (SELECT conv_id, turn, {EXTRACT} AS x FROM conversations)")
 def preclean_chain(spark, d):
-    return _inline(spark, _RAW, "id int, x string").select("id", X.preclean(F.col("x")).alias("cleaned"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.preclean(F.expr(EXTRACT)).alias("cleaned"))
 
 
-_PRE = "replace(coalesce(text, ''), ':', '')"
-for _p, _b in (("[()]", ""), ("''", ""), ("-", "_"), (",{2,4}", ","), (";", ""), (r"([\p{L}\p{N}_]+)( )(,)", r"\1\3"), (r", *,", ","), (r"[ \t\n\r\f\v]{2,}", " ")):
-    _PRE = f"regexp_replace({_PRE}, '{_p}', '{_b}', 'g')"
-
-
-@query(f"SELECT conv_id, turn, sha256({_PRE}) AS cleaned_sha256 FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[“”<]|lock')")
+@query(f"SELECT conv_id, turn, sha256({_PRE.format('text')}) AS cleaned_sha256 FROM conversations")
 def preclean_conversations(spark, d):
-    # the SQL leaves out rows with the rules it cannot express
     return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(X.preclean(F.col("text")), 256).alias("cleaned_sha256"))
 
 
+@query(f"SELECT conv_id, turn, regexp_replace(regexp_replace(trim(x), ':([A-Za-z0-9_]+):|;([A-Za-z0-9_]+):', ' \\1\\2 ', 'g'), ' {{2,}}', ' ', 'g') AS cleaned, regexp_matches(x, ':[A-Za-z0-9_]+:|;[A-Za-z0-9_]+:') AS changed FROM (SELECT conv_id, turn, replace(replace(replace(coalesce(text, ''), '(', ''), chr(10), ' '), ' a ', CASE conv_id % 3 WHEN 0 THEN ':a: ' WHEN 1 THEN ' ;a: ' ELSE ' a ' END) AS x FROM conversations)")
+def extract_cleaners(spark, d):
+    x = F.expr("replace(replace(replace(coalesce(text, ''), '(', ''), chr(10), ' '), ' a ', CASE conv_id % 3 WHEN 0 THEN ':a: ' WHEN 1 THEN ' ;a: ' ELSE ' a ' END)")
+    return table(spark, d, "conversations").select("conv_id", "turn", X.clean_description(x).alias("c")).select("conv_id", "turn", F.col("c.text").alias("cleaned"), F.col("c.changed").alias("changed"))
+
+
 @query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(text, '') || chr(30)) AS hash FROM documents")
 def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("hash"))
@@ -323,18 +303,18 @@ def safe_file_id(spark, d):
     return table(spark, d, "pages").select("page_id", X.safe_id(F.col("url")).alias("file_id"))
 
 
-_FLAGS = [(1, "TRUE", "3"), (2, " yes ", "2.7"), (3, "1", "-1.9"), (4, "no", "abc"), (5, None, None), (6, "Y", "  12 "), (7, "", ""), (8, "truee", "1e3")]
-FLAGS = f"v AS (SELECT * FROM {_values(_FLAGS)} t(id, b, n))"
+FLAG = "CASE event_id % 9 WHEN 0 THEN 'TRUE' WHEN 1 THEN ' yes ' WHEN 2 THEN '1' WHEN 3 THEN 'Y' WHEN 4 THEN 'truee' WHEN 5 THEN NULL WHEN 6 THEN '' ELSE event_type END"
+NUMBER = "CASE event_id % 7 WHEN 0 THEN CAST(user_id AS VARCHAR(20)) WHEN 1 THEN '-' || CAST(user_id AS VARCHAR(20)) || '.9' WHEN 2 THEN ' ' || CAST(user_id AS VARCHAR(20)) || '.7 ' WHEN 3 THEN event_type WHEN 4 THEN NULL WHEN 5 THEN '' ELSE '1e3' END"
 
 
-@query(f"WITH {FLAGS} SELECT CAST(id AS INT) AS id, lower(trim(coalesce(b, ''))) IN ('true', '1', 'yes', 'y') AS flag FROM v")
+@query(f"SELECT event_id, lower(trim(coalesce({FLAG}, ''))) IN ('true', '1', 'yes', 'y') AS flag FROM events")
 def bool_parse(spark, d):
-    return _inline(spark, _FLAGS, "id int, b string, n string").select("id", X.truthy(F.col("b")).alias("flag"))
+    return table(spark, d, "events").select("event_id", X.truthy(F.expr(FLAG)).alias("flag"))
 
 
-@query(f"WITH {FLAGS} SELECT CAST(id AS INT) AS id, coalesce(CAST(trunc(TRY_CAST(trim(coalesce(n, '')) AS DOUBLE)) AS INT), 0) AS number FROM v")
+@query(f"SELECT event_id, coalesce(CAST(trunc(TRY_CAST(trim(coalesce({NUMBER}, '')) AS DOUBLE)) AS INT), 0) AS number FROM events")
 def safe_int(spark, d):
-    return _inline(spark, _FLAGS, "id int, b string, n string").select("id", X.safe_int(F.col("n")).alias("number"))
+    return table(spark, d, "events").select("event_id", X.safe_int(F.expr(NUMBER)).alias("number"))
 
 
 @query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS text_sha256 FROM pages")
@@ -389,22 +369,29 @@ def smell_frequency(spark, d):
     return smells.frequency(table(spark, d, "events").select(F.col("event_type").alias("smell"), "event_id"), "event_id")
 
 
-_SEGMENTS = [(f"r{k // 3}", f"r{k // 3}_{k}", *[("m" if (k * 7 + j * 3) % 5 == 0 else " " if j % 2 else None) for j in range(len(smells.SMELLS))]) for k in range(12)]
-_SEG_SQL = f"v AS (SELECT * FROM {_values(_SEGMENTS)} t(req_id, segment_id, " + ", ".join(f'"{s}"' for s in smells.SMELLS) + "))"
+# Made segments: an event is one of its user's segments; its number tells which smells it has.
+CELL = "CASE (event_id * 7 + {0}) % 5 WHEN 0 THEN event_type WHEN 1 THEN ' ' ELSE NULL END"
+_SEG_SQL = "v AS (SELECT user_id AS req_id, event_id AS segment_id, " + ", ".join(f'{CELL.format(3 * j)} AS "{s}"' for j, s in enumerate(smells.SMELLS)) + ", CASE WHEN event_id % 4 = 0 THEN ' p' || event_type ELSE ' ' END AS pattern FROM events)"
 
 
-def _segments(spark):
-    return _inline(spark, _SEGMENTS, "req_id string, segment_id string, " + ", ".join(f"`{s}` string" for s in smells.SMELLS))
+def _segments(spark, d):
+    cells = [F.expr(CELL.format(3 * j)).alias(s) for j, s in enumerate(smells.SMELLS)]
+    return table(spark, d, "events").select(F.col("user_id").alias("req_id"), F.col("event_id").alias("segment_id"), F.col("event_id").alias("ordinal"), *cells, F.expr("CASE WHEN event_id % 4 = 0 THEN ' p' || event_type ELSE ' ' END").alias("pattern"))
 
 
 @query(f"WITH {_SEG_SQL} " + " UNION ALL ".join(f"SELECT req_id, segment_id, '{s}' AS smell, trim(\"{s}\") AS value FROM v WHERE trim(coalesce(\"{s}\", '')) <> ''" for s in smells.SMELLS))
 def smell_explode(spark, d):
-    return smells.fired(_segments(spark))
+    return smells.fired(_segments(spark, d))
 
 
 @query(f"WITH {_SEG_SQL} SELECT req_id, bool_or(" + " OR ".join(f"trim(coalesce(\"{s}\", '')) <> ''" for s in smells.SMELLS) + ") AS has_smell FROM v GROUP BY req_id")
 def requirements_with_smell(spark, d):
-    return smells.with_any(_segments(spark))
+    return smells.with_any(_segments(spark, d))
+
+
+@query(f"WITH {_SEG_SQL} SELECT req_id, CAST(sum(" + " + ".join(f"CAST(trim(coalesce(\"{s}\", '')) <> '' AS INT)" for s in smells.SMELLS) + ") AS BIGINT) AS n_smells, coalesce(string_agg(trim(pattern), ',' ORDER BY segment_id) FILTER (trim(pattern) <> ''), '') AS patterns FROM v GROUP BY req_id")
+def requirement_smells(spark, d):
+    return smells.per_requirement(_segments(spark, d)).select("req_id", "n_smells", F.array_join("patterns", ",").alias("patterns"))
 
 
 @query("""WITH c AS (SELECT user_id, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE count(*) FILTER (event_type = 'error') = 0 END AS passed, count(*) FILTER (event_type = 'error') AS n_smells FROM events GROUP BY user_id)
@@ -486,91 +473,161 @@ def word_count_buckets(spark, d):
     return table(spark, d, "documents").select(b.alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-# ---- rules on inline rows ------------------------------------------------------------------------
+@query(f"{'WITH ' + WORDS}, t AS (SELECT item_id, list(word ORDER BY pos) AS w FROM w GROUP BY item_id), c AS (SELECT item_id, w, list_transform(w[4:6], lambda x: lower(x)) AS c FROM t), s AS (SELECT item_id, list_filter(range(0, len(w) - 2), lambda i: contains(lower(w[i + 1]), c[1]) AND contains(lower(w[i + 2]), c[2]) AND contains(lower(w[i + 3]), c[3])) AS hits FROM c) SELECT item_id, CAST(hits[-1] AS INT) AS start, CAST(hits[-1] + 2 AS INT) AS \"end\" FROM s")
+def clause_location(spark, d):
+    """Where the fourth to sixth word of a text stand last."""
+    w = F.split("text", " ")
+    at = spans.clause_span(w, F.array_join(F.slice(w, 4, 3), " "))
+    return table(spark, d, "benchmark").select("item_id", at.alias("s")).select("item_id", "s.start", "s.end")
+
+
+@query("SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
+def previous_label(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", spans.previous("role", "conv_id", ["turn"]).alias("before"))
+
+
+@query("SELECT doc_id, CASE WHEN strpos(text, 'z') > 0 AND (strpos(text, 'q') = 0 OR strpos(text, 'z') < strpos(text, 'q')) THEN strpos(text, 'z') - 1 WHEN strpos(text, 'q') > 0 THEN strpos(text, 'q') - 1 ELSE -1 END AS first FROM documents WHERE text IS NOT NULL")
+def least_position(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", spans.least_position(F.instr(t, "z") - 1, F.instr(t, "q") - 1).cast("bigint").alias("first"))
+
 
-_VERBS = [(i, v) for i, v in enumerate(["is", "Contains", "receives", "x", "", None, "supports", "processing", "making", "done", "considered", "defaults", "reads", "sends", "raised", "gotten", "accounts", "proposes", "equals", "performed"])]
-VERBS = f"v AS (SELECT * FROM {_values(_VERBS)} t(id, x))"
+# ---- rules on made rows --------------------------------------------------------------------------
 
+VERB = "CASE event_id % 23 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(("is", "Contains", "receives", "x", " has ", "supports", "processing", "making", "done", "considered", "defaults", "reads", "sends", "raised", "gotten", "accounts", "proposes", "equals", "performed"))) + " WHEN 19 THEN NULL WHEN 20 THEN '' ELSE event_type END"
 
-@query(f"WITH {VERBS} SELECT CAST(id AS INT) AS id, CASE WHEN lower(trim(coalesce(x, ''))) IN ({', '.join(repr(s) for s in V.STATE_VERBS)}) THEN 'logicalExpression' WHEN length(trim(coalesce(x, ''))) > 1 THEN 'trigger' ELSE '' END AS kind FROM v")
+
+@query(f"SELECT event_id, CASE WHEN lower(trim(coalesce(v, ''))) IN ({', '.join(repr(s) for s in V.STATE_VERBS)}) THEN 'logicalExpression' WHEN length(trim(coalesce(v, ''))) > 1 THEN 'trigger' ELSE '' END AS kind FROM (SELECT event_id, {VERB} AS v FROM events)")
 def condition_kind(spark, d):
-    return _inline(spark, _VERBS, "id int, x string").select("id", V.condition_kind(F.col("x")).alias("kind"))
+    return table(spark, d, "events").select("event_id", V.condition_kind(F.expr(VERB)).alias("kind"))
 
 
-@query(f"WITH {VERBS} SELECT CAST(id AS INT) AS id, stem(lower(x), 'porter') IN ({', '.join(repr(s) for s in V.VAGUE_STEMS)}) AS vague FROM v WHERE x IS NOT NULL")
+# the forms among the verbs above whose stems are vague, told without a stemmer
+@query(f"SELECT event_id, v IN ('supports', 'processing', 'making', 'done', 'considered', 'defaults', 'reads', 'raised', 'gotten', 'accounts', 'proposes', 'performed') AS vague FROM (SELECT event_id, {VERB} AS v FROM events) WHERE v IS NOT NULL")
 def imprecise_verb(spark, d):
-    return _inline(spark, _VERBS, "id int, x string").where("x IS NOT NULL").select("id", V.is_vague(V.stem_udf("x")).alias("vague"))
-
+    return table(spark, d, "events").select("event_id", F.expr(VERB).alias("v")).where("v IS NOT NULL").select("event_id", V.is_vague(V.stem_udf("v")).alias("vague"))
 
-ORACLE_SQL.pop("imprecise_verb")  # DuckDB has the stemmer in an extension only
 
-_SHAPES = [(a, b, c) for a in range(3) for b in range(3) for c in range(3)]
-SHAPES = f"v AS (SELECT * FROM {_values(_SHAPES)} t(s, c, r))"
+SHAPES = "v AS (SELECT conv_id, CAST(conv_id % 3 AS INT) AS s, CAST(max(turn) % 3 AS INT) AS c, CAST(count(*) % 4 AS INT) AS r, CAST(conv_id % 4 AS INT) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)"
 TYPE_SQL = "CASE WHEN r < 1 THEN 'otherType' ELSE concat(CASE WHEN s >= 1 THEN 'scope' ELSE '' END, CASE WHEN c > 1 THEN CASE WHEN s >= 1 THEN 'Mult' ELSE 'mult' END || 'Cond' WHEN c = 1 THEN CASE WHEN s >= 1 THEN 'Cond' ELSE 'cond' END ELSE '' END, CASE WHEN r > 1 THEN CASE WHEN s >= 1 OR c >= 1 THEN 'MultSrs' ELSE 'multSrs' END ELSE CASE WHEN s >= 1 OR c >= 1 THEN 'SysResp' ELSE 'sysResp' END END) END"
 
 
-@query(f"WITH {SHAPES} SELECT CAST(s AS INT) AS s, CAST(c AS INT) AS c, CAST(r AS INT) AS r, {TYPE_SQL} AS kind FROM v")
+def _shapes(spark, d):
+    c = table(spark, d, "conversations").where("conv_id IS NOT NULL").groupBy("conv_id")
+    return c.agg(F.expr("CAST(conv_id % 3 AS INT)").alias("s"), F.expr("CAST(max(turn) % 3 AS INT)").alias("c"), F.expr("CAST(count(*) % 4 AS INT)").alias("r"), F.expr("CAST(conv_id % 4 AS INT)").alias("t"))
+
+
+@query(f"WITH {SHAPES} SELECT conv_id, s, c, r, {TYPE_SQL} AS kind FROM v")
 def structure_type(spark, d):
-    return _inline(spark, _SHAPES, "s int, c int, r int").select("s", "c", "r", V.structure_type(F.col("s"), F.col("c"), F.col("r")).alias("kind"))
+    return _shapes(spark, d).select("conv_id", "s", "c", "r", V.structure_type(F.col("s"), F.col("c"), F.col("r")).alias("kind"))
 
 
-_RECS = [(i, k, c, s, t) for i, (k, c, s, t) in enumerate((k, c, s, t) for k in ("sysResp", "scopeMultSrs", "condSysResp", "scopeCondMultSrs", "scopeMultCondSysResp", "multCondMultSrs", "otherType") for c in ([], ["trigger"], ["logicalExpression"], ["trigger", "trigger"]) for s in (0, 1) for t in (0, 1))]
+# kinds of conditions: as many as c, the first by t; time conditions: one where t is 3
+ONE = "CASE t WHEN 0 THEN 'trigger' WHEN 1 THEN 'logicalExpression' ELSE '' END"
+_SINGLE = "CASE WHEN c = 1 AND one = 'trigger' THEN {0} WHEN c = 1 AND one = 'logicalExpression' THEN {1} WHEN c = 1 THEN 11 WHEN times = 1 THEN {2} END"
+NUMBER_SQL = f"""CASE WHEN kind IN ('sysResp', 'multSrs') THEN 5 WHEN kind IN ('scopeSysResp', 'scopeMultSrs') THEN 1 WHEN kind IN ('multCondSysResp', 'multCondMultSrs') THEN 10
+ WHEN kind IN ('scopeMultCondSysResp', 'scopeMultCondMultSrs') THEN 9 WHEN kind IN ('condSysResp', 'condMultSrs') THEN {_SINGLE.format(7, 6, 8)} WHEN kind IN ('scopeCondSysResp', 'scopeCondMultSrs') THEN {_SINGLE.format(3, 2, 4)}
+ WHEN c = 1 AND s > 0 THEN {_SINGLE.format(3, 2, 8)} WHEN c = 1 THEN {_SINGLE.format(7, 6, 8)} WHEN times = 1 THEN 8 WHEN c > 1 AND s > 0 THEN 9 WHEN c > 1 THEN 10 WHEN s > 0 THEN 1 ELSE 5 END"""
 
 
-@query()
+@query(f"WITH {SHAPES}, k AS (SELECT *, {TYPE_SQL} AS kind, {ONE} AS one, CAST(t = 3 AS INT) AS times FROM v), n AS (SELECT conv_id, {NUMBER_SQL} AS number FROM k) SELECT conv_id, number, CASE number " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in V.PATTERNS.items()) + " END AS pattern, CASE number " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in V.TEMPLATES.items()) + " ELSE '' END AS template FROM n")
 def pattern_recommendation(spark, d):
-    df = _inline(spark, _RECS, "id int, kind string, conditions array<string>, scopes int, times int")
-    n = V.pattern_number(F.col("kind"), F.col("conditions"), F.col("scopes"), F.col("times"))
-    return df.select("id", n.alias("number"), V.pattern_name(n).alias("pattern"), V.pattern_template(n).alias("template"))
+    df = _shapes(spark, d).withColumns({"kind": V.structure_type(F.col("s"), F.col("c"), F.col("r")), "conditions": F.expr(f"array_repeat({ONE}, c)"), "times": F.expr("CAST(t = 3 AS INT)")})
+    n = V.pattern_number(F.col("kind"), F.col("conditions"), F.col("s"), F.col("times"))
+    return df.select("conv_id", n.alias("number"), V.pattern_name(n).alias("pattern"), V.pattern_template(n).alias("template"))
 
 
-_LABELS = [
-    (1, ["scope", "condition", "sysresp"]),
-    (2, ["sysresp", "condition"]),
-    (3, ["condition", "or", "condition", "sysresp"]),
-    (4, ["condition"]),
-    (5, ["notMatch"]),
-    (6, ["multCondPos", "multSrsPos"]),
-    (7, ["sysresp", "and", "sysrespPos"]),
-    (8, []),
-    (9, ["scope"]),
-]
+LABEL = "CASE (turn * 7 + conv_id * 3) % 11 WHEN 0 THEN 'scope' WHEN 1 THEN 'condition' WHEN 2 THEN 'Sysresp' WHEN 3 THEN ' or' WHEN 4 THEN 'multCondPos' WHEN 5 THEN 'multSrsPos' WHEN 6 THEN 'condCoordAmb' WHEN 7 THEN 'and' WHEN 8 THEN 'conditionS8' ELSE 'notMatch' END"
+_WEIGHT = "coalesce(list_sum(list_transform({0}, lambda x: CASE WHEN contains(x, 'multcond') THEN 2 WHEN contains(x, 'cond') THEN 1 ELSE 0 END)), 0)"
+RULES_SQL = f"""l AS (SELECT conv_id, list(lower(trim({LABEL})) ORDER BY turn) AS low FROM conversations GROUP BY conv_id),
+f AS (SELECT *, coalesce(list_position(list_transform(low, lambda x: contains(x, 'sysresp') OR contains(x, 'srs')), true), 0) AS first FROM l),
+n AS (SELECT *, len(list_filter(low, lambda x: contains(x, 'scope'))) AS n_scope, {_WEIGHT.format('CASE WHEN first > 0 THEN low[1:first - 1] ELSE low END')} AS n_cond_before, CASE WHEN first > 0 THEN {_WEIGHT.format('low[first:]')} ELSE 0 END AS n_cond_after,
+ coalesce(list_sum(list_transform(low, lambda x: CASE WHEN contains(x, 'multsrs') THEN 2 WHEN contains(x, 'sysresp') OR contains(x, 'srs') THEN 1 ELSE 0 END)), 0) AS n_resp,
+ len(list_filter(low, lambda x: contains(x, 'coordamb'))) > 0 OR len(list_filter(range(1, len(low) - 1), lambda i: contains(low[i], 'cond') AND low[i + 1] = 'or' AND contains(low[i + 2], 'cond'))) > 0 AS coordination FROM f)"""
 
 
-@query()
+@query(f"WITH {RULES_SQL} SELECT conv_id, CAST(n_scope AS INT) AS n_scope, CAST(n_cond_before AS INT) AS n_cond_before, CAST(n_cond_after AS INT) AS n_cond_after, CAST(n_resp AS INT) AS n_resp, n_resp > 1 AS non_atomic, n_cond_before + n_cond_after + n_scope > 0 AND n_resp = 0 AS incomplete, n_cond_after > 0 AND n_resp > 0 AS incorrect_order, coordination, n_cond_before + n_cond_after = 0 AND n_resp = 0 AS not_requirement FROM n")
 def requirement_smell_rules(spark, d):
-    return smells.requirement_rules(_inline(spark, _LABELS, "id int, labels array<string>"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.expr(LABEL).alias("label"))
+    g = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "label"))), lambda x: x["label"]).alias("labels"))
+    return smells.requirement_rules(g).drop("labels")
 
 
-_SEGLABELS = [(i, x) for i, x in enumerate(["sysrespIncomplNoModal", "sysrespIncomplNoModalNoVerb", "condPosIncomplNoNoun", "conditionWithSymbol", "conditionS9", "conditionPosS10", "sysrespPassiveSR", "multCondPosAmbVerb", "sysrespPosWithAmbVerb", "scope", None])]
+_SEGLABELS = ("sysrespIncomplNoModal", "sysrespIncomplNoModalNoVerb", "sysrespIncomplNoVerb", "condPosIncomplNoNoun", "condPosIncomplNoNounNoVerb", "conditionWithSymbol", "conditionS9", "conditionPosS10", "sysrespPassiveSR", "multCondPosAmbVerb", "multCondPosNoVerb", "sysrespPosWithAmbVerb", "condPosPassiveCond", "scope")
+SEGLABEL = "CASE event_id % 17 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_SEGLABELS)) + " WHEN 14 THEN NULL ELSE event_type END"
 
 
-@query()
+def _among(*names: str) -> str:
+    return "coalesce(v IN (" + ", ".join(f"'{n}'" for n in names) + "), false)"
+
+
+@query(f"""SELECT event_id, v AS label, {_among('condPosIncomplNoNoun', 'condPosIncomplNoNounNoVerb', 'conditionS9', 'conditionPosS10')} AS no_actor_cond, {_among('condPosIncomplNoNounNoVerb', 'conditionWithSymbol', 'conditionPosS10', 'multCondPosNoVerb')} AS no_verb_cond,
+ {_among('sysrespIncomplNoModal', 'sysrespIncomplNoModalNoVerb')} AS no_modal_resp, {_among('sysrespIncomplNoVerb', 'sysrespIncomplNoModalNoVerb')} AS no_verb_resp, {_among('condPosPassiveCond')} AS passive_cond, {_among('sysrespPassiveSR')} AS passive_resp,
+ {_among('multCondPosAmbVerb')} AS vague_cond, {_among('sysrespPosWithAmbVerb')} AS vague_resp FROM (SELECT event_id, {SEGLABEL} AS v FROM events)""")
 def segment_smell_rules(spark, d):
-    return smells.segment_rules(_inline(spark, _SEGLABELS, "id int, label string"))
+    return smells.segment_rules(table(spark, d, "events").select("event_id", F.expr(SEGLABEL).alias("label")))
 
 
-_TREES = [
-    ("r1", "(S (SBAR (WHADVP (WRB When)) (S (NP (DT the) (NN user)) (VP (VBZ logs) (PRT (RP in))))) (, ,) (NP (DT the) (NN system)) (VP (MD must) (VP (VB send) (NP (DT a) (NN mail)))) (. .))"),
-    ("r2", "(S (PP (IN For) (NP (DT each) (NN order))) (, ,) (NP (NN System)) (VP (MD must) (VP (VB be) (VP (VBN updated) (PP (IN by) (NP (NN staff))))))) "),
-    ("r3", "(S (NP (NN Text)) (VP (VBZ is) (ADJP (JJ short))))"),
-    ("r4", "(S (broken"),
-]
+# Made trees: a turn's number picks one of four sentences, its role a noun in it. The SQL states each sentence's segments.
+_TREES = (
+    "(S (SBAR (WHADVP (WRB When)) (S (NP (DT the) (NN @)) (VP (VBZ logs) (PRT (RP in))))) (, ,) (ADVP (RB then)) (NP (DT the) (NN system)) (VP (MD must) (VP (VB send) (NP (DT a) (NN mail)))) (. .))",
+    "(S (NP (NN System)) (VP (MD must) (VP (VB support) (NP (DT the) (NN @)))) (SBAR (IN if) (S (NP (NN it)) (VP (VBZ is) (VP (VBN closed))))))",
+    "(S (NP (NN @)) (VP (VBZ is) (ADJP (JJ short))))",
+    "(S (PP (IN For) (NP (DT each) (NN @))) (, ,) (NP (NN System)) (VP (MD must) (VP (VP (VB act)) (CC and) (VP (VB stop)))) (. .))",
+)
+# (sentence, k, start, end, label, passive, noverb, acts, verbs, main, modal, text)
+_SEGMENTS = (
+    (0, 1, 0, 5, "condition", False, False, False, "logs", "logs", False, "When the @ logs in"),
+    (0, 2, 5, 7, "notMatch", False, True, False, "", None, False, ", then"),
+    (0, 3, 7, 13, "sysresp", False, False, False, "send", "send", True, "the system must send a mail"),
+    (0, 4, 13, 14, "notMatch", False, True, False, "", None, False, "."),
+    (1, 1, 0, 5, "sysresp", False, False, False, "support", "support", True, "System must support the @"),
+    (1, 2, 5, 9, "condition", True, False, False, "is closed", "closed", False, "if it is closed"),
+    (2, 1, 0, 3, "notMatch", False, True, True, "is", "is", False, "@ is short"),
+    (3, 1, 0, 3, "scope", False, True, False, "", None, False, "For each @"),
+    (3, 2, 3, 4, "notMatch", False, True, False, "", None, False, ","),
+    (3, 3, 4, 9, "multSrs", False, False, False, "act stop", "act", True, "System must act and stop"),
+    (3, 4, 9, 10, "notMatch", False, True, False, "", None, False, "."),
+)
+TREE = "replace(CASE (conv_id + turn) % 5 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TREES)) + " ELSE '(S (broken' END, '@', role)"
+REQ = "CAST(conv_id AS VARCHAR(20)) || '.' || CAST(turn AS VARCHAR(20))"
 
 
-@query()
+def _sql(v) -> str:
+    return "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+
+
+SENTENCES = f"r AS (SELECT {REQ} AS req_id, (conv_id + turn) % 5 AS s, role FROM conversations), g AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, x)) + ")" for x in _SEGMENTS) + ') t(s, k, "start", "end", label, passive, noverb, acts, verbs, main, modal, text))'
+
+
+def _trees(spark, d):
+    return table(spark, d, "conversations").select(F.expr(REQ).alias("req_id"), F.expr(TREE).alias("tree"))
+
+
+@query(f'WITH {SENTENCES} SELECT req_id, CAST(k AS INT) AS k, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", label, passive, noverb, acts, verbs, main, modal, replace(text, \'@\', role) AS text FROM r JOIN g USING (s)')
 def tree_segments(spark, d):
-    return trees.segment_requirements(_inline(spark, _TREES, "req_id string, tree string"))
+    return trees.segment_requirements(_trees(spark, d)).withColumn("verbs", F.array_join("verbs", " "))
 
 
-@query()
+# (sentence, segment, smell, message) and (sentence, pattern)
+_FIRED = (
+    (1, 1, "Incorrect order requirement", detector.MESSAGES["Incorrect order requirement"]), (1, 2, "Passive voice", "Passive voice in the condition."), (1, 1, "Not precise verb", "Not precise verb in the system response."),
+    (2, 1, "Not requirement", detector.MESSAGES["Not requirement"]), (2, 1, "Incomplete system response", detector.MESSAGES["Incomplete system response"]), (3, 1, "Non-atomic requirement", detector.MESSAGES["Non-atomic requirement"]),
+)
+_PATTERN = {0: 7, 1: 7, 2: 5, 3: 1}
+FIRED = f"{SENTENCES}, x AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, x)) + ")" for x in _FIRED) + ") t(s, k, smell, message))"
+_CELLS = ", ".join(f"coalesce((SELECT message FROM x WHERE x.s = j.s AND x.k = j.k AND x.smell = '{s}'), '') AS \"{s}\"" for s in smells.SMELLS)
+_BY_S = lambda names: "CASE WHEN j.k > 1 THEN '' ELSE CASE j.s " + " ".join(f"WHEN {s} THEN '{names[n]}'" for s, n in _PATTERN.items()) + " END END"
+
+
+@query(f"WITH {FIRED}, j AS (SELECT *, row_number() OVER (ORDER BY req_id, k) AS overall FROM r JOIN g USING (s)) SELECT req_id, req_id || '_' || CAST(overall AS VARCHAR) AS segment_id, replace(text, '@', role) AS segment, {_CELLS}, {_BY_S(V.PATTERNS)} AS pattern, {_BY_S(V.TEMPLATES)} AS template, CAST(k AS INT) AS ordinal FROM j")
 def smell_report(spark, d):
-    return detector.report(_inline(spark, _TREES, "req_id string, tree string"))
+    return detector.report(_trees(spark, d))
 
 
-@query()
+@query(f"WITH {FIRED}, m AS (SELECT DISTINCT req_id, smell FROM r JOIN x USING (s)) SELECT (SELECT count(DISTINCT req_id) FROM r JOIN g USING (s)) AS requirements, (SELECT count(DISTINCT req_id) FROM m) AS with_smells, " + ", ".join(f"(SELECT count(*) FROM m WHERE smell = '{s}') AS \"{s}\"" for s in smells.SMELLS))
 def smell_totals(spark, d):
-    return detector.totals(detector.report(_inline(spark, _TREES, "req_id string, tree string")))
+    return detector.totals(detector.report(_trees(spark, d)))
 
 
 # ---- runs ----------------------------------------------------------------------------------------
