@@ -32,6 +32,12 @@ MARKS = {
     "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "comment", "comments", "disqus", "replies", "cookie", "cookies", "consent", "notice",
     "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "login", "complementary", "contentinfo", "search",
 }
+# Words that say where or what a part of a page is, and nothing of what it holds.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "col", "column", "container", "content", "css", "element", "first", "fixed", "floating", "global", "group", "holder", "id", "inline", "inner", "is",
+    "item", "items", "js", "last", "left", "link", "links", "list", "local", "main", "mobile", "module", "outer", "overlay", "page", "panel", "post", "posts", "primary", "region", "right", "row", "secondary", "section",
+    "site", "slot", "sticky", "thread", "top", "unit", "user", "view", "wrap", "wrapper", "zone",
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
@@ -45,10 +51,20 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']
 _NAME = re.compile(r"[a-z]+")
 
 
+def marks(value: str) -> bool:
+    """Whether a name in an attribute says that its element is boilerplate: it has a word that does, and none of its own."""
+    for name in value.lower().split():
+        words = _NAME.findall(name)
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
 def pieces(page: str) -> list[tuple[str, str, bool]]:
     """Tokens of a page in order: (tag key or '', text, inside boilerplate). Tag keys are names, closing ones with '/'."""
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, bool]] = []
+    open_: Counter[str] = Counter()
     at, end, low = 0, len(page), None
     bad = False
     while at < end:
@@ -65,20 +81,21 @@ def pieces(page: str) -> list[tuple[str, str, bool]]:
         name = name.lower()
         if m[1] or m[4]:
             out.append((f"/{name}", "", bad))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    bad = stack[-1][1] if stack else False
+            # elements left open in it end with it; a closing tag of none that is open says nothing
+            while open_[name]:
+                last, _ = stack.pop()
+                open_[last] -= 1
+                bad = stack[-1][1] if stack else False
+                if last == name:
                     break
             continue
         attributes = m[3] or m[6] or ""
         marked = name in BOILERPLATE
         if not marked and attributes and name not in ("body", "html", *LANDMARKS):
             for x in _ATTRIBUTE.finditer(attributes):
-                if not MARKS.isdisjoint(_NAME.findall((x[1] or x[2] or x[3] or "").lower())):
-                    marked = True
+                marked = marked or marks(x[1] or x[2] or x[3] or "")
         # A heading block of an article is content, not the page's header.
-        if name == "header" and any(x[0] in LANDMARKS for x in stack):
+        if name == "header" and any(open_[x] for x in LANDMARKS):
             marked = False
         out.append((name, "", bad))
         if name in VOID or attributes.endswith("/"):
@@ -91,7 +108,9 @@ def pieces(page: str) -> list[tuple[str, str, bool]]:
             at = end if k < 0 else k
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
+            open_["p"] -= 1
         stack.append((name, marked or bad))
+        open_[name] += 1
         bad = marked or bad
     return out
 
