@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import as_long, mix, n_partitions, trim, with_columns_of
+from specloom.llm.common import as_long, materialize, mix, n_partitions, trim, with_columns_of
 from specloom.llm.windows import Anchors, KeyFilter, blocks, filter_words
 
 #: Largest key filter: 2**28 bits, 32 MB. With more keys it lets more rows pass that later steps drop; nothing is lost.
@@ -89,8 +89,11 @@ def opened(frozen) -> KeyFilter:
     return KeyFilter(*frozen.value)
 
 
+#: Parts that the occurrences of a hot window are dealt to.
+SALTS = 64
 #: wins: hashes of consecutive windows from lo on; or none, and e is the end of a run known to be repeated (else -1).
-WINDOW_ROWS = "g bigint, id bigint, tag bigint, lo bigint, e bigint, wins binary"
+#: salt: 0, or for a hot window the part that its document falls to.
+WINDOW_ROWS = "g bigint, id bigint, tag bigint, lo bigint, e bigint, wins binary, salt int"
 
 
 def _runs(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +112,7 @@ def window_rows(anchors: Anchors, pick: np.ndarray, ids: np.ndarray, tags: np.nd
     lo = (anchors.lo - anchors.base).astype(np.int64)
     hashes, count = anchors.window_hashes(cold)
     g, owner, at, end, sizes = [anchors.key[cold]], [anchors.seq[cold]], [lo[cold]], [np.full(len(cold), -1)], [count]
+    salt = [np.zeros(len(cold), np.int32)]
     each, n = anchors.window_hashes(warm)
     if len(each):
         row = np.repeat(np.arange(len(warm)), n)
@@ -119,6 +123,7 @@ def window_rows(anchors: Anchors, pick: np.ndarray, ids: np.ndarray, tags: np.nd
         at.append(pos[lead])
         end.append(np.full(len(lead), -1))
         sizes.append(np.ones(len(lead), np.int64))
+        salt.append((mix(tags[owner[-1]].view(np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1)
         hashes = np.concatenate([hashes, each[lead]])
         again = np.flatnonzero(times[back] > 1)
         if len(again):
@@ -129,16 +134,19 @@ def window_rows(anchors: Anchors, pick: np.ndarray, ids: np.ndarray, tags: np.nd
             at.append(pos[first])
             end.append(pos[again[e]] + anchors.length)
             sizes.append(np.zeros(len(b), np.int64))
+            salt.append(np.zeros(len(b), np.int32))
     g, owner, at, end, sizes = (np.concatenate(x) for x in (g, owner, at, end, sizes))
     offsets = np.concatenate([[0], 8 * np.cumsum(sizes)]).astype(np.int32)
     wins = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(hashes))])
-    return pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(ids[owner]), pa.array(tags[owner]), pa.array(at.astype(np.int64)), pa.array(end.astype(np.int64)), wins], names=["g", "id", "tag", "lo", "e", "wins"])
+    return pa.RecordBatch.from_arrays([pa.array(as_long(g)), pa.array(ids[owner]), pa.array(tags[owner]), pa.array(at.astype(np.int64)), pa.array(end.astype(np.int64)), wins, pa.array(np.concatenate(salt))], names=["g", "id", "tag", "lo", "e", "wins", "salt"])
 
 
 def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataFrame:
     """id, tag, s, e: runs of symbols covered by windows that occur more than once among ``rows`` (WINDOW_ROWS).
 
-    Equal windows have equal g, so each partition, sorted by g, is searched in portions that end between groups.
+    Equal windows have equal g, so each partition, sorted by g, is searched in portions that end between groups. Those
+    of a hot window are dealt to SALTS parts: a part with several of them settles its own and sends word of it, a part
+    with one sends that one, and a second step joins what the parts of a window sent, a row each.
     """
 
     def search(t: pa.Table):
@@ -148,22 +156,38 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataF
         sizes = np.diff(bounds).astype(np.int64) // 8
         total = int(sizes.sum())
         h = np.frombuffer(wins.buffers()[2], np.uint64, total, int(bounds[0])) if total else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        eq = h[order][1:] == h[order][:-1]
+        g, lo, known, salt = (t.column(c).to_numpy() for c in ("g", "lo", "e", "salt"))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        # windows are equal if both their hashes and their groups are
+        order = np.lexsort((h, g[row]))
+        eq = (h[order][1:] == h[order][:-1]) & (g[row[order]][1:] == g[row[order]][:-1])
         dup = np.zeros(len(h), bool)
         dup[order[1:][eq]] = True
         dup[order[:-1][eq]] = True
-        lo, known = t.column("lo").to_numpy(), t.column("e").to_numpy()
-        row = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes - lo, sizes)
         k = np.flatnonzero(dup)
-        owner, s, e = np.flatnonzero(known >= 0), lo[known >= 0], known[known >= 0]
+        owner, s, e = [np.flatnonzero(known >= 0)], [lo[known >= 0]], [known[known >= 0]]
+        kind = [np.zeros(len(owner[0]), np.int8)]
         if len(k):
             first, last = _runs(row[k], at[k])
-            owner, s, e = np.concatenate([owner, row[k[first]]]), np.concatenate([s, at[k[first]]]), np.concatenate([e, at[k[last]] + length])
+            owner.append(row[k[first]])
+            s.append(at[k[first]])
+            e.append(at[k[last]] + length)
+            kind.append(np.zeros(len(first), np.int8))
+        hot = np.flatnonzero(salt[row] > 0)
+        if len(hot):
+            lone = hot[~dup[hot]]
+            _, lead = np.unique(g[row[hot[dup[hot]]]], return_index=True)
+            word = hot[dup[hot]][lead]
+            for some, what in ((lone, 1), (word, 2)):
+                owner.append(row[some])
+                s.append(at[some])
+                e.append(at[some] + length)
+                kind.append(np.full(len(some), what, np.int8))
+        owner, s, e, kind = (np.concatenate(x) for x in (owner, s, e, kind))
         if not len(owner):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[owner]), pa.array(t.column("tag").to_numpy()[owner]), pa.array(s), pa.array(e)], names=["id", "tag", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[owner]), pa.array(t.column("tag").to_numpy()[owner]), pa.array(s), pa.array(e), pa.array(g[owner]), pa.array(kind)], names=["id", "tag", "s", "e", "g", "kind"])
 
     def run(batches):
         held, size = [], 0
@@ -173,8 +197,8 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataF
             if size < HELD:
                 continue
             t = pa.Table.from_batches(held)
-            g = t.column("g").to_numpy()
-            other = np.flatnonzero(g != g[-1])
+            g, salt = t.column("g").to_numpy(), t.column("salt").to_numpy()
+            other = np.flatnonzero((g != g[-1]) | (salt != salt[-1]))
             if len(other):
                 cut = int(other[-1]) + 1
                 if (out := search(t.slice(0, cut))) is not None:
@@ -186,8 +210,12 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, length: int) -> DataF
             yield out
         trim()
 
-    dealt = rows.repartition(n_partitions(spark), "g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "id bigint, tag bigint, s bigint, e bigint")
+    dealt = rows.repartition(n_partitions(spark), "g", "salt").sortWithinPartitions("g", "salt")
+    found = materialize(spark, dealt.mapInArrow(run, "id bigint, tag bigint, s bigint, e bigint, g bigint, kind tinyint"), "runs")
+    sent = found.where("kind > 0")
+    again = sent.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    lone = sent.where("kind = 1").join(again, "g", "left_semi")
+    return found.where("kind = 0").select("id", "tag", "s", "e").union(lone.select("id", "tag", "s", "e"))
 
 
 def gather_spans(spans: DataFrame) -> DataFrame:

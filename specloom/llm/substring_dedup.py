@@ -46,7 +46,6 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
                     yield window_rows(a, pick, ids, tags, common.holds(a.key[pick]))
 
     spans = repeated_windows(spark, named(docs).mapInArrow(run, WINDOW_ROWS), window)
-    spans = materialize(spark, spans, "runs")
     discard(spark, counts)
     return gather_spans(spans)
 

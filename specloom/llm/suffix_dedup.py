@@ -130,9 +130,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
                     yield window_rows(a, pick, ids, tags, common.holds(a.key[pick]))
 
     rest = repeated_windows(spark, named(docs).mapInArrow(windows, WINDOW_ROWS), window)
-    spans = materialize(spark, rest.union(whole), "runs")
-    discard(spark, whole)
-    return gather_spans(spans)
+    release(spark)
+    return gather_spans(rest.union(whole))
 
 
 def cut_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -476,3 +476,24 @@ def test_language_id_learns_every_language(spark):
     want = {i: lang for i, _, lang in rows}
     got = {x.doc_id: x.lang_pred for x in language_id.identify(spark, d, model).collect()}
     assert got.keys() == want.keys() and sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_hot_windows_are_dealt_to_parts(spark, monkeypatch):
+    """Every anchor counts as hot: windows are told apart one by one, in parts, with few and with many of each."""
+    from specloom.llm import repeats
+
+    for module in (repeats, suffix_dedup, substring_dedup):
+        monkeypatch.setattr(module, "HOT", 0)
+    monkeypatch.setattr(repeats, "HELD", 50)
+    r, v = random.Random(12), vocabulary(14)
+    text = lambda n: " ".join(r.choice(v) for _ in range(n))
+    shared, twice, once = text(50), text(50), text(50)
+    texts = [f"{text(r.randint(0, 30))} {shared} {text(r.randint(0, 30))}" for _ in range(90)] + [f"{text(9)} {twice}", f"{twice} {text(9)}", once, f"{text(3)} {shared} {shared}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for module, seqs, length, cut in (
+        (suffix_dedup, [t.encode() for t in texts], 200, suffix_dedup.repeated_bytes),
+        (substring_dedup, [tuple(WORDS.findall(t)) for t in texts], 35, substring_dedup.repeated_words),
+    ):
+        want = {i: sum(g) for i, g in enumerate(covered(seqs, length)) if any(g)}
+        got = {x.id: sum(e - s for s, e in repeats.merge([y.asDict() for y in x.spans])) for x in cut(spark, d).collect()}
+        assert got == want, module
