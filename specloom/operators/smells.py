@@ -99,6 +99,7 @@ def requirement_rules(df: DataFrame, labels: str = "labels") -> DataFrame:
     return df.withColumns({**{k: v for k, v in c.items()}, **flags})
 
 
+# Fixed values in the rules below: parts of the labels that segments bear.
 def segment_rules(df: DataFrame, label: str = "label") -> DataFrame:
     """Flags of one segment by its label: missing parts of conditions and responses, passive voice, vague verbs."""
     x = F.lower(F.coalesce(F.col(label), F.lit("")))

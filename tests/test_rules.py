@@ -59,3 +59,64 @@ def test_detector_on_trees(spark):
     assert first["r2"]["Not requirement"] and not first["r3"]["Not requirement"] and first["r3"]["Incorrect order requirement"]
     t = detector.totals(detector.report(spark.createDataFrame(rows, "req_id string, tree string"))).first()
     assert t.requirements == 3 and t.with_smells == 3
+
+
+def labels(tree):
+    return [(s["label"], s["text"]) for s in trees.segments(tree)]
+
+
+def test_clauses_below_a_clause_count_and_keep_the_gap_behind_them():
+    t = "(S (SBAR (WHADVP (WRB When)) (S (NP (NN Gate)) (VP (VP (VBZ opens)) (CC and) (SBAR (IN if) (S (NP (NN rain)) (VP (VBZ falls))))))) (, ,) (CC and) (SBAR (IN if) (S (NP (NN it)) (VP (VBZ is) (ADJP (JJ dark))))) (, ,) (NP (NN Lamp)) (VP (MD must) (VP (VB glow))) (. .))"
+    assert labels(t) == [("condition condition", "When Gate opens and if rain falls , and"), ("condition", "if it is dark"), ("notMatch", ","), ("sysresp", "Lamp must glow"), ("notMatch", ".")]
+
+
+def test_listed_clauses_are_segments():
+    t = "(S (SBAR (SBAR (IN if) (S (NP (NN a)) (VP (VBZ is) (VP (VBN seen))))) (, ,) (CC or) (SBAR (IN if) (S (NP (NN b)) (VP (VBZ has) (NP (NN c)))))) (, ,) (NP (NN Lamp)) (VP (MD must) (VP (VB glow))))"
+    got = trees.segments(t)
+    assert [s["label"] for s in got] == ["condition", "notMatch", "condition", "notMatch", "sysresp"] and [s["passive"] for s in got] == [True, False, False, False, False]
+
+
+def test_or_below_a_condition_and_comparison_without_a_verb():
+    t = "(S (SBAR (IN if) (S (NP (NN x)) (VP (VBZ has) (NP (NN y)) (CC or) (SBAR (IN if) (S (NP (NN z)) (VP (VBZ is) (VP (VBG missing)))))))) (, ,) (NP (NN Lamp)) (VP (MD must) (VP (VB glow))))"
+    assert labels(t)[0] == ("multCondCoordAmb", "if x has y or if z is missing")
+    sign = trees.segments("(S (SBAR (IN if) (S (NP (NN x)) (SYM <) (NP (NN y)) (VP (VBZ is) (VP (VBG missing))))) (, ,) (NP (NN Lamp)) (VP (MD must) (VP (VB glow))))")
+    assert [s["noverb"] for s in sign] == [True, True, False]
+
+
+def test_sentences_without_a_known_clause_are_cut_by_words():
+    t = "(S (WHADVP (WRB When)) (NP (DT the) (NN type)) (VBZ is) (ADJP (JJ set)) (ADVP (RB then)) (NNP Lamp) (VP (MD must) (VB glow) (ADVP (RB then))) (NNP Lamp) (VP (MD must) (VB fade)))"
+    assert labels(t) == [("condition", "When the type is set"), ("sysresp", "then Lamp must glow"), ("sysresp", "then Lamp must fade")]
+    assert labels("(NP (NP (NNS Messages)) (PP (IN with) (NP (NN load))) (. .))") == [("notMatch", "Messages with load .")]
+
+
+def test_else_opens_one_segment_to_the_end():
+    t = "(S (NP (NN Lamp)) (VP (MD must) (VP (VB glow) (SBAR (IN if) (S (NP (NN it)) (VP (VBZ rains)))))) (, ,) (ADVP (RB else)) (NP (NN Lamp)) (VP (MD must) (VP (VB fade))) (. .))"
+    assert labels(t) == [("sysresp", "Lamp must glow"), ("condition", "if it rains"), ("sysresp", ", else Lamp must fade .")]
+
+
+def test_ladder():
+    tag = lambda s: [tuple(x.rsplit("/", 1)) for x in s.split()]
+    known = {
+        "for/IN each/DT user/NN": "scope", "user/NN for/IN": "scopeIncompl", "App/NN must/MD act/VB": "sysresp", "App/NN must/MD": "sysrespIncomplNoVerb", "must/MD act/VB": "sysrespIncorr", "must/MD": "notMatch",
+        "when/WRB user/NN acts/VBZ": "condition", "when/WRB": "condPosIncomplNoNounNoVerb", "when/WRB acts/VBZ": "condPosIncomplNoNoun", "when/WRB user/NN": "condPosIncomplNoVerb", "if/IN x/NN </SYM y/NN": "conditionWithSymbol",
+        "user/NN acts/VBZ when/WRB": "condPosIncorr", "as/RB soon/RB as/IN it/NN acts/VBZ": "condition", "in/IN case/NN that/IN it/NN acts/VBZ": "condition", "upon/IN login/NN": "conditionNoVerb", "plain/JJ text/NN": "notMatch",
+    }
+    assert {k: trees.ladder(tag(k)) for k in known} == known
+    assert trees.cut(tag("if/IN it/NN rains/VBZ ,/, the/DT lamp/NN must/MD glow/VB then/RB stop/VB")) == [(0, 3), (3, 10)]
+
+
+def test_detector_finds_missing_parts(spark):
+    from specloom.plans import detector
+
+    rows = [
+        ("a", 2, "(S (SBAR (IN if) (S (NP (NN x)) (SYM <) (NP (NN y)) (VP (VBZ is) (VP (VBG missing))))) (, ,) (NP (NN Lamp)) (VP (MD must) (VP (VB glow))))"),
+        ("b", 1, "(S (NP (NN Lamp)) (VP (MD must) (VP (VB hang) (PP (IN at) (NP (NP (NN door)) (SBAR (WHADVP (WRB where)) (NP (NN light))))))))"),
+        ("c", 0, "(NP (NP (NNS Mails)) (VP (VBN sent)))"),
+    ]
+    out = detector.report(spark.createDataFrame(rows, "req_id string, ordinal int, tree string")).orderBy("ordinal").collect()
+    ids = {r.req_id: [] for r in out}
+    for r in out:
+        ids[r.req_id].append(r.segment_id)
+    assert ids == {"c": ["c_1"], "b": ["b_2"], "a": ["a_3", "a_4", "a_5"]}
+    said = {(r.req_id, s) for r in out for s in smells.SMELLS if r[s]}
+    assert {("a", "Incomplete condition"), ("b", "Incomplete condition"), ("b", "Incorrect order requirement"), ("c", "Not requirement"), ("c", "Incomplete system response")} <= said
