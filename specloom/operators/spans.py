@@ -53,21 +53,25 @@ def order_spans(df: DataFrame, key: str) -> DataFrame:
 RANGES = 256
 
 
-def segment_counters(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """A counter over all segments, by key, and one within each key.
+def offsets(sizes: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """_key, before: for every key of ``sizes`` (key, n) the sum of n of the keys before it.
 
-    Keys fall into ranges between some of them that a hash picks; a range's offset and a key's within it make the first
-    counter, so no task orders all keys."""
-    inner = df.withColumn("in_req", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
-    kind = df.schema[key].dataType
-    cuts = sorted(r[0] for r in sizes.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(RANGES - 1).select(key).collect())
+    Keys fall into ranges between some of ``keys`` that a hash picks; a range's offset and a key's within it make up the
+    result, so no task orders all keys."""
+    kind = sizes.schema[key].dataType
+    cuts = sorted(r[0] for r in keys.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(RANGES - 1).collect())
     bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
     ranged = sizes.withColumn("range", F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(key))), F.lit(-1)))
     totals = ranged.groupBy("range").agg(F.sum("n").alias("total"))
     totals = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("start"))
     within = ranged.withColumn("before", F.sum("n").over(Window.partitionBy("range").orderBy(key)) - F.col("n"))
-    offset = within.join(F.broadcast(totals), "range").select(F.col(key).alias("_key"), (F.col("start") + F.col("before")).alias("before"))
+    return within.join(F.broadcast(totals), "range").select(F.col(key).alias("_key"), (F.col("start") + F.col("before")).alias("before"))
+
+
+def segment_counters(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """A counter over all segments, by key, and one within each key."""
+    inner = df.withColumn("in_req", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    offset = offsets(df.groupBy(key).agg(F.count("*").alias("n")), key, df)
     return inner.join(offset, F.col(key).eqNullSafe(F.col("_key"))).withColumn("overall", F.col("before") + F.col("in_req")).drop("before", "_key")
 
 

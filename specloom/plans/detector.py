@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from specloom.functions import verbs as V
 from specloom.operators import smells, spans, trees
@@ -45,7 +46,7 @@ def requirement_table(segments: DataFrame) -> DataFrame:
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("v")))), lambda x: x["v"])
     is_or = F.when((F.col("label") == "notMatch") & (F.lower(F.trim(F.translate("text", ",", ""))) == "or"), "or").otherwise(F.col("label"))
     flat = F.flatten(F.transform(ordered("shown"), lambda x: F.split(x, " ")))
-    g = segments.withColumn("shown", is_or).groupBy("req_id").agg(flat.alias("labels"), ordered("kind").alias("kinds"), F.count_if("time").alias("times"))
+    g = segments.withColumn("shown", is_or).groupBy("req_id").agg(flat.alias("labels"), ordered("kind").alias("kinds"), F.count_if("time").alias("times"), F.count("*").alias("n"))
     g = smells.requirement_rules(g.withColumn("kinds", F.filter("kinds", lambda x: x.isNotNull())))
     kind = V.structure_type(F.col("n_scope"), F.col("n_cond_before") + F.col("n_cond_after"), F.col("n_resp"))
     n = V.pattern_number(kind, F.col("kinds"), F.col("n_scope"), F.col("times"))
@@ -60,11 +61,13 @@ def report(tree_rows: DataFrame) -> DataFrame:
     first = F.col("k") == 1
     part = F.when(F.col("label").startswith("cond") | F.col("label").startswith("multCond"), "condition").otherwise("system response")
     say = lambda on, name: F.when(on, F.replace(F.lit(MESSAGES[name]), F.lit("{}"), part)).otherwise("").alias(name)
-    joined = seg.join(req.select("req_id", *flags.values(), "pattern", "template"), "req_id")
-    cells = [say(first & F.col(flags[s]), s) for s in smells.SMELLS[:5]] + [say(F.col(f"`{s}`"), s) for s in smells.SMELLS[5:]]
     # segments are counted over the file: by the requirements' ordinal where rows have one, else by their ids
     place = tree_rows.groupBy("req_id").agg(F.min("ordinal" if "ordinal" in tree_rows.columns else "req_id").alias("place"))
-    joined = spans.segment_counters(joined.join(place, "req_id"), "place", ["req_id", "k"])
+    req = req.join(place, "req_id").withColumn("inner", F.sum("n").over(Window.partitionBy("place").orderBy("req_id")) - F.col("n"))
+    offset = spans.offsets(req.groupBy("place").agg(F.sum("n").alias("n")), "place", place)
+    req = req.join(offset, F.col("place").eqNullSafe(F.col("_key"))).withColumn("start", F.col("before") + F.col("inner"))
+    joined = seg.drop("start").join(req.select("req_id", *flags.values(), "pattern", "template", "start"), "req_id").withColumn("overall", F.col("start") + F.col("k"))
+    cells = [say(first & F.col(flags[s]), s) for s in smells.SMELLS[:5]] + [say(F.col(f"`{s}`"), s) for s in smells.SMELLS[5:]]
     return joined.select("req_id", F.concat_ws("_", "req_id", F.col("overall").cast("string")).alias("segment_id"), F.col("text").alias("segment"), *cells, F.when(first, F.col("pattern")).otherwise("").alias("pattern"), F.when(first, F.col("template")).otherwise("").alias("template"), F.col("k").alias("ordinal"))
 
 
