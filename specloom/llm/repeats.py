@@ -18,6 +18,8 @@ from specloom.llm.windows import Anchors, KeyFilter, blocks, filter_words
 
 #: Largest key filter: 2**28 bits, 32 MB. With more keys it lets more rows pass that later steps drop; nothing is lost.
 MAX_FILTER_BITS = 28
+#: With more keys than these, which fill a 16th of that filter, documents are joined with those of their own.
+MAX_KEYS = 1 << 24
 #: Anchors that occur more often are told apart by whole windows, so no group grows with one passage.
 HOT = 4096
 #: Symbols of a task's documents handled together.
@@ -41,29 +43,71 @@ def row_tag() -> Column:
 
 
 def chunks(batches, symbols: Callable[[bytes], np.ndarray]):
-    """(ids, tags, symbol sequences) of some CHUNK symbols at a time."""
-    ids, tags, seqs, size = [], [], [], 0
+    """(ids, tags, symbol sequences, own keys) of some CHUNK symbols at a time; own keys: those of ``with_own_keys``
+    told apart by sequence, in order, or None for batches without them."""
+    ids, tags, seqs, own, size = [], [], [], [], 0
+
+    def chunk():
+        return np.array(ids, np.int64), np.array(tags, np.int64), seqs, np.sort(np.concatenate(own)) if own else None
+
     for b in batches:
-        for i, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        keys = b.column(3) if b.num_columns > 3 else None
+        for k, (i, t, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
             v = symbols((x.as_py() or "").encode("utf-8", "replace"))
+            if keys is not None:
+                own.append(of_sequence(keys[k].values.to_numpy().view(np.uint64), len(ids)))
             ids.append(i)
             tags.append(t)
             seqs.append(v)
             size += len(v)
             if size >= CHUNK:
-                yield np.array(ids, np.int64), np.array(tags, np.int64), seqs
-                ids, tags, seqs, size = [], [], [], 0
+                yield chunk()
+                ids, tags, seqs, own, size = [], [], [], [], 0
     if ids:
-        yield np.array(ids, np.int64), np.array(tags, np.int64), seqs
-    del ids, tags, seqs
+        yield chunk()
+    del ids, tags, seqs, own
     trim()
 
 
+def of_sequence(keys: np.ndarray, sequence) -> np.ndarray:
+    """Hashes of keys and of the number of the sequence, or numbers of the sequences, that they are of."""
+    return mix(keys + mix(np.atleast_1d(sequence).astype(np.uint64) + np.uint64(1)))
+
+
+def picked(a: Anchors, wanted: KeyFilter, own: np.ndarray | None) -> np.ndarray:
+    """The anchors whose key the filter holds and, where documents come with own keys, is one of these."""
+    pick = np.flatnonzero(wanted.holds(a.key))
+    if own is None:
+        return pick
+    if not len(own):
+        return pick[:0]
+    h = of_sequence(a.key[pick], a.seq[pick])
+    return pick[own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h]
+
+
+def with_own_keys(docs: DataFrame, symbols, length: int, gram: int, keys: DataFrame) -> DataFrame:
+    """id, tag, text as of ``named`` where ``keys`` are few enough for a filter. Else only rows that have some of them,
+    with an array of these, found by a join on the key: what goes on follows what is wanted at any number of keys."""
+    if keys.count() <= MAX_KEYS:
+        return named(docs)
+
+    def run(batches):
+        for ids, tags, seqs, _ in chunks(batches, symbols):
+            for b in blocks(seqs, length):
+                a = Anchors(seqs, b, length, gram)
+                lead = np.unique(of_sequence(a.key, a.seq), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a.seq[lead]]), pa.array(tags[a.seq[lead]]), pa.array(as_long(a.key[lead]))], names=["id", "tag", "key"])
+
+    found = named(docs).mapInArrow(run, "id bigint, tag bigint, key bigint").join(keys.select("key"), "key", "left_semi")
+    own = found.groupBy("id", "tag").agg(F.collect_set("key").alias("keys"))
+    return named(docs).join(own, ["id", "tag"]).select("id", "tag", "text", "keys")
+
+
 def anchor_counts(docs: DataFrame, symbols, length: int, gram: int) -> DataFrame:
     """key, n: the anchor strings that occur at least twice."""
 
     def run(batches):
-        for _, _, seqs in chunks(batches, symbols):
+        for _, _, seqs, _ in chunks(batches, symbols):
             keys = [Anchors(seqs, b, length, gram).key for b in blocks(seqs, length)]
             if keys:
                 u, c = np.unique(np.concatenate(keys), return_counts=True)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm.common import discard, documents, materialize, release, words_of
-from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, named, opened, repeated_windows, window_rows
+from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, opened, picked, repeated_windows, window_rows, with_own_keys
 from specloom.llm.windows import Anchors, blocks
 
 WINDOW = 35
@@ -38,14 +38,14 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
 
     def run(batches):
         wanted, common = opened(keys), opened(hot)
-        for ids, tags, seqs in chunks(batches, _words):
+        for ids, tags, seqs, own in chunks(batches, _words):
             for b in blocks(seqs, window):
                 a = Anchors(seqs, b, window, gram)
-                pick = np.flatnonzero(wanted.holds(a.key))
+                pick = picked(a, wanted, own)
                 if len(pick):
                     yield window_rows(a, pick, ids, tags, common.holds(a.key[pick]))
 
-    spans = repeated_windows(spark, named(docs).mapInArrow(run, WINDOW_ROWS), window)
+    spans = repeated_windows(spark, with_own_keys(docs, _words, window, gram, counts).mapInArrow(run, WINDOW_ROWS), window)
     discard(spark, counts)
     return gather_spans(spans)
 

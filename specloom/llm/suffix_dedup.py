@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.llm.common import as_long, discard, documents, materialize, mix, release, span_hash
-from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, merge, named, opened, repeated_windows, row_id, row_tag, window_rows
+from specloom.llm.repeats import HOT, WINDOW_ROWS, anchor_counts, chunks, cut_texts, gather_spans, key_filter, merge, named, opened, picked, repeated_windows, row_id, row_tag, window_rows, with_own_keys
 from specloom.llm.windows import Anchors, blocks
 
 WINDOW = 200
 GRAM = 64
+#: Extents a task remembers as compared; it forgets them beyond, so that one may be compared again.
+SEEN = 1_000_000
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -60,10 +62,10 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
 
     def survivors(batches):
         wanted = opened(keys)
-        for ids, tags, seqs in chunks(batches, _symbols):
+        for ids, tags, seqs, _ in chunks(batches, _symbols):
             for b in blocks(seqs, window):
                 a = Anchors(seqs, b, window, gram)
-                pick = np.flatnonzero(wanted.holds(a.key))
+                pick = picked(a, wanted, None)
                 if len(pick):
                     ranks, _ = doubled(a, pick)
                     own, off = a.seq[pick], a.base[pick]
@@ -93,7 +95,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     extents = materialize(spark, extents, "extents")
     whole = found.join(extents.where("n > 1").select("key", "extent"), ["key", "extent"], "left_semi").select("id", "tag", "s", "e")
     whole = materialize(spark, whole, "runs")
-    mixed = extents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = materialize(spark, extents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key"), "mixed")
     border = key_filter(spark, mixed)
     copied = key_filter(spark, extents.where("n > 1"), "extent")
     discard(spark, counts, found, extents, *tables)
@@ -101,10 +103,12 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     def windows(batches):
         unsure, common, seen, known = opened(border), opened(hot), opened(copied), opened(common_ranks)
         first: set[int] = set()
-        for ids, tags, seqs in chunks(batches, _symbols):
+        for ids, tags, seqs, own in chunks(batches, _symbols):
+            if len(first) > SEEN:
+                first.clear()
             for b in blocks(seqs, window):
                 a = Anchors(seqs, b, window, gram)
-                pick = np.flatnonzero(unsure.holds(a.key))
+                pick = picked(a, unsure, own)
                 extent = a.extent(pick)
                 # of anchors with a shared extent one is enough for comparison: all their windows are removed already
                 # (an extent that the filter takes for shared without cause is lone, and stays)
@@ -129,8 +133,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
                 if len(pick):
                     yield window_rows(a, pick, ids, tags, common.holds(a.key[pick]))
 
-    rest = repeated_windows(spark, named(docs).mapInArrow(windows, WINDOW_ROWS), window)
-    release(spark)
+    rest = repeated_windows(spark, with_own_keys(docs, _symbols, window, gram, mixed).mapInArrow(windows, WINDOW_ROWS), window)
+    discard(spark, mixed)
     return gather_spans(rest.union(whole))
 
 

@@ -497,3 +497,31 @@ def test_hot_windows_are_dealt_to_parts(spark, monkeypatch):
         want = {i: sum(g) for i, g in enumerate(covered(seqs, length)) if any(g)}
         got = {x.id: sum(e - s for s, e in repeats.merge([y.asDict() for y in x.spans])) for x in cut(spark, d).collect()}
         assert got == want, module
+
+
+def test_own_keys_of_documents_beyond_the_filter(spark, docs, rows, monkeypatch):
+    """With more keys than a filter tells apart, documents are joined with their own: the same spans, fewer windows."""
+    from specloom.llm import repeats
+
+    sent = []
+    inner = repeats.repeated_windows
+
+    def counted(spark, windows, length):
+        sent.append(windows.count())
+        return inner(spark, windows, length)
+
+    def spans(find):
+        return {(x.id, x.tag): tuple(repeats.merge([y.asDict() for y in x.spans])) for x in find(spark, docs).collect()}
+
+    for module, find in ((suffix_dedup, suffix_dedup.repeated_bytes), (substring_dedup, substring_dedup.repeated_words)):
+        monkeypatch.setattr(module, "repeated_windows", counted)
+        want = spans(find)
+        monkeypatch.setattr(repeats, "MAX_FILTER_BITS", 6)
+        assert spans(find) == want
+        monkeypatch.setattr(repeats, "MAX_KEYS", -1)
+        monkeypatch.setattr(suffix_dedup, "SEEN", 0)
+        assert spans(find) == want
+        monkeypatch.undo()
+        few, full, own = sent[-3:]
+        # a filter of 64 bits lets every window pass, and even one that is not full lets some pass by chance
+        assert max(few, own) < full / 2, (module, sent)
