@@ -7,6 +7,7 @@ from specloom.llm.decontaminate import op8_decontaminate
 from specloom.llm.html_text import op2_html_text
 from specloom.llm.language_id import op4_language_id
 from specloom.llm.near_dup import op9_near_dup
+from specloom.llm.periodic import op13_periodic_runs
 from specloom.llm.piece_codec import op5_sentencepiece
 from specloom.llm.substring_dedup import op7_substring_dedup
 from specloom.llm.suffix_dedup import op3_suffix_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dup": op9_near_dup,
     "op10_vector_dup": op10_vector_dup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL}
