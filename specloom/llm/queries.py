@@ -6,6 +6,7 @@ from specloom.llm.chat import OP1_SQL, op1_chat_format
 from specloom.llm.decontaminate import op8_decontaminate
 from specloom.llm.html_text import op2_html_text
 from specloom.llm.language_id import op4_language_id
+from specloom.llm.merkle import OP12_SQL, op12_merkle_manifest
 from specloom.llm.near_dup import op9_near_dup
 from specloom.llm.periodic import op13_periodic_runs
 from specloom.llm.piece_codec import op5_sentencepiece
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dup": op9_near_dup,
     "op10_vector_dup": op10_vector_dup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op12_merkle_manifest": OP12_SQL}
