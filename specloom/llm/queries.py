@@ -10,6 +10,7 @@ from specloom.llm.merkle import OP12_SQL, op12_merkle_manifest
 from specloom.llm.near_dup import op9_near_dup
 from specloom.llm.periodic import op13_periodic_runs
 from specloom.llm.piece_codec import op5_sentencepiece
+from specloom.llm.quality_rules import op11_quality_rules
 from specloom.llm.substring_dedup import op7_substring_dedup
 from specloom.llm.suffix_dedup import op3_suffix_dedup
 from specloom.llm.token_store import op6_token_store
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dup": op9_near_dup,
     "op10_vector_dup": op10_vector_dup,
+    "op11_quality_rules": op11_quality_rules,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
