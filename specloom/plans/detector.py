@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from specloom.functions import verbs as V
-from specloom.operators import smells, spans, trees
+from specloom.operators import clauses, smells, spans
 
 # The messages of the smells.
 MESSAGES = {
@@ -25,7 +25,7 @@ MESSAGES = {
 
 def segment_table(tree_rows: DataFrame) -> DataFrame:
     """Segments with their kind of condition and the flags of segment-level smells."""
-    s = trees.segment_requirements(tree_rows)
+    s = clauses.segment_requirements(tree_rows)
     names = F.split("label", " ")
     cond, resp = F.exists(names, lambda x: x.startswith("cond") | x.startswith("multCond")), F.exists(names, lambda x: x.startswith("sysresp") | x.startswith("multSrs"))
     first_cond = names[0].startswith("cond") | names[0].startswith("multCond")
@@ -55,7 +55,7 @@ def requirement_table(segments: DataFrame) -> DataFrame:
 
 def report(tree_rows: DataFrame) -> DataFrame:
     """Rows as a smell report holds them: one per segment, requirement-level values on the first only."""
-    seg = segment_table(tree_rows)
+    seg = segment_table(tree_rows).persist()  # read by four branches below; lost parts are worked out again
     req = requirement_table(seg)
     flags = dict(zip(smells.SMELLS[:5], ("non_atomic", "incomplete", "incorrect_order", "coordination", "not_requirement"), strict=True))
     first = F.col("k") == 1

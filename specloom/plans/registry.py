@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from specloom.functions import text as X
 from specloom.functions import verbs as V
-from specloom.operators import scoring, similarity, smells, spans, trees
+from specloom.operators import clause_patterns as patterns
+from specloom.operators import clauses, scoring, similarity, smells, spans, treebank
 from specloom.plans import detector, prompts, score
 from specloom.sources import records
 
@@ -607,7 +608,93 @@ def _trees(spark, d):
 
 @query(f'WITH {SENTENCES} SELECT req_id, CAST(k AS INT) AS k, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", label, passive, noverb, acts, verbs, main, modal, replace(text, \'@\', role) AS text FROM r JOIN g USING (s)')
 def tree_segments(spark, d):
-    return trees.segment_requirements(_trees(spark, d)).withColumn("verbs", F.array_join("verbs", " "))
+    return clauses.segment_requirements(_trees(spark, d)).withColumn("verbs", F.array_join("verbs", " "))
+
+
+# Trees of many shapes: a document's number picks what stands before the main clause, that clause, and what follows it;
+# words of the document are its nouns. Every pattern of clauses fits some of them.
+_LEADS = (
+    "", "(SBAR (WHADVP (WRB When)) (S (NP (DT the) (NN @)) (VP (VBZ logs) (NP (NN page))))) (, ,)", "(SBAR (IN if) (S (NP (NN @)) (VP (VBZ is) (VP (VBN sent) (PP (IN to) (NP (NN %))))))) (, ,)",
+    "(SBAR (IN Once) (S (NP (PRP it)) (VP (VBZ has) (VP (VBN been) (VP (VBN read)))))) (, ,)", "(WHADVP (WRB When)) (S (NP (NN @)) (VP (VBZ sends) (NP (NN %)))) (, ,)", "(WRB where) (NP (NN @)) (VP (VBZ holds) (NP (NN %))) (, ,)",
+    "(SBAR (IN if) (S (NP (NN @)) (VP (VBZ finds) (SBAR (IN that) (S (NP (NN %)) (VP (VBZ is) (ADJP (JJ low)))))))) (, ,)", "(PP (IN Upon) (NP (NP (NN receipt)) (PP (IN of) (NP (NN @))))) (, ,)", "(IN After) (NP (NP (DT the) (NN @)) (PP (IN of) (NP (NN %)))) (, ,)",
+    "(PP (IN After) (NP (DT the) (NN @))) (, ,)", "(PP (IN For) (NP (DT each) (NN @))) (, ,)", "(SBAR (IN while) (S (VP (VBG using) (NP (NN @))))) (, ,)", "(SBAR (WHNP (WP who)) (S (S (NP (NN @)) (VP (VBZ is) (VP (VBN asked)))) (NP (NN %)))) (, ,)",
+    "(SBAR (SBAR (IN if) (S (NP (NN @)) (VP (VBZ is) (ADJP (JJ new))))) (CC or) (SBAR (IN if) (S (NP (NN %)) (VP (VBD was) (VP (VBN based) (PP (IN on) (NP (PRP it)))))))) (, ,)",
+)
+_MAINS = (
+    "(NP (NN System)) (VP (MD must) (VP (VB send) (NP (DT a) (NN %))))", "(NP (DT the) (NN %)) (VP (MD must) (VP (VB be) (VP (VBN sent) (PP (IN to) (NP (NN @)))) (PP (IN by) (NP (NN mail)))))",
+    "(NP (NN System)) (VP (MD shall) (ADVP (RB then)) (VP (VB show) (NP (NN %)) (SBAR (WHADVP (WRB when)) (S (NP (NN @)) (VP (VBZ asks))))))", "(NP (NN System)) (VP (MD must) (VP (VB store) (NP (NN %)) (PP (IN for) (NP (DT the) (NN @)))))",
+    "(NP (NN System)) (VP (MD must) (VP (VB be) (ADJP (JJ able) (S (VP (TO to) (VP (VB read) (NP (NN %))))))))", "(NP (NN System)) (VP (MD must) (VP (VB ask) (S (NP (NN @)) (VP (TO to) (VP (VB wait))))))", "(NP (NN System)) (VP (MD must) (VP (VB check) (SBAR (IN that) (S (NP (NN %)) (VP (VBZ fits))))))",
+    "(NP (NN System)) (VP (VBZ sends) (NP (NN %)))", "(NP (NN System)) (VP (MD must) (VP (VP (VB read) (NP (NN %))) (CC and) (VP (VB send) (NP (PRP it)))))", "(NP (NN System)) (VP (MD must) (VB be) (VP (VBN shown) (PP (IN to) (NP (NN @)))))", "(NP (NN System)) (VP (MD must) (VP (VB stop)))",
+)
+_TAILS = ("(. .)", "(, ,) (ADVP (RB else)) (NP (NN @)) (VP (MD must) (VP (VB keep) (NP (NN %)))) (. .)", "(SBAR (IN if) (S (NP (NN %)) (VP (VBZ has) (NP (NN @))))) (. .)", "", ")")
+_PICK = lambda texts, n: "(CASE " + " ".join(f"WHEN {n} = {k} THEN '{t}'" for k, t in enumerate(texts)) + " END)"
+_AT = "(doc_id + 2 * n_chars)"
+SHAPES = f"SELECT CAST(doc_id AS BIGINT) AS req_id, replace(replace('(ROOT (S ' || {_PICK(_LEADS, f'{_AT} % {len(_LEADS)}')} || ' ' || CASE WHEN n_chars % 3 = 0 THEN '(S ' ELSE '' END || {_PICK(_MAINS, f'doc_id % {len(_MAINS)}')} || CASE WHEN n_chars % 3 = 0 THEN ') ' ELSE ' ' END || {_PICK(_TAILS, f'n_chars % {len(_TAILS)}')} || '))', '@', w1), '%', w2) AS tree FROM (SELECT doc_id, n_chars, coalesce(nullif(regexp_extract(text, '[A-Za-z]+', 0), ''), 'x') AS w1, lang AS w2 FROM documents)"
+
+
+def _shapes(spark, d):
+    table(spark, d, "documents").createOrReplaceTempView("specloom_documents")
+    return spark.sql(SHAPES.replace("FROM documents", "FROM specloom_documents"))
+
+
+# The node table in SQL, from brackets: a row per bracket or word in order, depths by running sums, a bracket's end by the
+# next one of its depth, parents by the last bracket one level up. Trees whose brackets do not match have no nodes.
+NODES = f"""t AS ({SHAPES}),
+ p AS (SELECT req_id, unnest(regexp_extract_all(tree, '[()]|[^ ()]+')) AS tok, unnest(range(len(regexp_extract_all(tree, '[()]|[^ ()]+')))) AS pos FROM t),
+ q AS (SELECT *, lag(tok) OVER w AS before, lead(tok) OVER w AS after, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS depth FROM p WINDOW w AS (PARTITION BY req_id ORDER BY pos)),
+ ok AS (SELECT req_id FROM q GROUP BY req_id HAVING min(depth) >= 0 AND arg_max(depth, pos) = 0 AND count(*) FILTER (depth = 0) = 1),
+ n0 AS (SELECT req_id, pos, tok, depth, CASE WHEN tok = '(' THEN after ELSE tok END AS label, tok NOT IN ('(', ')') AND before <> '(' AS leaf, CASE WHEN tok IN ('(', ')') THEN depth - (tok = '(')::INT ELSE depth END AS level FROM q SEMI JOIN ok USING (req_id)),
+ n1 AS (SELECT *, tok = '(' OR leaf AS node, count(*) FILTER (tok = '(' OR leaf) OVER w - 1 AS pre, count(*) FILTER (leaf) OVER w AS words FROM n0 WINDOW w AS (PARTITION BY req_id ORDER BY pos)),
+ n2 AS (SELECT *, CASE WHEN tok = '(' THEN lead(pre) OVER w ELSE pre END AS last, CASE WHEN tok = '(' THEN lead(words) OVER w ELSE words END AS e FROM n1 WHERE tok IN ('(', ')') WINDOW w AS (PARTITION BY req_id, level ORDER BY pos)),
+ n3 AS (SELECT req_id, pos, pre, last, level, words AS "start", e AS "end", false AS leaf, label FROM n2 WHERE tok = '(' UNION ALL SELECT req_id, pos, pre, pre, level, words - 1, words, true, label FROM n1 WHERE leaf),
+ n4 AS (SELECT a.*, coalesce(b.pre, -1) AS parent FROM n3 a LEFT JOIN n3 b ON a.req_id = b.req_id AND b.level = a.level - 1 AND b.pre < a.pre AND b.last >= a.pre),
+ nodes AS MATERIALIZED (SELECT n4.*, (SELECT count(*) FROM n3 x WHERE x.req_id = n4.req_id AND x."start" = n4."start" AND x.pre > n4.pre AND x.pre <= n4.last) AS chain FROM n4)"""
+
+
+@query(f'WITH {NODES} SELECT req_id, CAST(pre AS INT) AS pre, CAST(last AS INT) AS last, CAST(parent AS INT) AS parent, CAST(level AS INT) AS level, CAST(chain AS INT) AS chain, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", leaf, label FROM nodes')
+def tree_nodes(spark, d):
+    return treebank.node_table(_shapes(spark, d))
+
+
+def _match(name: str) -> str:
+    """SQL of one pattern: its matched nodes and where its last part ends."""
+    join = lambda a, b, place: f"LEFT JOIN nodes {b} ON {b}.req_id = {a}.req_id AND {b}.pre = {place}"
+    after = join("n", "y", "n.last + 1")
+    parts, end = {None: ("", "n"), "next": (after, "y"), "next.first": (join("n", "y", "n.last + 2"), "y"), "next.next": (f"{after} {join('y', 'z', 'y.last + 1')}", "z")}[patterns.PARTS.get(name)]
+    return f"""SELECT n.req_id, '{name}' AS name, n.pre AS head, n."start" AS s, {end}."end" AS e FROM nodes n {parts} WHERE {patterns.Table().holds(patterns.CLAUSES[name], 'n')}"""
+
+
+_PASSIVE = " UNION ALL ".join(f"SELECT n.req_id, '{name}' AS name, n.pre AS head FROM (SELECT x.* FROM nodes x SEMI JOIN m ON m.req_id = x.req_id AND m.head = x.pre AND m.name = '{name}') n WHERE {patterns.Table().holds(patterns.PASSIVES[k], 'n')}" for name in patterns.CLAUSES for k in patterns.passives_of(name))
+MATCHES = f"WITH {NODES}, m AS MATERIALIZED ({' UNION ALL '.join(map(_match, patterns.CLAUSES))})"
+
+
+def _matches(spark, d):
+    rows = clauses.marked(_shapes(spark, d))
+    strict = F.filter(clauses.found_clauses(), lambda c: c["name"].isin(*patterns.CLAUSES))
+    return rows.withColumn("found", strict)
+
+
+def _rows(found):
+    return found.select("req_id", F.explode_outer("found").alias("c")).where("c IS NOT NULL")
+
+
+@query(f"{MATCHES} SELECT req_id, name, CAST(head AS INT) AS head, CAST(s AS INT) AS start_word, CAST(e AS INT) AS end_word FROM m")
+def clause_matches(spark, d):
+    return _rows(_matches(spark, d)).select("req_id", "c.name", "c.head", F.col("c.start").alias("start_word"), F.col("c.end").alias("end_word"))
+
+
+@query(f"{MATCHES} SELECT DISTINCT req_id, name, CAST(head AS INT) AS head FROM ({_PASSIVE})")
+def clause_passives(spark, d):
+    return _rows(_matches(spark, d)).where("c.passive").select("req_id", "c.name", "c.head")
+
+
+_TRIMS = " OR ".join(f"m.name = '{k}' AND d.name IN ({', '.join(map(repr, v))})" for k, v in clauses.TRIMS.items() if k in patterns.CLAUSES)
+
+
+@query(f"""{MATCHES}, cut AS (SELECT m.req_id, m.name, m.head, m.s, coalesce(min(d.s), m.e) AS e FROM m LEFT JOIN m d ON d.req_id = m.req_id AND d.s > m.s AND d.e <= m.e AND ({_TRIMS}) GROUP BY m.req_id, m.name, m.head, m.s, m.e)
+ SELECT req_id, name, CAST(head AS INT) AS head, CAST(s AS INT) AS start_word, CAST(e AS INT) AS end_word FROM cut""")
+def clause_trim(spark, d):
+    return _rows(_matches(spark, d).withColumn("found", clauses.trimmed())).select("req_id", "c.name", "c.head", F.col("c.start").alias("start_word"), F.col("c.end").alias("end_word"))
 
 
 # (sentence, segment, smell, message) and (sentence, pattern)
