@@ -5,8 +5,8 @@ of equal conversations the one of smallest conv_id stays. Each turn gets two rol
 conversation is a snapshot if its last pair is an inner pair of another. Both sides of the anti-join hold a key at most
 once, so a first turn or a conversation that a third of all rows share costs no more than any other.
 
-Defined results: a turn that stands twice in a conversation with equal role and text counts once; turns are ordered by
-(turn, role, text), nulls first; null role and text render as empty; rows without conv_id form one conversation.
+Defined results: null role and text are empty ones; a turn that stands twice in a conversation with equal role and text
+counts once; turns are ordered by (turn, role, text), null numbers first; rows without conv_id form one conversation.
 DataFrame operations only.
 """
 
@@ -21,14 +21,13 @@ from specloom.llm.common import with_columns_of
 
 def number_turns(conversations: DataFrame) -> DataFrame:
     """Distinct turns with their position k and two rolling hashes of the turns up to it."""
-    turns = with_columns_of(conversations, "conv_id", "turn", "role", "text").distinct()
+    turns = with_columns_of(conversations, "conv_id", "turn", "role", "text").na.fill("", ["role", "text"]).distinct()
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = turns.withColumn("k", F.row_number().over(order))
     for seed in (1, 2):
         # hashes of (position, turn) combined by exclusive or: the running value is that of a sequence
-        turns = turns.withColumn(f"h{seed}", F.bit_xor(F.xxhash64(F.lit(seed), "k", role, text)).over(upto))
+        turns = turns.withColumn(f"h{seed}", F.bit_xor(F.xxhash64(F.lit(seed), "k", "role", "text")).over(upto))
     return turns
 
 
@@ -43,7 +42,7 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, rendered: the kept conversations as marked-up text."""
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
+    line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
     own = kept.select(F.col("conv_id").alias("id"), "n_turns", "n_copies")
     rows = turns.select("conv_id", "k", line.alias("line")).join(own, F.col("conv_id").eqNullSafe(F.col("id")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "")

@@ -366,6 +366,9 @@ def test_chat(spark):
     out = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat.render(t, chat.maximal(t)).collect()}
     assert set(out) == {1, 4, 5, None} and out[1][:2] == (2, 3) and out[4][0] == 2
     assert out[1][2] == "<|u|>\na\n<|end|>\n<|s|>\nb\n<|end|>\n" and out[5][2] == "<||>\n\n<|end|>\n"
+    # a turn logged with null and with empty text is one turn
+    t = chat.number_turns(spark.createDataFrame([(1, 0, "u", None), (1, 0, "u", ""), (1, 1, None, "x"), (1, 1, "", "x")], "conv_id long, turn long, role string, text string"))
+    assert [(r.n_turns, r.rendered) for r in chat.render(t, chat.maximal(t)).collect()] == [(2, "<|u|>\n\n<|end|>\n<||>\nx\n<|end|>\n")]
     e = chat.number_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat.render(e, chat.maximal(e)).count() == 0
 
