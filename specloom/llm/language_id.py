@@ -19,10 +19,9 @@ from like any other; repeated rows count once.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +36,7 @@ AT_ONCE = 8
 GROUP_BYTES = 32_000_000
 SCAN = 1_000_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codes_of(data: np.ndarray) -> np.ndarray:

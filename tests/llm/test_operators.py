@@ -341,6 +341,12 @@ def test_decontaminate(spark, docs, empty):
         decontaminate.item_blocks.__defaults__ = old
 
 
+def test_numerals_are_no_letters():
+    model = language_id.fit({"de": ["der die das"], "en": ["the a an"]})
+    assert language_id.predict(["½ ² ③", "Ⅷ", "12 _ -", "", None], model) == (["und"] * 5, [0.0] * 5)
+    assert language_id.predict(["the ½"], model)[0] == ["en"]
+
+
 def test_html():
     for page, text in html_text.LABELLED:
         assert html_text.extract(page).replace(" .", ".") == text.replace(" .", ".")
