@@ -11,7 +11,8 @@ The masks miss no such stretch: m differences leave m + 1 runs of at least 4 m w
 words, save for AAAxAAAxAAAxAAA, which has a mask of its own, and whole items of 10 or 11 words with two differences,
 for which runs of three are looked up.
 
-Items with fewer words than ``SHORTEST`` say nothing and are not searched for. Null and empty texts have no overlap.
+Items with fewer words than ``SHORTEST`` are found word for word, by the hash of all their words. Null and empty texts,
+and items without a word, have no overlap. Repeated items count once; of equal stretches the first in the document is given.
 Only the benchmark is broadcast, in blocks of at most ``BLOCK_WORDS`` words; each block is one pass over the documents.
 """
 
@@ -87,7 +88,7 @@ class Index:
         for mask, longest in MASKS:
             hs, who, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k, (_, h) in enumerate(items):
-                if longest is not None and len(h) > longest:
+                if len(h) < SHORTEST or longest is not None and len(h) > longest:
                     continue
                 s = seeds(h, mask)
                 hs.append(s)
@@ -100,6 +101,13 @@ class Index:
             bits = np.zeros(1 << 21, bool)
             bits[(h >> np.uint64(43)).astype(np.int64)] = True
             self.tables.append((mask, h[o], w[o], p[o], bits))
+        #: for each length of short items the hashes of all their words, sorted, and the items
+        self.short: list[tuple[str, np.ndarray, np.ndarray]] = []
+        for n in sorted({len(h) for _, h in items if len(h) < SHORTEST}):
+            who = np.array([k for k, (_, h) in enumerate(items) if len(h) == n], np.int64)
+            hs = np.array([seeds(items[k][1], "1" * n)[0] for k in who.tolist()], np.uint64)
+            o = np.argsort(hs, kind="stable")
+            self.short.append(("1" * n, hs[o], who[o]))
 
     def hits(self, h: np.ndarray) -> list[tuple[int, int]]:
         """(item, document position minus item position) of all seeds in common, if the words along them can suffice."""
@@ -136,10 +144,24 @@ class Index:
             good = cut[np.add.reduceat(same, begin, dtype=np.int64) >= self.least[item[cut]]]
             yield from zip(item[good].tolist(), shift[good].tolist(), strict=True)
 
+    def _whole(self, h: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """The short items that stand in a document word for word: words, minus the first place, words."""
+        best: dict[int, tuple[int, int, int]] = {}
+        for mask, hs, who in self.short:
+            n = len(mask)
+            kinds, first = np.unique(seeds(h, mask), return_index=True)
+            lo, hi = np.searchsorted(hs, kinds, "left"), np.searchsorted(hs, kinds, "right")
+            for x in np.flatnonzero(hi > lo).tolist():
+                at = int(first[x])
+                for k in who[lo[x] : hi[x]].tolist():
+                    if np.array_equal(h[at : at + n], self.items[k][1]):
+                        best[k] = (n, -at, n)
+        return best
+
     def overlaps(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, first word in the document, words, words that agree) of every item found, its best stretch."""
         h = word_hashes(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        best = self._whole(h)
         for k, shift in self.hits(h) if len(h) >= SHORTEST else ():
             item = self.items[k][1]
             a, b = max(0, -shift), min(len(item), len(h) - shift)
@@ -184,7 +206,7 @@ def item_blocks(benchmark: DataFrame, words: int = BLOCK_WORDS):
     block, size = [], 0
     for r in with_columns_of(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
         h = word_hashes(r["text"])
-        if len(h) < SHORTEST:
+        if not len(h):
             continue
         block.append((r["item_id"], h))
         size += len(h)

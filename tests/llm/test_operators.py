@@ -341,6 +341,22 @@ def test_decontaminate(spark, docs, empty):
         decontaminate.item_blocks.__defaults__ = old
 
 
+def test_short_items_are_found_word_for_word(spark):
+    r, v = random.Random(12), vocabulary(3, 30)
+    items = [(i, " ".join(r.choice(v) for _ in range(1 + i % 7))) for i in range(40)] + [(90, None), (91, " . "), (92, v[0]), (92, v[0])]
+    docs = [(i, " ".join(r.choice(v) for _ in range(r.randint(0, 60)))) for i in range(60)] + [(100, None), (101, items[6][1].upper()), (102, items[6][1] + "x")]
+    got = decontaminate.overlaps(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = set()
+    for d, t in docs:
+        w = (t or "").lower().split()
+        for i, x in items:
+            x = [] if x is None or x == " . " else x.split()
+            at = next((k for k in range(len(w) - len(x) + 1) if x and w[k : k + len(x)] == x), None)
+            if at is not None:
+                want.add((d, i, at, len(x), len(x)))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(n == 7 for *_, n in want)
+
+
 def test_numerals_are_no_letters():
     model = language_id.fit({"de": ["der die das"], "en": ["the a an"]})
     assert language_id.predict(["½ ² ③", "Ⅷ", "12 _ -", "", None], model) == (["und"] * 5, [0.0] * 5)
