@@ -92,8 +92,8 @@ def model_path(name: str = MODEL) -> str:
     return str(public_tokenizers.path(name))
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids (with the end id), decoded of every row."""
+def encode_documents(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, n_tokens, ids (with the end id), decoded of every row."""
 
     def run(batches):
         c = codec(model_path(model))
@@ -101,12 +101,14 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for at in range(0, big.num_rows, 200):
                 b = big.slice(at, 200)
                 ids = [c.encode(x.as_py() or "") for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                own = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *own], names=["doc_id", *keep, "n_tokens", "ids", "decoded"])
         c.table.clear()
         trim()
 
-    source = with_columns_of(docs, "doc_id", "text")
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, decoded string")
+    source = with_columns_of(docs, "doc_id", "text", *keep)
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    return source.mapInArrow(run, f"{kinds}, n_tokens bigint, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -25,6 +25,8 @@ def test_stages(spark):
     clean = corpus_pipeline.benchmark(spark, cut, D)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in cut.collect()} - dirty
     out = corpus_pipeline.tokens(spark, clean, D)
+    langs = {r.doc_id: r.lang for r in clean.collect()}
+    assert {r.doc_id: r.lang for r in out.collect()} == langs and set(langs.values()) <= {r.lang for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
     assert out.count() == clean.count() and out.where(F.element_at("ids", -1) != 2).count() == 0
 
 
@@ -32,7 +34,7 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     q = __spark_entry__.queries()
-    assert q["pipeline"].__wrapped__ is corpus_pipeline.run and sum(k.startswith("op") and k[2].isdigit() for k in q) == 10
+    assert q["pipeline"].__wrapped__ is corpus_pipeline.run and sum(k.startswith("op") and k[2].isdigit() for k in q) == 13
     assert len(corpus_pipeline.STAGES) == 5
 
 
