@@ -1,13 +1,14 @@
 """Main text of web pages as the best-scoring contiguous region.
 
-A page is cut into tags and words. Each word adds a positive weight, each tag a negative one; words inside elements
-that never hold content (menus, forms, footers, scripts, comments and the like) are negative too. The weights come
-from labelled pages (:func:`fit_weights`). One linear scan (Kadane) finds the contiguous region of the largest sum;
-its words outside boilerplate elements are the text.
+A page is cut into tags and words. Elements that never hold content (menus, forms, footers, scripts, comments and the
+like, told by their name, by words of their class, id or role, or as lists of links) are taken out first, so that they
+neither end a region nor extend it. Of what is left each word adds a positive weight, each tag a negative one; the weights
+come from labelled pages (:func:`fit_weights`). One linear scan (Kadane) finds the contiguous region of the largest sum.
 
 Defined results: null or empty html, or no region of positive sum: empty text. Of regions with equal sums the first,
 and of those the longest, is taken. Malformed markup (unclosed elements or quotes) is read as far as it goes; an
-unclosed script, style or comment runs to the end of the page.
+unclosed script, style or comment runs to the end of the page. Pages are independent: repeated rows each give their
+row, other columns are ignored, an empty table gives none; time is linear in a page's length.
 """
 
 from __future__ import annotations
@@ -38,6 +39,15 @@ NEUTRAL = {
     "item", "items", "js", "last", "left", "link", "links", "list", "local", "main", "mobile", "module", "outer", "overlay", "page", "panel", "post", "posts", "primary", "region", "right", "row", "secondary", "section",
     "site", "slot", "sticky", "thread", "top", "unit", "user", "view", "wrap", "wrapper", "zone",
 }
+# Marks that stay so beside words of articles; with others such a word means a part of the article itself.
+STRONG = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "promo", "sponsor", "sponsored", "sidebar", "breadcrumb", "breadcrumbs", "comment", "comments", "discussion", "responses", "disqus", "replies",
+    "cookie", "cookies", "consent", "gdpr", "privacy", "popup", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended",
+}
+BESIDE_STRONG = {"article", "articles", "story", "stories", "reader", "readers", "google", "leaderboard", "policy", "trail", "buttons", "media", "form", "news"}
+# A list with so many links at least, most of its words in links, and these short, is a menu.
+LIST_LINKS, LINK_SHARE, LINK_WORDS = 4, 0.9, 8
+LISTS = ("ul", "ol", "dl")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
@@ -49,19 +59,65 @@ LANDMARKS = ("article", "main")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_SIZE = re.compile(r"[0-9]+x[0-9]+")
 
 
 def marks(value: str) -> bool:
     """Whether a name in an attribute says that its element is boilerplate: it has a word that does, and none of its own."""
     for name in value.lower().split():
-        words = _NAME.findall(name)
-        if not MARKS.isdisjoint(words) and all(w in MARKS or w in NEUTRAL for w in words):
+        words = _NAME.findall(_SIZE.sub("", name))
+        if words == ["sign", "up"] or words == ["log", "in"]:
+            return True
+        known = MARKS | STRONG
+        beside = NEUTRAL | BESIDE_STRONG if not STRONG.isdisjoint(words) else NEUTRAL
+        if not known.isdisjoint(words) and all(w in known or w in beside for w in words):
             return True
     return False
 
 
 def pieces(page: str) -> list[tuple[str, str, bool]]:
     """Tokens of a page in order: (tag key or '', text, inside boilerplate). Tag keys are names, closing ones with '/'."""
+    return without_menus(tokens(page))
+
+
+def without_menus(out: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
+    """Tokens with those of lists that are little but links marked as boilerplate."""
+    open_: list[list[int]] = []  # of each open list: its token, words, words in links, links
+    lists: list[tuple[int, int]] = []
+    in_link = False
+    for i, (tag, chunk, bad) in enumerate(out):
+        if tag in LISTS:
+            open_.append([i, 0, 0, 0])
+        elif tag == "a" and not bad:
+            in_link = True
+            if open_:
+                open_[-1][3] += 1
+        elif tag == "/a":
+            in_link = False
+        elif not tag and open_ and not bad:
+            n = len(chunk.split())
+            open_[-1][1] += n
+            open_[-1][2] += n * in_link
+        elif tag[:1] == "/" and tag[1:] in LISTS and open_:
+            start, words, linked, links = open_.pop()
+            if links >= LIST_LINKS and linked >= LINK_SHARE * words and linked <= LINK_WORDS * links:
+                lists.append((start, i))
+            elif open_:
+                for k, v in enumerate((words, linked, links), 1):
+                    open_[-1][k] += v
+    if not lists:
+        return out
+    out = list(out)
+    done = -1
+    for start, end in sorted(lists):  # of lists inside one another the outer one comes first
+        for i in range(max(start, done + 1), end + 1):
+            out[i] = (*out[i][:2], True)
+        done = max(done, end)
+    return out
+
+
+def tokens(page: str) -> list[tuple[str, str, bool]]:
+    """Tokens of a page in order, boilerplate told by elements and names."""
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, bool]] = []
     open_: Counter[str] = Counter()
@@ -119,30 +175,31 @@ def fit_weights(labelled: list[tuple[str, str]], smooth: float = 0.5) -> dict[st
     """Weights from pages with their main texts.
 
     A tag's weight is its smoothed log odds of standing inside the main region, held negative: at least -0.05 for tags
-    seen inside (so that they never outweigh a word) and at most -25 for tags seen only outside. Words get the log odds
-    of ordinary and of boilerplate surroundings in the same way, held positive and negative.
+    seen inside (so that they never outweigh a word) and at most -25 for tags seen only outside. Words get their log odds
+    in the same way, held positive. What boilerplate elements hold is not counted.
     """
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page, text in labelled:
-        tokens = pieces(page)
+        read = pieces(page)
         want = text.split()
         first = last = None
-        for i, (tag, chunk, bad) in enumerate(tokens):
+        for i, (tag, chunk, bad) in enumerate(read):
             words = html_lib.unescape(chunk).split() if not tag else []
             if words and not bad and all(w in want for w in words):
                 first = max(0, i - 1) if first is None else first  # with the tag that opens its block
                 last = i
-        for i, (tag, chunk, bad) in enumerate(tokens):
+        for i, (tag, chunk, bad) in enumerate(read):
+            if bad and not tag:
+                continue
             where = inside if first is not None and first <= i <= last else outside
             if tag:
                 where[tag] += 1
             else:
-                where["#bad" if bad else "#word"] += len(chunk.split())
+                where["#word"] += len(chunk.split())
     odds = {k: math.log((inside[k] + smooth) / (outside[k] + smooth)) for k in {*inside, *outside}}
     weights = {k: max(-0.05, min(-0.01, v)) if inside[k] else max(-25.0, min(-5.0, 10 * v)) for k, v in odds.items() if k[0] != "#"}
     weights["#word"] = max(1.0, odds.get("#word", 1.0))
-    weights["#bad"] = min(-1.0, odds.get("#bad", -1.0))
     return weights
 
 
@@ -171,26 +228,32 @@ WEIGHTS = fit_weights(LABELLED)
 UNSEEN_TAG = -0.05
 
 
-def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
-    if not page:
-        return ""
-    tokens = pieces(page)
-    word, bad_word = weights["#word"], weights["#bad"]
+def scores(read: list[tuple[str, str, bool]], weights: dict[str, float] = WEIGHTS) -> list[float]:
+    """What each token adds to a region: nothing inside boilerplate."""
+    word = weights["#word"]
+    return [0.0 if bad else weights.get(tag, UNSEEN_TAG) if tag else word * len(chunk.split()) for tag, chunk, bad in read]
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous region of the largest sum, the first of equals; (0, 0) if none is positive."""
     best = (0.0, 0, 0)
     total, start = 0.0, 0
-    for i, (tag, chunk, bad) in enumerate(tokens):
-        if tag:
-            total += weights.get(tag, UNSEEN_TAG)
-        elif bad:
-            total += bad_word * len(chunk.split())
-        else:
-            total += word * len(chunk.split())
+    for i, v in enumerate(values):
+        total += v
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best[0]:
             best = (total, start, i + 1)
+    return best[1:]
+
+
+def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
+    if not page:
+        return ""
+    read = pieces(page)
+    start, end = best_region(scores(read, weights))
     parts: list[str] = []
-    for tag, chunk, bad in tokens[best[1] : best[2]]:
+    for tag, chunk, bad in read[start:end]:
         if tag:
             if tag.lstrip("/") not in INLINE:
                 parts.append(" ")

@@ -1,5 +1,6 @@
 """Pages with odd markup, names of elements, and odd tables."""
 
+import random
 import time
 
 import pytest
@@ -41,3 +42,35 @@ def test_odd_tables(spark):
     out = html_text.extract_pages(d.withColumn("tag", F.lit(1))).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 0), (1, len(LONG)), (1, len(LONG)), (2, 4 * 300_000 - 1)]
     assert html_text.extract_pages(d.where("false")).count() == 0
+
+
+NAMES = "reader-comments article-comments related-articles related-stories cookie-policy privacy-notice gdpr-banner google-ad ad-leaderboard ad-300x250 newsletter-form sign-up breadcrumb-trail share-buttons social-media responses discussion comments comment-body user-comments top-ad site-navigation subscribe-box"
+
+
+@pytest.mark.parametrize("name", NAMES.split())
+def test_boilerplate_inside_and_after_an_article(name):
+    part = f'<div class="{name}"><p>not this {LONG}</p></div>'
+    assert html_text.extract(f"<body><article><p>{LONG}</p>{part}<p>{LONG}</p></article></body>") == f"{LONG} {LONG}"
+    assert html_text.extract(f"<body><article><p>{LONG}</p></article>{part}</body>") == LONG
+
+
+def test_text_after_a_long_advert_stays():
+    assert html_text.extract(f"<article><p>one</p><div class=ad>{LONG} {LONG}</div><p>two</p></article>") == "one two"
+
+
+def test_lists_of_links_go_and_lists_with_links_stay():
+    links = "".join(f"<li><a href=x>Link number {k}</a></li>" for k in range(30))
+    assert html_text.extract(f"<body><p>Word</p><ul>{links}</ul></body>") == "Word"
+    assert html_text.extract(f"<p>Word</p><ul><li>Part<ul>{links}</ul></li><li>more text here</li></ul>") == "Word Part more text here"
+    kept = "".join(f"<li>Step {k} is told <a href=x>here</a></li>" for k in range(5))
+    assert html_text.extract(f"<p>Word</p><ul>{kept}</ul>").count("Step") == 5
+
+
+def test_region_equals_a_quadratic_search():
+    r = random.Random(9)
+    for _ in range(300):
+        x = [r.choice([-3, -2, -1, -0.5, 0, 1, 2, 4]) for _ in range(r.randint(0, 30))]
+        every = [(sum(x[i:j]), -i, -j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+        most = max((s for s, *_ in every), default=0)
+        start, end = html_text.best_region(x)
+        assert sum(x[start:end]) == max(most, 0) and (end > start) == (most > 0)
