@@ -10,8 +10,10 @@ least similarity agree in at least ``matches_for`` coordinates but for about two
    agree in enough coordinates share one of them. The common keys are skipped: no list is made for them.
 3. Representatives. Every node is paired with one of the smallest nodes of its lists, the one it collides with in most
    of them; confirmed links join nodes to components.
-4. Lists whose nodes are in one component are skipped. In the rest, cut in blocks of ``TILE`` nodes, the nodes outside
-   the list's largest component count their collisions with all others. One that reaches the match threshold with a
+4. Lists whose nodes are in one component are skipped. Of the nodes in the rest only those go on whose rarest shingles,
+   one more than a qualifying partner may lack, are also among those of a node of another component: sets that share a
+   template and differ in the rest meet in lists of signatures, but not here. In lists of several components that remain,
+   cut in blocks of ``TILE`` nodes, the nodes outside the list's largest component count their collisions with all others. One that reaches the match threshold with a
    node of another component is sent, once, to the group of that node: its component, or that of its representative.
 5. There it is compared with the full sets of the group's members, block by block, and of the links found in a block
    those go out that join components. So what is sent and returned grows with nodes and blocks, not with pairs.
@@ -129,14 +131,14 @@ def _key_rows(column) -> np.ndarray:
 
 
 def commonness(spark: SparkSession, rows: DataFrame) -> np.ndarray:
-    """For each bucket of keys a byte that grows with the logarithm of its count: BUCKETS bytes, whatever the input."""
+    """For each bucket of the 64-bit keys in the first column, a byte that grows with the logarithm of its count: BUCKETS bytes, whatever the input."""
     shift, low = np.uint64(64 - BUCKET_BITS), (1 << BLOCK_BITS) - 1
 
     def count(batches):
         seen = np.zeros(1 << BUCKET_BITS, np.uint32)
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                u, c = np.unique(_key_rows(b.column(0).slice(at, 4000)) >> shift, return_counts=True)
+            for at in range(0, b.num_rows, 1000):
+                u, c = np.unique(np.frombuffer(b"".join(b.column(0).slice(at, 1000).to_pylist()), np.uint64) >> shift, return_counts=True)
                 seen[u.astype(np.int64)] += c.astype(np.uint32)
         at = np.flatnonzero(seen)
         block = at >> BLOCK_BITS
@@ -157,7 +159,7 @@ def commonness(spark: SparkSession, rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([code.tobytes()], pa.binary())], names=["block", "codes"])
 
     schema = "block bigint, {} binary"
-    parts = rows.where("keys IS NOT NULL").select("keys").mapInArrow(count, schema.format("counts"))
+    parts = rows.mapInArrow(count, schema.format("counts"))
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
     for r in parts.repartition(n_partitions(spark), "block").mapInArrow(add, schema.format("codes")).collect():
         out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["codes"], np.uint8)
@@ -166,7 +168,7 @@ def commonness(spark: SparkSession, rows: DataFrame) -> np.ndarray:
 
 def ranked(spark: SparkSession, rows: DataFrame, matches: int) -> DataFrame:
     """doc_id, tag, n, node, prefix (the rarest keys, as many as any qualifying pair must share one of), sig (16 bits of each key)."""
-    frozen, length = spark.sparkContext.broadcast(commonness(spark, rows)), COORDINATES - matches + 1
+    frozen, length = spark.sparkContext.broadcast(commonness(spark, rows.where("keys IS NOT NULL").select("keys"))), COORDINATES - matches + 1
 
     def run(batches):
         common = frozen.value
@@ -230,6 +232,36 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return source.select("node", "text").mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"])
 
 
+def rarest(spark: SparkSession, sets: DataFrame, percent: int) -> DataFrame:
+    """node, s: the rarest shingles of each set, so many that sets of this similarity have one of them in common."""
+    frozen = spark.sparkContext.broadcast(commonness(spark, sets.select("items")))
+
+    def run(batches):
+        common = frozen.value
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, out, n = b.slice(at, 500), [], []
+                for data in part.column(1):
+                    x = np.frombuffer(data.as_buffer(), np.uint64)
+                    length = len(x) + percent * len(x) // -100 + 1  # a partner holds the share of it at least
+                    order = (common[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8))
+                    # shingles that are equal in this order stand side by side, so that both sets cut it alike
+                    out.append(x[np.lexsort((x, order))[:length]])
+                    n.append(len(out[-1]))
+                node = np.repeat(part.column(0).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(as_long(np.concatenate(out)))], names=["node", "s"])
+        trim()
+
+    return sets.select("node", "items").mapInArrow(run, "node bigint, s bigint")
+
+
+def _within_reach(spark: SparkSession, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node: of ``named`` (node, label) with ``sets``, those that share a rare shingle with a node of another label."""
+    post = rarest(spark, sets, percent).join(named, "node")
+    shared = post.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("s")
+    return post.join(shared, "s", "left_semi").select("node").distinct()
+
+
 def _segments(batches, width: int):
     """(number, rows) of sorted batches, cut where the first ``width`` columns change; a number may come several times."""
     number, last = -1, None
@@ -377,12 +409,23 @@ def labelled_rows(spark: SparkSession, docs: DataFrame, size: int = 5, percent:
     named = post.select("node").distinct().join(stars.select(F.col("b").alias("node"), "a"), "node", "left").join(of("node"), "node", "left").join(of("a"), "a", "left")
     named = table(named.select("node", F.coalesce("lnode", "node").alias("label"), F.coalesce("lnode", "la", "a", "node").alias("home")), "named")
 
-    # lists of several components: blocks of members, and their nodes outside the largest component as queries of each
+    # lists of several components, of nodes that are within reach of another one
+    def several(rows: DataFrame) -> DataFrame:
+        shares = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+        return shares.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+
     labelled = post.select("key", "node").join(named, "node")
-    shares = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
-    several = shares.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-    several = several.select("key", "major", F.ceil(F.col("m") / TILE).cast("int").alias("t"))
-    open_ = table(labelled.join(several, "key"), "open")
+    labelled = table(labelled.join(several(labelled).select("key"), "key", "left_semi"), "mixed")
+    asked = table(labelled.select("node", "label").distinct(), "asked")
+    more = asked.select("node").join(sets.select("node"), "node", "left_anti")
+    sets = sets.union(table(_full_sets(docs, nodes.join(more, "node", "left_semi"), size), "sets"))
+    near = table(_within_reach(spark, asked, sets.join(asked.select("node"), "node", "left_semi"), percent), "near")
+    labelled = labelled.join(near, "node", "left_semi")
+    release(spark)
+
+    # blocks of members, and their nodes outside the largest component as queries of each
+    lists = several(labelled).select("key", "major", F.ceil(F.col("m") / TILE).cast("int").alias("t"))
+    open_ = table(labelled.join(lists, "key"), "open")
     own = F.pmod(F.xxhash64("node"), "t").cast("int")
     cells = open_.select("key", own.alias("blk"), F.lit(0).alias("q"), "node", "label", "home", "major")
     asked = open_.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("blk"), F.lit(1).alias("q"), "node", "label", "home", "major")

@@ -97,3 +97,36 @@ def test_recall_of_the_prefix_at_the_threshold():
             order = np.sort(k >> np.uint64(8), axis=1)[:, :length]
             found += bool((k[0] == k[1]).sum() >= matches and np.intersect1d(order[0], order[1]).size)
         assert found == n
+
+
+def test_a_template_links_nothing_and_costs_no_more_than_its_documents(spark, monkeypatch):
+    """Documents of which three quarters are one template: lists of signatures hold all of them, blocks none."""
+    r = random.Random(13)
+    template = [f"t{k}" for k in range(225)]
+    texts = [" ".join([*template, *(f"d{r.randrange(10**9)}" for _ in range(75))]) for _ in range(400)]
+    texts += variants(r, texts[0].split(), 5, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(5)
+    seen = []
+    routes = near_dup._routes
+    monkeypatch.setattr(near_dup, "_routes", lambda blocks, matches: seen.append(blocks.count()) or routes(blocks, matches))
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark, docs, 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 3, 85)
+    assert seen[0] <= 2 * 10 * near_dup.COORDINATES
+
+
+def test_rarest_shingles_of_linked_sets_meet(spark):
+    r = random.Random(17)
+    texts = []
+    for _ in range(30):
+        texts += variants(r, [f"w{r.randrange(3000)}" for _ in range(r.randint(5, 120))], 4, 5)
+    sets = {i: near_dup.shingles(t, 3) for i, t in enumerate(texts)}
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "node long, items binary")
+    own = {}
+    for x in near_dup.rarest(spark, df, 85).collect():
+        own.setdefault(x.node, set()).add(x.s)
+    for i, x in sets.items():
+        assert len(own[i]) == len(x) - -(-85 * len(x) // 100) + 1
+        for j in range(i):
+            both = len(np.intersect1d(x, sets[j]))
+            if 100 * both >= 85 * (len(x) + len(sets[j]) - both):
+                assert own[i] & own[j]
