@@ -234,9 +234,15 @@ ANSWER = """coalesce(text, '') || CASE (conv_id + turn) % 5 WHEN 0 THEN chr(10)
  WHEN 1 THEN chr(10) || 'FINAL: one' || chr(10) || chr(10) || 'final answer: two ' || chr(10) || '* x *' WHEN 2 THEN chr(10) || 'Final:   ' WHEN 3 THEN chr(10) || '**last**' || chr(10) || chr(10) ELSE '' END"""
 CONV = f"v AS (SELECT conv_id, turn, {MADE} AS x FROM conversations)"
 # the points in SQL without look-ahead: one replacement for each
-STRIP_SQL = "regexp_replace(x, '<MISSING_[A-Z_]+>|<NON_ATOMIC>', '', 'g')"
-for _p, _b in ((r"[ \t\n\r\f\v]+([,.;:!?])", r"\1"), (",+", ","), (";+", ";"), (":+", ":"), (r",\.", "."), (r"[ \t]{2,}", " "), (r"^[ \t\n\r\f\v,;:.]+", ""), (r"[ \t\n\r\f\v]+$", "")):
-    STRIP_SQL = f"regexp_replace({STRIP_SQL}, '{_p}', '{_b}', 'g')"
+# A walk over the characters: what stands so far and the next one. Blanks before a mark go, a mark does not follow its
+# like, a full stop takes the place of a comma, and of blanks in a row one stays.
+_GAP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_STEP = f"""CASE WHEN c IN (',', ';', ':') AND ends_with(rtrim(acc, {_GAP}), c) THEN rtrim(acc, {_GAP})
+ WHEN c = '.' AND ends_with(rtrim(acc, {_GAP}), ',') THEN left(rtrim(acc, {_GAP}), length(rtrim(acc, {_GAP})) - 1) || c
+ WHEN c IN (',', '.', ';', ':', '!', '?') THEN rtrim(acc, {_GAP}) || c
+ WHEN c IN (' ', chr(9)) AND right(acc, 1) IN (' ', chr(9)) THEN left(acc, length(acc) - 1) || ' ' ELSE acc || c END"""
+_BARE = "regexp_replace(x, '<MISSING_[A-Z_]+>|<NON_ATOMIC>', '', 'g')"
+STRIP_SQL = f"rtrim(ltrim(list_reduce([''] || string_split({_BARE}, ''), lambda acc, c: {_STEP}), {_GAP} || ',;:.'), {_GAP})"
 
 
 def _conv(spark, d):
@@ -272,19 +278,50 @@ def final_line_extract(spark, d):
 EXTRACT = """CASE turn % 4 WHEN 0 THEN '“the main  ' || coalesce(role, '') || '” now , ' WHEN 1 THEN 'Do “open (' ELSE '' END || coalesce(text, '')
  || CASE (conv_id + turn) % 5 WHEN 0 THEN '<lb><bullet>one,<lb><bullet>two;<lb>Note this is it.' WHEN 1 THEN '<lb>To illustrate any thing. locked  in' WHEN 2 THEN ' ,, ,,; and it is locked in-place (''x'')' WHEN 3 THEN '<lb>Note that, it ends ,' ELSE '' END"""
 PHRASE = "'[“”][^“”\\n]*[“”]'"
-_PRE = "replace(coalesce({0}, ''), ':', '')"
-_PRE = f"""(SELECT array_to_string(list_transform(list_zip(regexp_split_to_array(s, {PHRASE}), regexp_extract_all(s, {PHRASE})),
- lambda p: p[1] || coalesce(regexp_replace(trim(regexp_replace(p[2], '[“”]', '', 'g')), '[ \\t\\r\\f\\v]+', '_', 'g'), '')), '') FROM (SELECT {_PRE} AS s))"""
-for _p, _b in (("[()'']", ""), ("-", "_"), (",{{2,4}}", ","), (";", ""), (r"<lb>(Note|NOTE).+[a-zA-Z0-9.]$", ""), (r"<lb>To illustrate.+\.", ""), (r"(<lb><bullet>.*),", r"\1"), ("<lb><bullet>", r"\\*"), ("<lb>", ", "), (r"([\p{{L}}\p{{N}}_]) ,", r"\1,"), (", *,", ","), (r"(lock[\p{{L}}\p{{N}}_]+)[ \t\n\r\f\v]{{1,3}}(in)", r"\1_\2"), (r"[ \t\n\r\f\v]{{2,}}", " ")):
-    _PRE = f"regexp_replace({_PRE}, '{_p}', '{_b}', 'g')"
 
 
-@query(f"SELECT conv_id, turn, {_PRE.format('x')} AS cleaned FROM (SELECT conv_id, turn, {EXTRACT} AS x FROM conversations)")
+def _let(value: str, name: str, then: str) -> str:
+    """SQL of ``then`` with ``name`` for a value that is worked out once."""
+    return f"list_transform([{value}], lambda {name}: {then})[1]"
+
+
+def _at_part(line: str, test: str, then: str) -> str:
+    """SQL of a line whose parts <lb> divides: ``then`` of the parts p and the number k of the first one that passes, else the line."""
+    first = f"coalesce(list_position(list_transform(p, lambda v, i: i > 1 AND ({test})), true), 0)"
+    return _let(f"string_split({line}, '<lb>')", "p", _let(first, "k", f"CASE WHEN k > 0 THEN {then} ELSE array_to_string(p, '<lb>') END"))
+
+
+def _cleaned(text: str, blanks: str = "[ \\t\\n\\r\\f\\v]", within: str = "[ \\t\\r\\f\\v]") -> str:
+    """SQL of the requirement cleaner, written from its rules: phrases in quotes, then marks, then each line by its parts."""
+    word = f"regexp_replace(trim(translate(q[2], '“”', '')), '{within}+', '_', 'g')"
+    s = _let(f"replace(coalesce({text}, ''), ':', '')", "s", f"array_to_string(list_transform(list_zip(regexp_split_to_array(s, {PHRASE}), regexp_extract_all(s, {PHRASE})), lambda q: q[1] || coalesce({word}, '')), '')")
+    # of commas in a row the first of every four stays
+    marks = "CASE WHEN c[1] = ',' THEN repeat(',', CAST(ceil(length(c) / 4) AS INT)) ELSE replace(c, ';', '') END"
+    s = f"array_to_string(list_transform(regexp_extract_all(translate({s}, '-()''', '_'), ',+|[^,]+'), lambda c: {marks}), '')"
+    upto, rest, whole = "array_to_string(p[:k - 1], '<lb>')", "array_to_string(p[k:], '<lb>')", "array_to_string(p, '<lb>')"
+    last = "j >= len(ls) - CASE WHEN ls[-1] = '' THEN 1 ELSE 0 END"
+    line = _at_part("w", "starts_with(v, 'Note') OR starts_with(v, 'NOTE')", f"CASE WHEN {last} AND length({rest}) > 5 AND regexp_matches(p[-1], '[a-zA-Z0-9.]$') THEN {upto} ELSE {whole} END")
+    told = f"substr({rest}, {len('To illustrate') + 2})"
+    line = _at_part(line, "starts_with(v, 'To illustrate')", f"CASE WHEN contains({told}, '.') THEN {upto} || string_split({told}, '.')[-1] ELSE {whole} END")
+    comma = _let(f"string_split({rest}, ',')", "z", "array_to_string(z[:-2], ',') || z[-1]")
+    line = _at_part(line, "starts_with(v, '<bullet>')", f"{upto} || '<lb>' || CASE WHEN contains({rest}, ',') THEN {comma} ELSE {rest} END")
+    shown = "CASE WHEN i = 1 THEN v WHEN starts_with(v, '<bullet>') THEN chr(92) || '*' || substr(v, 9) ELSE ', ' || v END"
+    line = f"array_to_string(list_transform(string_split({line}, '<lb>'), lambda v, i: {shown}), '')"
+    s = _let(f"string_split({s}, chr(10))", "ls", f"array_to_string(list_transform(ls, lambda w, j: {line}), chr(10))")
+    # a blank between a word and a comma goes
+    joint = "CASE WHEN i = len(z) THEN '' WHEN regexp_matches(v, '[\\p{L}\\p{N}_]$') THEN ',' ELSE ' ,' END"
+    s = _let(f"string_split({s}, ' ,')", "z", f"array_to_string(list_transform(z, lambda v, i: v || {joint}), '')")
+    s = f"regexp_replace({s}, ', *,', ',', 'g')"
+    s = f"regexp_replace({s}, '(lock[\\p{{L}}\\p{{N}}_]+){blanks}{{1,3}}in', '\\1_in', 'g')"
+    return f"regexp_replace({s}, '{blanks}{{2,}}', ' ', 'g')"
+
+
+@query(f"SELECT conv_id, turn, {_cleaned('x')} AS cleaned FROM (SELECT conv_id, turn, {EXTRACT} AS x FROM conversations)")
 def preclean_chain(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.preclean(F.expr(EXTRACT)).alias("cleaned"))
 
 
-@query(f"SELECT conv_id, turn, sha256({_PRE.format('text')}) AS cleaned_sha256 FROM conversations")
+@query(f"SELECT conv_id, turn, sha256({_cleaned('text')}) AS cleaned_sha256 FROM conversations")
 def preclean_conversations(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(X.preclean(F.col("text")), 256).alias("cleaned_sha256"))
 
@@ -773,7 +810,7 @@ def run_name_check(spark, d):
     return table(spark, d, "documents").select("doc_id", score.valid_run_name(F.expr(NAME)).alias("ok"))
 
 
-@query(f"SELECT conv_id, turn, {_PRE.format('x').replace('[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'f' + chr(92) + 'v]', ' ').replace('[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'f' + chr(92) + 'v]', ' ')} AS cleaned FROM (SELECT conv_id, turn, {EXTRACT} AS x FROM conversations)")
+@query(f"SELECT conv_id, turn, {_cleaned('x', ' ', ' ')} AS cleaned FROM (SELECT conv_id, turn, {EXTRACT} AS x FROM conversations)")
 def older_preclean(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.older_preclean(F.expr(EXTRACT)).alias("cleaned"))
 
