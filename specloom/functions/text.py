@@ -192,24 +192,57 @@ def older_preclean(x: Column) -> Column:
 
 # ---- cleaners of texts from word files ------------------------------------------------------------
 
-#: What each cleaner looks for and puts in its place.
+
+def _any_of(marks: str, least: int = 1) -> str:
+    """Runs of some marks."""
+    return f"[{''.join(chr(92) + m if m in '[]^-' + chr(92) else m for m in marks)}]{'+' if least == 1 else f'{{{least},}}'}"
+
+
+def _word_with(mark: str) -> str:
+    """Words that hold a mark."""
+    return rf"\S*{mark}\S*"
+
+
+def _inside(left: str, right: str, least: int, lines: bool) -> str:
+    """What stands between two marks with these, up to the first right one, over several lines or within one."""
+    return rf"\{left}[^{right}{'' if lines else chr(10) + chr(13)}]{{{least},}}\{right}"
+
+
+def _sentence(opener: str, without: tuple[str, ...]) -> str:
+    """From a word to the next full stop of its line, if none of some words stands between."""
+    return rf"\b{opener}\b.?(?:(?!\b(?:{'|'.join(without)})\b)[^.\n\r])*\."
+
+
+def _to_last_stop(*openers: str, any_case: bool = False) -> str:
+    """From a phrase to the last full stop of its line."""
+    return rf"{'(?i)' if any_case else ''}\b(?:{'|'.join(openers)})\b.*\."
+
+
+def _attribute(mark: str) -> str:
+    """A word between a mark and a colon."""
+    return rf"{mark}(\w+):"
+
+
+#: What each cleaner looks for and puts in its place. The marks, phrases and lengths, and what replaces them.
 CLEANERS: dict[str, tuple[str, str]] = {
-    "points_and_commas": (r'[",.]+', " "),
-    "curly_quotes": (r"[“”]+", " "),
-    "double_blanks": (r" {2,}", " "),
-    "windows_path": (r"\S*\\\S*", "file_path"),
-    "unix_path": (r"\S*/\S*", "file_path"),
-    "bracketed": (r"\([^)]+\)", " "),
-    "additional_sentence": (r"\bThis\b.?(?:(?!\b(?:shall|must)\b).)*?\.", ""),
-    "illustration": (r"(?i)\bTo illustrate\b.*\.", ""),
-    "example": (r"(?i)\b(?:For example|Exemple|Example)\b.*\.", ""),
-    "note": (r"\bNotes?\b.*\.", ""),
-    "empty_lines": (r"\n{2,}(?=[A-z0-9])", ".<lb>"),
-    "last_lines": (r"\n+\z", ""),
+    "points_and_commas": (_any_of('",.'), " "),
+    "curly_quotes": (_any_of("“”"), " "),
+    "double_blanks": (_any_of(" ", 2), " "),
+    "windows_path": (_word_with(r"\\"), "file_path"),
+    "unix_path": (_word_with("/"), "file_path"),
+    "bracketed": (_inside("(", ")", 1, lines=True), " "),
+    # a sentence with 'This' that asks for nothing
+    "additional_sentence": (_sentence("This", without=("shall", "must")), ""),
+    "illustration": (_to_last_stop("To illustrate", any_case=True), ""),
+    "example": (_to_last_stop("For example", "Exemple", "Example", any_case=True), ""),
+    "note": (_to_last_stop("Notes?"), ""),
+    "empty_lines": (_any_of("\n", 2) + "(?=[A-z0-9])", ".<lb>"),
+    "last_lines": (_any_of("\n") + r"\z", ""),
+    # a full stop after a word of six letters or more and before two of the next
     "sentence_end": (r"(?<=\w{6})\. +(?=\w{2})", ".<period>"),
-    "colon_attribute": (r":(\w+):", " $1 "),
-    "semicolon_attribute": (r";(\w+):", " $1 "),
-    "parenthesis": (r"\(.*?\)", " "),
+    "colon_attribute": (_attribute(":"), " $1 "),
+    "semicolon_attribute": (_attribute(";"), " $1 "),
+    "parenthesis": (_inside("(", ")", 0, lines=False), " "),
 }
 #: The cleaners that a description passes, in order, and those of them whose finds are reported.
 DESCRIPTION = ("colon_attribute", "semicolon_attribute", "parenthesis", "empty_lines", "last_lines", "double_blanks")
