@@ -10,10 +10,10 @@ least similarity agree in at least ``matches_for`` coordinates but for about two
    agree in enough coordinates share one of them. The common keys are skipped: no list is made for them.
 3. Representatives. Every node is paired with one of the smallest nodes of its lists, the one it collides with in most
    of them; confirmed links join nodes to components.
-4. Lists whose nodes are in one component are skipped. Of the nodes in the rest only those go on whose rarest shingles,
-   one more than a qualifying partner may lack, are also among those of a node of another component: sets that share a
-   template and differ in the rest meet in lists of signatures, but not here. In lists of several components that remain,
-   cut in blocks of ``TILE`` nodes, the nodes outside the list's largest component count their collisions with all others. One that reaches the match threshold with a
+4. Lists whose nodes are in one component are skipped. Of the nodes of lists longer than ``TILE`` only those go on whose
+   rarest shingles, one more than a qualifying partner may lack, are also among those of a node of another component: sets
+   that share a template and differ in the rest meet in lists of signatures, but not here. In the lists that remain, cut
+   in blocks of ``TILE`` nodes, the nodes outside the list's largest component count their collisions with all others. One that reaches the match threshold with a
    node of another component is sent, once, to the group of that node: its component, or that of its representative.
 5. There it is compared with the full sets of the group's members, block by block, and of the links found in a block
    those go out that join components. So what is sent and returned grows with nodes and blocks, not with pairs.
@@ -409,19 +409,23 @@ def labelled_rows(spark: SparkSession, docs: DataFrame, size: int = 5, percent:
     named = post.select("node").distinct().join(stars.select(F.col("b").alias("node"), "a"), "node", "left").join(of("node"), "node", "left").join(of("a"), "a", "left")
     named = table(named.select("node", F.coalesce("lnode", "node").alias("label"), F.coalesce("lnode", "la", "a", "node").alias("home")), "named")
 
-    # lists of several components, of nodes that are within reach of another one
+    # lists of several components; of those of more than one block only nodes that are within reach of another component
     def several(rows: DataFrame) -> DataFrame:
         shares = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
         return shares.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
 
     labelled = post.select("key", "node").join(named, "node")
-    labelled = table(labelled.join(several(labelled).select("key"), "key", "left_semi"), "mixed")
-    asked = table(labelled.select("node", "label").distinct(), "asked")
-    more = asked.select("node").join(sets.select("node"), "node", "left_anti")
-    sets = sets.union(table(_full_sets(docs, nodes.join(more, "node", "left_semi"), size), "sets"))
-    near = table(_within_reach(spark, asked, sets.join(asked.select("node"), "node", "left_semi"), percent), "near")
-    labelled = labelled.join(near, "node", "left_semi")
-    release(spark)
+    mixed = table(several(labelled).withColumn("large", F.col("m") > TILE).select("key", "large"), "mixed")
+    labelled = labelled.join(mixed, "key")
+    if not mixed.where("large").isEmpty():
+        labelled = table(labelled, "mixed")
+        asked = table(labelled.where("large").select("node", "label").distinct(), "asked")
+        more = asked.select("node").join(sets.select("node"), "node", "left_anti")
+        sets = sets.union(table(_full_sets(docs, nodes.join(more, "node", "left_semi"), size), "sets"))
+        near = table(_within_reach(spark, asked, sets.join(asked.select("node"), "node", "left_semi"), percent), "near")
+        labelled = labelled.where("NOT large").union(labelled.where("large").join(near, "node", "left_semi").select(labelled.columns))
+        release(spark)
+    labelled = labelled.drop("large")
 
     # blocks of members, and their nodes outside the largest component as queries of each
     lists = several(labelled).select("key", "major", F.ceil(F.col("m") / TILE).cast("int").alias("t"))

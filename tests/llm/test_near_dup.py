@@ -108,6 +108,7 @@ def test_a_template_links_nothing_and_costs_no_more_than_its_documents(spark, mo
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(5)
     seen = []
     routes = near_dup._routes
+    monkeypatch.setattr(near_dup, "TILE", 64)
     monkeypatch.setattr(near_dup, "_routes", lambda blocks, matches: seen.append(blocks.count()) or routes(blocks, matches))
     got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark, docs, 3, 85).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 3, 85)
