@@ -1,10 +1,11 @@
-"""Removal of word sequences that repeat anywhere, by suffix trees partitioned by prefix.
+"""Removal of word sequences that repeat anywhere, by suffixes partitioned by prefix.
 
-Only suffixes that may reach depth ``WINDOW`` twice go into trees. Each window of WINDOW words has an anchor, a string
+Of suffix trees only the nodes of depth WINDOW matter here, so none is built: equal windows, told by hash, stand for such
+a node, and prefixes have two lengths (GRAM words, or the whole window). Each window of WINDOW words has an anchor, a string
 of ``GRAM`` words that its contents choose; a first pass counts anchors, and windows whose anchor occurs once are
 dropped. The suffixes that remain are partitioned by the anchor as a prefix and, below an anchor that occurs more than
 ``HOT`` times, by the whole window as a longer one, so each partition is of a size that memory holds whatever repeats.
-In a partition, sorted suffixes with equal windows share an internal node of depth WINDOW; runs of such windows are the
+In a partition, sorted windows that are equal would share an internal node of depth WINDOW; runs of such windows are the
 maximal repeats, and the words they cover are removed.
 
 Windows are told apart by 64-bit hashes of their words. Null texts have no words; texts shorter than a window keep all.

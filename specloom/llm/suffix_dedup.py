@@ -1,12 +1,13 @@
-"""Removal of byte strings that repeat anywhere, by distributed prefix doubling.
+"""Removal of byte strings that repeat anywhere, by doubled string lengths at sampled positions.
 
-Sorting a suffix per byte is not affordable; the positions ranked are sampled. Each ``WINDOW``-byte string has an
+Sorting a suffix per byte is not affordable (figures in the README), so what is built departs from prefix doubling in two
+ways: positions are sampled, and a string's rank is a hash of its bytes, found where the text is, not a place in a sorted
+list of rank pairs; Spark counts equal hashes by shuffles and tells which are shared. Each ``WINDOW``-byte string has an
 anchor, the position in it of a ``GRAM``-byte string that its contents choose, so equal strings have equal anchors.
 
 1. Rank 0 of an anchor is its GRAM-byte string. Anchors of unique rank drop out.
-2. Prefix doubling: ranks of 128 and of WINDOW bytes follow from pairs (rank here, rank at the offset reached), for
-   anchors whose rank is still shared, until it is unique or past the threshold. A rank that became unique rules out
-   all windows that hold its string.
+2. Doubling: hashes of 128 and of WINDOW bytes, of anchors whose shorter string is still shared, are counted until they
+   are unique or past the threshold. They serve as a filter: a string that became unique rules out all windows that hold it.
 3. An anchor's extent, from its first window to the end of its last, is ranked past the threshold at once: if it is
    shared, all of it is removed. Only where anchors of one rank 0 have different extents, at the ends of repeats, are
    the remaining windows themselves ranked and compared.
