@@ -21,10 +21,10 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def with_seq_ratio(pairs: DataFrame) -> DataFrame:
     """Adds seq_ratio to pairs (a, b), computed once for each distinct ordered pair of normalised texts."""
     p = pairs.withColumns({"na": normalize(F.col("a")), "nb": normalize(F.col("b"))})
-    # rows meet by a 256-bit hash of the two texts, so that texts themselves are not compared in the join
-    p = p.withColumn("pair", F.sha2(F.concat_ws("\x1f", "na", "nb"), 256))
-    scored = p.groupBy("pair").agg(F.first("na").alias("na"), F.first("nb").alias("nb")).select("pair", _sequence_ratio("na", "nb").alias("seq_ratio"))
-    return p.drop("na", "nb").join(scored, "pair").drop("pair")
+    # rows meet by 256-bit hashes of the two texts, so that texts themselves are not compared in the join
+    p = p.withColumns({"ha": F.sha2(F.coalesce("na", F.lit("")), 256), "hb": F.sha2(F.coalesce("nb", F.lit("")), 256)})
+    scored = p.groupBy("ha", "hb").agg(F.first("na").alias("na"), F.first("nb").alias("nb")).select("ha", "hb", _sequence_ratio("na", "nb").alias("seq_ratio"))
+    return p.drop("na", "nb").join(scored, ["ha", "hb"]).drop("ha", "hb")
 
 
 def with_jaccard(pairs: DataFrame) -> DataFrame:

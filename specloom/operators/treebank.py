@@ -76,3 +76,17 @@ def read_nodes(trees: DataFrame, tree: str = "tree") -> DataFrame:
 def node_table(trees: DataFrame, key: str = "req_id") -> DataFrame:
     """A row for each node: the key and the fields of NODE."""
     return read_nodes(trees.select(key, "tree")).select(key, F.inline("nodes"))
+
+
+@F.udtf(returnType="pre int, last int, parent int, level int, chain int, start int, end int, leaf boolean, label string")
+class TreeNodes:
+    """SQL: ``FROM trees t, LATERAL tree_nodes(t.tree)`` gives a row for each node of a tree, none where it cannot be read."""
+
+    def eval(self, tree: str):
+        for n in read(tree):
+            yield tuple(n[f.name] for f in NODE)
+
+
+def register(spark) -> None:
+    """Make the table function tree_nodes known to the session's SQL."""
+    spark.udtf.register("tree_nodes", TreeNodes)

@@ -693,6 +693,14 @@ def tree_nodes(spark, d):
     return treebank.node_table(_shapes(spark, d))
 
 
+@query(f"WITH {NODES} SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT req_id) AS BIGINT) AS n_trees, CAST(max(last - pre + 1) AS INT) AS largest, CAST(max(level) AS INT) AS deepest FROM nodes WHERE NOT leaf GROUP BY label")
+def tree_labels(spark, d):
+    """The table function in SQL: how often each label stands, and in how many trees."""
+    treebank.register(spark)
+    _shapes(spark, d).createOrReplaceTempView("specloom_trees")
+    return spark.sql("SELECT n.label, count(*) AS n, count(DISTINCT t.req_id) AS n_trees, max(n.last - n.pre + 1) AS largest, max(n.level) AS deepest FROM specloom_trees t, LATERAL tree_nodes(t.tree) n WHERE NOT n.leaf GROUP BY n.label")
+
+
 def _match(name: str) -> str:
     """SQL of one pattern: its matched nodes and where its last part ends."""
     join = lambda a, b, place: f"LEFT JOIN nodes {b} ON {b}.req_id = {a}.req_id AND {b}.pre = {place}"
