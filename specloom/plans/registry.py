@@ -666,17 +666,17 @@ _MAINS = (
 _TAILS = ("(. .)", "(, ,) (ADVP (RB else)) (NP (NN @)) (VP (MD must) (VP (VB keep) (NP (NN %)))) (. .)", "(SBAR (IN if) (S (NP (NN %)) (VP (VBZ has) (NP (NN @))))) (. .)", "", ")")
 _PICK = lambda texts, n: "(CASE " + " ".join(f"WHEN {n} = {k} THEN '{t}'" for k, t in enumerate(texts)) + " END)"
 _AT = "(doc_id + 2 * n_chars)"
-SHAPES = f"SELECT CAST(doc_id AS BIGINT) AS req_id, replace(replace('(ROOT (S ' || {_PICK(_LEADS, f'{_AT} % {len(_LEADS)}')} || ' ' || CASE WHEN n_chars % 3 = 0 THEN '(S ' ELSE '' END || {_PICK(_MAINS, f'doc_id % {len(_MAINS)}')} || CASE WHEN n_chars % 3 = 0 THEN ') ' ELSE ' ' END || {_PICK(_TAILS, f'n_chars % {len(_TAILS)}')} || '))', '@', w1), '%', w2) AS tree FROM (SELECT doc_id, n_chars, coalesce(nullif(regexp_extract(text, '[A-Za-z]+', 0), ''), 'x') AS w1, lang AS w2 FROM documents)"
+MADE_TREES = f"SELECT CAST(doc_id AS BIGINT) AS req_id, replace(replace('(ROOT (S ' || {_PICK(_LEADS, f'{_AT} % {len(_LEADS)}')} || ' ' || CASE WHEN n_chars % 3 = 0 THEN '(S ' ELSE '' END || {_PICK(_MAINS, f'doc_id % {len(_MAINS)}')} || CASE WHEN n_chars % 3 = 0 THEN ') ' ELSE ' ' END || {_PICK(_TAILS, f'n_chars % {len(_TAILS)}')} || '))', '@', w1), '%', w2) AS tree FROM (SELECT doc_id, n_chars, coalesce(nullif(regexp_extract(text, '[A-Za-z]+', 0), ''), 'x') AS w1, lang AS w2 FROM documents)"
 
 
-def _shapes(spark, d):
+def _made_trees(spark, d):
     table(spark, d, "documents").createOrReplaceTempView("specloom_documents")
-    return spark.sql(SHAPES.replace("FROM documents", "FROM specloom_documents"))
+    return spark.sql(MADE_TREES.replace("FROM documents", "FROM specloom_documents"))
 
 
 # The node table in SQL, from brackets: a row per bracket or word in order, depths by running sums, a bracket's end by the
 # next one of its depth, parents by the last bracket one level up. Trees whose brackets do not match have no nodes.
-NODES = f"""t AS ({SHAPES}),
+NODES = f"""t AS ({MADE_TREES}),
  p AS (SELECT req_id, unnest(regexp_extract_all(tree, '[()]|[^ ()]+')) AS tok, unnest(range(len(regexp_extract_all(tree, '[()]|[^ ()]+')))) AS pos FROM t),
  q AS (SELECT *, lag(tok) OVER w AS before, lead(tok) OVER w AS after, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS depth FROM p WINDOW w AS (PARTITION BY req_id ORDER BY pos)),
  ok AS (SELECT req_id FROM q GROUP BY req_id HAVING min(depth) >= 0 AND arg_max(depth, pos) = 0 AND count(*) FILTER (depth = 0) = 1),
@@ -690,14 +690,14 @@ NODES = f"""t AS ({SHAPES}),
 
 @query(f'WITH {NODES} SELECT req_id, CAST(pre AS INT) AS pre, CAST(last AS INT) AS last, CAST(parent AS INT) AS parent, CAST(level AS INT) AS level, CAST(chain AS INT) AS chain, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", leaf, label FROM nodes')
 def tree_nodes(spark, d):
-    return treebank.node_table(_shapes(spark, d))
+    return treebank.node_table(_made_trees(spark, d))
 
 
 @query(f"WITH {NODES} SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT req_id) AS BIGINT) AS n_trees, CAST(max(last - pre + 1) AS INT) AS largest, CAST(max(level) AS INT) AS deepest FROM nodes WHERE NOT leaf GROUP BY label")
 def tree_labels(spark, d):
     """The table function in SQL: how often each label stands, and in how many trees."""
     treebank.register(spark)
-    _shapes(spark, d).createOrReplaceTempView("specloom_trees")
+    _made_trees(spark, d).createOrReplaceTempView("specloom_trees")
     return spark.sql("SELECT n.label, count(*) AS n, count(DISTINCT t.req_id) AS n_trees, max(n.last - n.pre + 1) AS largest, max(n.level) AS deepest FROM specloom_trees t, LATERAL tree_nodes(t.tree) n WHERE NOT n.leaf GROUP BY n.label")
 
 
@@ -714,7 +714,7 @@ MATCHES = f"WITH {NODES}, m AS MATERIALIZED ({' UNION ALL '.join(map(_match, pat
 
 
 def _matches(spark, d):
-    rows = clauses.marked(_shapes(spark, d))
+    rows = clauses.marked(_made_trees(spark, d))
     strict = F.filter(clauses.found_clauses(), lambda c: c["name"].isin(*patterns.CLAUSES))
     return rows.withColumn("found", strict)
 
