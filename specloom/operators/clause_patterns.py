@@ -1,17 +1,19 @@
 """Clause and passive patterns over trees, stated once and rendered as Spark expressions or as SQL.
 
 A pattern is a condition on a node: a test of its label, a relation to another node that meets a condition, or a
-combination of these. Relations are comparisons of preorder intervals. For Spark they become bits of the nodes of each
-tree's own array (no shuffle, however many trees); as SQL each is an EXISTS over a node table, joined within its tree.
+combination of these. Relations are comparisons of preorder intervals. For Spark conditions become bits of the nodes of
+each tree's own array, batch by batch (no shuffle); as SQL a relation is an EXISTS over a node table, joined within its tree.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from itertools import count
+from itertools import count, pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: A condition on a node: ("tag", names), ("like", expression), ("both" | "either", conditions), ("no", condition) or (relation, condition).
 Pattern = tuple
@@ -20,87 +22,136 @@ Pattern = tuple
 WORD = 63
 
 
-def relations(p: Pattern) -> list[Pattern]:
-    """The relations in a condition, inner ones first."""
-    if p[0] in ("tag", "like"):
-        return []
-    inner = [r for q in (p[1] if p[0] in ("both", "either") else (p[1],)) for r in relations(q)]
-    return inner if p[0] in ("both", "either", "no") else [*inner, p]
-
-
-def depth(p: Pattern) -> int:
-    """Relations inside one another."""
-    if p[0] in ("tag", "like"):
-        return 0
-    if p[0] in ("both", "either"):
-        return max(map(depth, p[1]))
-    return depth(p[1]) + (p[0] != "no")
+#: Nodes whose conditions are worked out together: a bound on memory, trees stay whole.
+TOGETHER = 50_000
+
+
+class Places:
+    """Where the nodes related to each of n nodes in a row stand; place n stands for none."""
+
+    def __init__(self, root: np.ndarray, last: np.ndarray, parent: np.ndarray, chain: np.ndarray):
+        n = self.n = len(root)
+        at = self.at = np.arange(n)
+        self.last, self.edge = root + last, at + chain
+        self.parent = np.where(parent < 0, n, root + parent)
+        lasts, parents = np.append(self.last, -1), np.append(self.parent, -1)
+        after = self.last + 1
+        next_to = np.where((self.parent < n) & (parents[after] == self.parent), after, n)
+        prev_to = np.full(n + 1, n)
+        prev_to[next_to] = at
+        self.one = {
+            "first": np.where(self.last > at, at + 1, n), "next": next_to, "prev": prev_to[:n], "parent": self.parent,
+            "first_of": np.where(self.parent == at - 1, self.parent, n), "last_of": np.where(lasts[self.parent] == self.last, self.parent, n),
+        }
+
+    def related(self, how: str, holds: np.ndarray) -> np.ndarray:
+        """For each node whether one so related to it is among those that hold (of n nodes and false for none)."""
+        if how in self.one:
+            out = holds[self.one[how]]
+        elif how in ("below", "leftmost"):
+            sums = np.concatenate([[0], np.cumsum(holds)])
+            out = sums[(self.last if how == "below" else self.edge) + 1] > sums[self.at + 1]
+        elif how == "above":
+            own = np.flatnonzero(holds)
+            begin, end = np.bincount(own + 1, minlength=self.n + 1), np.bincount(self.last[own] + 1, minlength=self.n + 1)
+            out = np.cumsum(begin - end)[: self.n] > 0
+        else:
+            own = np.flatnonzero(holds)
+            # of several values for one place the last one stays: the greatest, or of places in descending order the least
+            far = np.full(self.n + 1, self.n if how == "earlier" else -1)
+            own = own[::-1] if how == "earlier" else own
+            far[self.parent[own]] = own
+            far[self.n] = self.n if how == "earlier" else -1
+            out = far[: self.n] >= 0 if how == "child" else far[self.parent] > self.at if how == "later" else far[self.parent] < self.at
+        return np.append(out, False)
 
 
 class Marks:
-    """Spark: every relation of some conditions is a bit of each node, worked out from the inside out.
+    """Spark: every one of some conditions is a bit of each node, worked out from the inside out.
 
-    A round marks all relations of one depth, each by a search of the run of the node array where related nodes stand;
-    what such a node must meet is told by its label and the bits of earlier rounds. Equal relations share a bit.
+    Batches of trees come as Arrow columns; a condition is worked out for all nodes of many trees at once, by their places,
+    and a test of labels for each distinct label. Conditions that patterns share are worked out once.
     """
 
     def __init__(self, patterns: list[Pattern]):
-        every = dict.fromkeys(r for p in patterns for r in relations(p))
-        self.bit = {r: k for k, r in enumerate(sorted(every, key=depth))}
-        self.words = len(self.bit) // WORD + 1
+        self.bit = {p: k for k, p in enumerate(dict.fromkeys(patterns))}
+        self.words = (len(self.bit) - 1) // WORD + 1
+        step: dict[Pattern, int] = {}
+
+        def add(p: Pattern) -> int:
+            if p not in step:
+                kind, what = p
+                inner = what if kind in ("tag", "like") else tuple(add(q) for q in (what if kind in ("both", "either") else (what,)))
+                self.steps.append((kind, inner))
+                step[p] = len(self.steps) - 1
+            return step[p]
+
+        #: Kind of a condition and what it tests of labels, or the numbers of the conditions in it.
+        self.steps: list[tuple[str, tuple]] = []
+        self.marked = [add(p) for p in self.bit]
 
     def holds(self, p: Pattern, n: str) -> str:
-        """SQL text of the condition on a node n whose relations are marked."""
-        kind, what = p
-        if kind == "tag":
-            return f"{n}.label IN ({', '.join(map(repr, what))})"
-        if kind == "like":
-            return f"rlike({n}.label, r'{what}')"
-        if kind in ("both", "either"):
-            return "(" + (" AND " if kind == "both" else " OR ").join(self.holds(q, n) for q in what) + ")"
-        if kind == "no":
-            return f"NOT {self.holds(what, n)}"
-        word, bit = divmod(self.bit[p], WORD)
-        return f"({n}.m{word} & {1 << bit}L) != 0L"
-
-    def _related(self, nodes: str, relation: Pattern) -> str:
-        """Whether a node x of a run of the array is so related to n."""
-        how, p = relation
-        start, size, test = _RUNS[how]
-        test = test and f"{test} AND "
-        return f"exists(slice({nodes}, {start}, {size.format(nodes=nodes)}), x -> {test}{self.holds(p, 'x')})"
+        """SQL text of one of the conditions on a marked node n."""
+        return self.any_of([p], n)
+
+    def any_of(self, patterns: list[Pattern], n: str) -> str:
+        """SQL text: whether at least one of these conditions holds on a marked node n."""
+        masks: dict[int, int] = {}
+        for p in patterns:
+            word, bit = divmod(self.bit[p], WORD)
+            masks[word] = masks.get(word, 0) | 1 << bit
+        return "(" + " OR ".join(f"({n}.m{w} & {m}L) != 0L" for w, m in masks.items()) + ")"
+
+    def _bits(self, places: Places, codes: np.ndarray, labels: list[str]) -> list[np.ndarray]:
+        """The words of bits of some whole trees; ``codes`` are the labels' numbers."""
+        known: list[np.ndarray] = []
+        for kind, what in self.steps:
+            if kind in ("tag", "like"):
+                test = set(what).__contains__ if kind == "tag" else re.compile(what, re.ASCII).search
+                out = np.append(np.array([bool(test(x)) for x in labels], bool)[codes], False)
+            elif kind in ("both", "either"):
+                out = (np.logical_and if kind == "both" else np.logical_or).reduce([known[k] for k in what])
+            elif kind == "no":
+                out = ~known[what[0]]
+                out[-1] = False
+            else:
+                out = places.related(kind, known[what[0]])
+            known.append(out)
+        words = [np.zeros(places.n, np.int64) for _ in range(self.words)]
+        for k, step in enumerate(self.marked):
+            words[k // WORD] |= known[step][:-1].astype(np.int64) << (k % WORD)
+        return words
+
+    def _marked(self, column: pa.ListArray) -> pa.ListArray:
+        """Arrays of nodes with the words of bits added to each node."""
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        nodes, total = column.flatten(), int(offsets[-1])
+        last, parent, chain = (nodes.field(f).to_numpy(zero_copy_only=False) for f in ("last", "parent", "chain"))
+        words = [np.zeros(total, np.int64) for _ in range(self.words)]
+        roots = np.repeat(offsets[:-1], sizes)
+        bounds = np.unique(np.append(offsets[np.searchsorted(offsets, np.arange(0, total, TOGETHER))], total))
+        for a, b in pairwise(bounds.tolist()):
+            label = nodes.field("label").slice(a, b - a).dictionary_encode()
+            places = Places(roots[a:b] - a, last[a:b], parent[a:b], chain[a:b])
+            for word, bits in zip(words, self._bits(places, label.indices.to_numpy(), label.dictionary.to_pylist()), strict=True):
+                word[a:b] = bits
+        names = [f.name for f in nodes.type]
+        every = pa.StructArray.from_arrays([*map(nodes.field, names), *map(pa.array, words)], names=[*names, *(f"m{w}" for w in range(self.words))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), every)
 
     def mark(self, rows: DataFrame, nodes: str = "nodes") -> DataFrame:
         """``rows`` with fields m0, m1 ... of bits added to each node of the array."""
-        fields = ("pre", "last", "parent", "level", "chain", "start", "end", "leaf", "label")
-        kept = ", ".join(f"'{f}', n.{f}" for f in fields)
-        rounds: dict[int, list[Pattern]] = {}
-        for r in self.bit:
-            rounds.setdefault(depth(r), []).append(r)
-        for k, members in sorted(rounds.items()):
-            words = []
-            for w in range(self.words):
-                own = [f"if({self._related(nodes, r)}, {1 << self.bit[r] % WORD}L, 0L)" for r in members if self.bit[r] // WORD == w]
-                words.append(f"'m{w}', " + " | ".join(["0L" if k == min(rounds) else f"n.m{w}", *own]))
-            rows = rows.withColumn(nodes, F.expr(f"transform({nodes}, n -> named_struct({kept}, {', '.join(words)}))"))
-        return rows
-
-
-#: Where nodes x related to n stand in the array: start, size, and what tells them from others there ("" if nothing need).
-_RUNS = {
-    "child": ("n.pre + 2", "n.last - n.pre", "x.parent = n.pre"),
-    "first": ("n.pre + 2", "least(n.last - n.pre, 1)", ""),
-    "below": ("n.pre + 2", "n.last - n.pre", ""),
-    "leftmost": ("n.pre + 2", "n.chain", ""),
-    "above": ("1", "n.pre", "x.last >= n.last"),
-    "next": ("n.last + 2", "1", "n.parent >= 0 AND x.parent = n.parent"),
-    "prev": ("n.parent + 2", "n.pre - n.parent - 1", "n.parent >= 0 AND x.parent = n.parent AND x.last = n.pre - 1"),
-    "later": ("n.last + 2", "size({nodes})", "n.parent >= 0 AND x.parent = n.parent"),
-    "earlier": ("n.parent + 2", "n.pre - n.parent - 1", "n.parent >= 0 AND x.parent = n.parent"),
-    "parent": ("greatest(n.parent + 1, 1)", "least(n.parent + 1, 1)", ""),
-    "first_of": ("greatest(n.parent + 1, 1)", "least(n.parent + 1, 1)", "x.pre = n.pre - 1"),
-    "last_of": ("greatest(n.parent + 1, 1)", "least(n.parent + 1, 1)", "x.last = n.last"),
-}
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        kinds[nodes] = kinds[nodes].removesuffix(">>") + "".join(f",m{w}:bigint" for w in range(self.words)) + ">>"
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([self._marked(c) if n == nodes else c for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
+
+        return rows.mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
+
+
 #: For the node table: how a node x is related to n.
 _JOINS = {
     "child": "{x}.parent = {n}.pre",

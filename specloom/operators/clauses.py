@@ -62,8 +62,10 @@ def found_clauses(nodes: str = "nodes") -> Column:
         passive, several, joined = (MARKS.holds(p, "n") if p else "false" for p in _needs(name)[1:])
         to = f"{after}.last" if parts else "n.last"
         row = f"named_struct('start', n.start, 'end', {ends[parts]}, 'name', '{name}', 'kind', '{KINDS[name]}', 'passive', {passive}, 'head', n.pre, 'to', {to}, 'several', {several}, 'joined', {joined})"
-        out.append(f"transform(filter({nodes}, n -> {MARKS.holds(pattern, 'n')}), n -> {row})")
-    return F.expr(f"concat({', '.join(out)})")
+        out.append(f"transform(filter(hits, n -> {MARKS.holds(pattern, 'n')}), n -> {row})")
+    # the few nodes that any pattern fits are taken first, bound by a list of one
+    hits = f"filter({nodes}, n -> {MARKS.any_of(list(PATTERNS.values()), 'n')})"
+    return F.expr(f"get(transform(array({hits}), hits -> concat({', '.join(out)})), 0)")
 
 
 _FIELDS = ("start", "end", "name", "kind", "passive", "head", "to", "several", "joined")
@@ -289,7 +291,9 @@ def attached(labels: Column, words: Column) -> Column:
 
 def marked(trees: DataFrame) -> DataFrame:
     """req_id, nodes with the marks of all patterns, and pairs (words with their tags) of each readable tree of (req_id, tree)."""
-    d = read_nodes(trees.select("req_id", "tree")).where(F.size("nodes") > 0)
+    # dealt out: a few megabytes of trees, which one task would read, take long
+    dealt = trees.select("req_id", "tree").repartition(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = read_nodes(dealt).where(F.size("nodes") > 0)
     d = d.withColumn("pairs", F.expr("transform(filter(nodes, n -> n.leaf), n -> named_struct('w', n.label, 't', coalesce(get(nodes, n.parent).label, ''), 'at', n.pre))"))
     return MARKS.mark(d)
 

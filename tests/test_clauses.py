@@ -131,3 +131,18 @@ def test_odd_rows(spark):
     rows = [("a", None), ("b", ""), ("c", "(S (broken"), (None, "(S (NP (NN x)))"), ("d", "(S)"), ("d", "(S (NP (NN x)))"), ("d", "(S (NP (NN x)))")]
     got = clauses.segment_requirements(spark.createDataFrame(rows, "req_id string, tree string")).collect()
     assert sorted((str(r.req_id), r.label, r.text) for r in got) == [("None", "notMatch", "x"), ("d", "notMatch", "x"), ("d", "notMatch", "x")]
+
+
+def test_trees_are_dealt_out_and_marked_without_a_search_per_node(spark):
+    """A tree of 20,000 sisters in a table of one partition: conditions are worked out by places, not by scans of the array."""
+    n = 20_000
+    wide = "(S " + " ".join("(NP x)" if k % 2 else "(VP y)" for k in range(n)) + ")"
+    made = [C.both(C.tag("VP"), C.later(C.tag("NP", "VP"), C.earlier(C.tag("VP")))), C.both(C.like("N"), C.no(C.later(C.tag("NP")))), C.above(C.tag("S")), C.like("^S$")]
+    marks = C.Marks(made)
+    rows = marks.mark(treebank.read_nodes(spark.createDataFrame([(wide,), (None,), ("(S)",)], "tree string").coalesce(1)))
+    counts = [F.expr(f"size(filter(nodes, n -> {marks.holds(p, 'n')}))") for p in made]
+    assert sorted(tuple(r) for r in rows.select(*counts).collect()) == [(0, 0, 0, 0), (0, 0, 0, 1), (n // 2, 1, 2 * n, 1)]
+    trees = spark.createDataFrame([("r", "(S (NP (NN x)))")], "req_id string, tree string").coalesce(1)
+    d = clauses.marked(trees)
+    assert "exists(" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
