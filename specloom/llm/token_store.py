@@ -47,7 +47,11 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.table: dict[str, bytes] = {}
         self.mark = np.frombuffer(self._ids([MARK])[0], self.dtype)[0]
-        self.tails = {"": b"", **{c: self._ids([c])[0] for c in ".,"}}
+        self.tails = {c: self._ids([c])[0] for c in ".,"}
+        #: Whether an id ends a word.
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -68,29 +72,51 @@ class WordTokenizer:
             out += [data[i:j] for i, j in zip(start, stop, strict=True)]
         return out
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words not in the table. A word of letters, lower-cased and without a point or comma after it, is
-        encoded once for all its forms: the tokenizer lower-cases and splits them so itself."""
-        table, own, form, stems = self.table, {}, {}, {}
+    def _segment_letters(self, words: list[str]) -> list[bytes]:
+        """Words of ASCII letters alone: each is one piece to the tokenizer, so its last id, and no other, ends a word."""
+        out: list[bytes] = []
+        size = self.dtype.itemsize
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(part) or cut[-1] != len(ids):
+                out += self._segment(part)
+                continue
+            data, stop = ids.tobytes(), (size * cut).tolist()
+            out += [data[i:j] for i, j in zip([0, *stop[:-1]], stop, strict=True)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Add words to the table. A word of letters, lower-cased and without a point or comma after it, is encoded once
+        for all its forms: the tokenizer lower-cases and splits them so itself."""
+        table, tails = self.table, self.tails
+        letters: dict[str, None] = {}
+        others: dict[str, None] = {}
+        forms: list[str] = []
+        stems: list[str] = []
         for w in new:
-            tail = w[-1] if w[-1] in self.tails and len(w) > 1 else ""
-            stem = w[:-1] if tail else w
+            stem = w[:-1] if w[-1] in tails and len(w) > 1 else w
             if stem.isalpha():
                 low = stem.lower()
-                if len(low) == len(stem) and (stem.isascii() or "\u03c3" not in low and "\u03c2" not in low):
-                    form[w] = low, tail
+                ascii_ = low.isascii() and stem.isascii()
+                if low == w:
+                    (letters if ascii_ else others)[w] = None
+                    continue
+                if ascii_ or len(low) == len(stem) and "\u03c3" not in low and "\u03c2" not in low:
+                    forms.append(w)
+                    stems.append(low)
                     if low not in table:
-                        stems[low] = None
+                        (letters if ascii_ else others)[low] = None
                     continue
             if MARK in w or "<|" in w:
-                own[w] = self._ids([w])[0]
+                table[w] = self._ids([w])[0]
             else:
-                stems[w] = None
-        learned = dict(zip(stems, self._segment(list(stems)), strict=True))
-        own.update(learned)
-        for w, (low, tail) in form.items():
-            own[w] = (learned.get(low) or table[low]) + self.tails[tail]
-        return own
+                others[w] = None
+        table.update(zip(letters, self._segment_letters(list(letters)), strict=True))
+        table.update(zip(others, self._segment(list(others)), strict=True))
+        for w, low in zip(forms, stems, strict=True):
+            table[w] = table[low] + tails[w[-1]] if len(w) > len(low) else table[low]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers; words new to the table are encoded together."""
@@ -98,13 +124,16 @@ class WordTokenizer:
         plain = [x.isascii() or not any(c in x for c in _ODD) for x in texts]
         plain = [p and not any(c in x for c in _ODD[:4]) for p, x in zip(plain, texts, strict=True)]
         split = [x.split() if p else [] for p, x in zip(plain, texts, strict=True)]
-        words = set().union(*split)
-        new = words.difference(table)
+        found = [list(map(table.get, ws)) for ws in split]
+        gaps = [[i for i, data in enumerate(f) if data is None] for f in found]
+        new = {ws[i] for ws, g in zip(split, gaps, strict=True) for i in g}
         if len(table) + len(new) > TABLE_WORDS:
             table.clear()
-            new = words
-        table.update(self._learn(list(new)))
-        out = [b"".join([table[w] for w in ws]) if p else self._ids([x])[0] for p, x, ws in zip(plain, texts, split, strict=True)]
+        self._learn(new)
+        for ws, f, g in zip(split, found, gaps, strict=True):
+            for i in g:
+                f[i] = table[ws[i]]
+        out = [b"".join(f) if p else self._ids([x])[0] for p, x, f in zip(plain, texts, found, strict=True)]
         for w in new:
             if len(w) > TABLE_CHARS:
                 del table[w]

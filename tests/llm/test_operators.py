@@ -550,3 +550,20 @@ def test_own_keys_of_documents_beyond_the_filter(spark, docs, rows, monkeypatch)
         few, full, own = sent[-3:]
         # a filter of 64 bits lets every window pass; own keys go on about as with a filter that holds them all
         assert own < full and own <= 1.5 * few, (module, sent)
+
+
+def test_words_of_letters_need_no_mark_and_each_word_one_lookup(monkeypatch):
+    """New words of ASCII letters are cut by the ids that end a word; odd words as the tokenizer itself has them."""
+    from specloom.llm import token_store as T
+
+    tok = T.WordTokenizer(T.model_path(T.TOKENIZER))
+    odd = ["a b. C, ΣΑΣ ς. x|y <|endoftext|> ÀÉ ǅ ﬁ İ it's 12,3 a.b . , .. क़ क़. K", "q" * 300 + " " + "Q" * 300 + ".", "", " \x1ca b", "don't DON'T. A A, a."]
+    want = [e.ids for e in tok.tok.encode_batch(odd, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, tok.dtype).tolist() for x in tok.encode_many(odd)] == want
+    seen = []
+    whole = tok._segment
+    monkeypatch.setattr(tok, "_segment", lambda words: seen.extend(words) or whole(words))
+    text = "Quagmire zebrafish, Quagmire. upholstery ZEBRAFISH"
+    assert np.frombuffer(tok.encode(text), tok.dtype).tolist() == tok.tok.encode(text, add_special_tokens=False).ids
+    assert seen == []
