@@ -108,9 +108,12 @@ def closed(clauses: str = "found", pairs: str = "pairs") -> Column:
     holds further clauses the connectives behind it, up to the next clause: words without a verb."""
     before, n = f"coalesce(get({clauses}, i - 1).end, 0)", f"size({pairs})"
     after = f"coalesce(get({clauses}, i + 1).start, {n})"
-    opens = f"exists(slice({pairs}, {before} + 1, greatest(c.start - {before}, 0)), w -> lower(w.w) IN ('else', 'otherwise'))"
+    turns = "w -> lower(w.w) IN ('else', 'otherwise')"
+    opens = f"exists(slice({pairs}, {before} + 1, greatest(c.start - {before}, 0)), {turns})"
     behind = f"slice({pairs}, c.end + 1, greatest({after} - c.end, 0))"
-    idle = f"exists({behind}, w -> length(w.w) > 1) AND NOT exists({behind}, w -> w.t = 'MD' OR w.t LIKE 'VB%')"
+    # words that the last response takes are not the condition's too
+    taken = f"i = size({clauses}) - 2 AND get({clauses}, i + 1).kind = 'sysresp' AND exists({behind}, {turns})"
+    idle = f"exists({behind}, w -> length(w.w) > 1) AND NOT exists({behind}, w -> w.t = 'MD' OR w.t LIKE 'VB%') AND NOT coalesce({taken}, false)"
     ended = f"if(c.name = 'conditionHolding' AND {idle}, {_clause_with('c', end=after)}, c)"
     return F.expr(f"transform({clauses}, (c, i) -> if(i = size({clauses}) - 1 AND c.kind = 'sysresp' AND {opens}, {_clause_with('c', start=before, end=n)}, {ended}))")
 
